@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, hilbert, media
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op7_media": media.op7_media,
+    "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
 ORACLES: dict[str, str] = {}
