@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, media
+from . import bpe, hilbert, media, packing
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_media": media.op7_media,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
