@@ -97,7 +97,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
         yield batch.slice(start, n - start)
 
 
-def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text", barrier: bool = False) -> DataFrame:
+def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Apply make()(batch) -> batch to slices of a frame; make is called once in each task."""
     ship(df.sparkSession)
 
@@ -105,7 +105,7 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text",
         import pyarrow.compute  # noqa: F401
 
         work = None
-        for piece in slices(batches, column):
+        for piece in slices(batches, column, most):
             work = work or make()
             yield work(piece)
 
