@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, langid, media, packing
+from . import bpe, hilbert, langid, media, packing, quality
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_language_crf": langid.op6_language_crf,
     "op7_media": media.op7_media,
+    "op9_line_quality": quality.op9_line_quality,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
 ORACLES: dict[str, str] = {}
