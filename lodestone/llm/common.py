@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input that one slice of an Arrow batch may hold (one longer row makes a slice of its own).
@@ -87,7 +88,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
         n = batch.num_rows
         if not n:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, size in enumerate(sizes.tolist()):
             if total and total + size > most:
@@ -102,8 +103,6 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text",
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         work = None
         for piece in slices(batches, column, most):
             work = work or make()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, langid, media, neardup, packing, quality
+from . import bpe, hilbert, langid, lm, media, neardup, packing, quality
 
 QUERIES = {
     "op10_bottom_k_dedup": neardup.op10_bottom_k_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_kneser_ney": lm.op3_kneser_ney,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_language_crf": langid.op6_language_crf,
     "op7_media": media.op7_media,
