@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, langid, lm, media, neardup, packing, quality
+from . import bpe, hilbert, langid, licenses, lm, media, neardup, packing, quality
 
 QUERIES = {
     "op10_bottom_k_dedup": neardup.op10_bottom_k_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_kneser_ney": lm.op3_kneser_ney,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_language_crf": langid.op6_language_crf,
     "op7_media": media.op7_media,
     "op9_line_quality": quality.op9_line_quality,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
+}
