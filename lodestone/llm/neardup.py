@@ -277,9 +277,13 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the frame whose id is the smallest of their group; one row of each repeated id; null ids stay out."""
-    kept = groups(df, text, key, words, percent).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    return df.dropDuplicates([key]).join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi")
+    """The rows of the frame whose id is the smallest of their group, the first row of each such id, and rows with a null id."""
+    row = "_lodestone_row"
+    numbered = df.withColumn(row, F.monotonically_increasing_id())  # the same in every read of the same files
+    kept = groups(df, text, key, words, percent).where("id = component_id").select("id").distinct()
+    first = numbered.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(row).alias("_first"))
+    chosen = first.join(kept, "id", "left_semi").select(F.col("_first").alias(row)).union(numbered.where(F.col(key).isNull()).select(row))
+    return numbered.join(chosen, row, "left_semi").drop(row)
 
 
 def op10_bottom_k_dedup(spark, sf_dir: str) -> DataFrame:

@@ -161,11 +161,12 @@ def fit_table(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
+RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
+
 
 def judge(df: DataFrame, model: crf.Model | None, text: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
     """The frame with the counts, content_share and kept for each whole text."""
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + RESULT
-    names = [x.split()[0] for x in RESULT.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def make():
@@ -197,7 +198,7 @@ def judge(df: DataFrame, model: crf.Model | None, text: str = "text", keep_share
                     rows[i][6] = share
                     rows[i][7] = rows[i][7] and share >= keep_share
             columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names, *names])
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names, *RESULT_NAMES])
 
         return work
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, langid, licenses, lm, media, neardup, packing, quality
+from . import bpe, hilbert, langid, licenses, lm, media, neardup, packing, quality, warc
 
 QUERIES = {
+    "op1_warc_revisits": warc.op1_warc_revisits,
     "op10_bottom_k_dedup": neardup.op10_bottom_k_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_kneser_ney": lm.op3_kneser_ney,
@@ -16,5 +17,6 @@ QUERIES = {
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_revisits": warc.oracle(),
     "op4_license_scan": licenses.oracle(),
 }
