@@ -6,9 +6,11 @@
    similar sets share most retained values, so among the rarest of them, in one global order (list length, value), they
    share at least one: each class only enters the lists of its rarest values, as many as the least overlap asks for
    (prefix filtering). Values with a list of one need no list; classes that have enough of those are done.
-3. A first round tests, in the first few lists of a class, the class against a member that each list picks by a hash.
+3. A first round tests, in the first few lists of a class, the class against the list's most central member (whose values
+   have the longest lists; in a group of near copies that is the original) and, in long lists, one picked by a hash.
    Linked classes become components. The second round tests every pair of a list that is in different components:
-   directly in short lists; in long ones in blocks, members outside the list's largest component against all members.
+   directly in short lists; in long ones in blocks, members outside the list's largest component against all members,
+   each pair in the first list that it shares only, with wider sketches, and with one link for two components.
 4. Every pair goes through the union-sketch estimate of Jaccard similarity, with a margin of MARGIN standard deviations,
    and is then confirmed on the full shingle sets. Components of confirmed links are the groups.
 
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-SKETCH, INDEXED, LEAST_OVERLAP = 128, 64, 40
-STAR_LISTS = 8
+SKETCH, WIDE, INDEXED, LEAST_OVERLAP = 64, 512, 64, 40
+STAR_LISTS = 3
 LONG_LIST, BLOCK = 40, 512
 MARGIN = 4.5
 MULTIPLIER, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
@@ -94,14 +96,14 @@ def sketches(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
     return common.map_slices(df.select(F.col(key).cast("long").alias(key), text), make, "id long, n long, set string, sketch binary", text)
 
 
-def full_sets(df: DataFrame, text: str, words: int) -> DataFrame:
-    """id and the whole sorted set of shingle hashes, as binary."""
+def full_sets(df: DataFrame, text: str, words: int, most: int | None = None) -> DataFrame:
+    """id and the sorted set of shingle hashes, or the `most` smallest ones, as binary."""
 
     def make():
         hashes = hasher()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([hashes(t, words).tobytes() for t in batch.column(text).to_pylist()], pa.binary())], ["id", "hashes"])
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([hashes(t, words)[:most].tobytes() for t in batch.column(text).to_pylist()], pa.binary())], ["id", "hashes"])
 
         return work
 
@@ -135,17 +137,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, i
     both = np.concatenate([a, b])
     both.sort()
     twice = both[1:] == both[:-1]
-    whole = n_a <= len(a) and n_b <= len(b)
-    distinct = len(both) - int(twice.sum())
-    if whole:
-        return (distinct and (len(both) - distinct) / distinct), 0
-    k = min(distinct, max(len(a), len(b)) if min(len(a), len(b)) < SKETCH else SKETCH)
-    # The k smallest of the union: below the smaller of the two largest retained values both sketches are complete.
-    limit = min(a[-1] if n_a > len(a) else both[-1], b[-1] if n_b > len(b) else both[-1])
-    union = both[np.concatenate([[True], ~twice])]
-    known = union[union <= limit][:k]
-    common_values = both[1:][twice]
-    return float(np.searchsorted(common_values, known[-1], side="right")) / len(known), len(known)
+    if n_a <= len(a) and n_b <= len(b):
+        shared = int(twice.sum())
+        return shared / (len(both) - shared), 0
+    # Up to the smaller of the largest values of cut sketches, both are complete: that is the union's own sketch.
+    limit = min([x[-1] for x, n in ((a, n_a), (b, n_b)) if n > len(x)])
+    known = int(np.searchsorted(both, limit, side="right"))
+    shared = int(twice[: known - 1].sum())
+    return shared / (known - shared), known - shared
 
 
 def may_link(value: float, rests_on: int, threshold: float) -> bool:
@@ -192,46 +191,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame, text: str, words: int, percent
 
 
 def in_blocks(lists: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) in different components of long lists that pass the estimate.
+    """Pairs (a, b) in different components of long lists that pass the estimate on wide sketches.
 
-    lists: value, id, component, n, sketch, size (of the list), largest (its largest component). Members outside the
-    largest component are held against all members, block against block; no task sees more than two blocks.
+    lists: value, id, component, n, hashes (wide sketch), prefix (listed values in global order), size (of the list),
+    largest (its largest component). Members outside the largest component are held against all members, block against
+    block; no task sees more than two blocks. A pair counts in the first list that it shares only. Pairs whose sketches
+    are whole sets are known to be linked, so one of them is enough for two components.
     """
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), count).cast("int")
     targets = lists.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("q"), block.alias("t"), F.lit(False).alias("asks"))
     queries = lists.where(F.col("component") != F.col("largest")).select("*", block.alias("q"), F.explode(F.sequence(F.lit(0), count - 1)).alias("t"), F.lit(True).alias("asks"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        x = table.select(["id", "component", "n", "sketch", "asks", "largest"]).to_pydict()
-        kept = [np.frombuffer(s, np.uint64) for s in x["sketch"]]
-        where = [[i for i, q in enumerate(x["asks"]) if q], [i for i, q in enumerate(x["asks"]) if not q]]
+    def indicators(rows: list[np.ndarray]) -> np.ndarray:
+        """0/1 matrix of rows by values that occur in more than one row."""
+        flat = np.concatenate(rows)
+        _, column = np.unique(flat, return_inverse=True)
+        used = np.bincount(column, minlength=1) > 1
+        number, pick = np.cumsum(used) - 1, used[column]
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        wide = np.zeros((len(rows), int(used.sum())), np.float32)
+        wide[row[pick], number[column[pick]]] = 1
+        return wide
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        value = key[0].as_py()
+        asks = table.column("asks").to_numpy()
+        query, target = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = []
-        if all(where):
-            # Overlaps of all sketches of the block at once, by the values that they share.
-            flat = np.concatenate(kept)
-            _, column = np.unique(flat, return_inverse=True)
-            row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-            used = np.bincount(column) > 1
-            number = np.cumsum(used) - 1
-            pick = used[column]
-            wide = np.zeros((len(kept), int(used.sum())), np.float32)
-            wide[row[pick], number[column[pick]]] = 1
-            shared = wide[where[0]] @ wide[where[1]].T
-            n = np.array(x["n"], float)
-            ids, comp = np.array(x["id"]), np.array(x["component"])
-            nq, nt = n[where[0]][:, None], n[where[1]][None, :]
-            fit = (np.minimum(nq, nt) >= threshold * np.maximum(nq, nt) - 1e-9) & (comp[where[0]][:, None] != comp[where[1]][None, :])
-            least = threshold * np.minimum(np.minimum(nq, nt), SKETCH) - MARGIN * math.sqrt(SKETCH * threshold * (1 - threshold)) - 1
-            for i, j in np.argwhere(fit & (shared >= least)):
-                p, q = where[0][i], where[1][j]
-                if comp[q] != x["largest"][0] and ids[p] > ids[q]:
-                    continue  # both ask: once is enough
-                if may_link(*estimate(kept[p], kept[q], x["n"][p], x["n"][q]), threshold):
-                    out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
-
-    both = targets.unionByName(queries).select("value", "q", "t", "id", "component", "n", "sketch", "asks", "largest")
+        if len(query) and len(target):
+            ids, comp, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
+            largest = table.column("largest")[0].as_py()
+            qi, ti = query[:, None], target[None, :]
+            open_ = (comp[qi] != comp[ti]) & (np.minimum(n[qi], n[ti]) >= threshold * np.maximum(n[qi], n[ti]) - 1e-9)
+            open_ &= (comp[ti] == largest) | (ids[qi] < ids[ti])  # where both ask, once is enough
+            if open_.any():
+                before = [np.array(p[: p.index(value)], np.int64) for p in table.column("prefix").to_pylist()]
+                earlier = indicators(before)
+                if earlier.shape[1]:
+                    open_ &= (earlier[query] @ earlier[target].T) == 0
+            if open_.any():
+                kept = [np.frombuffer(s, np.uint64) for s in table.column("hashes").to_pylist()]
+                if open_.sum() > 2000:
+                    # Overlaps of all sketches at once; a linked pair shares about this part of the smaller one at least.
+                    values = indicators(kept)
+                    least = threshold * np.minimum(np.minimum(n[qi], n[ti]), WIDE) - np.where(np.maximum(n[qi], n[ti]) > WIDE, MARGIN * math.sqrt(WIDE * threshold * (1 - threshold)) + 1, 1e-6)
+                    open_ &= values[query] @ values[target].T >= least
+                done = set()
+                for i, j in np.argwhere(open_):
+                    p, q = query[i], target[j]
+                    two = (comp[p], comp[q])
+                    if two not in done:
+                        likeness, rests_on = estimate(kept[p], kept[q], n[p], n[q])
+                        if may_link(likeness, rests_on, threshold):
+                            out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+                            if not rests_on:
+                                done.add(two)
+        return pa.table({"a": pa.array([int(o[0]) for o in out], pa.int64()), "b": pa.array([int(o[1]) for o in out], pa.int64())})
+
+    both = targets.unionByName(queries).select("value", "q", "t", "id", "component", "n", "hashes", "prefix", "asks", "largest")
     return both.groupBy("value", "q", "t").applyInArrow(compare, "a long, b long")
 
 
@@ -250,12 +268,16 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     rare = F.row_number().over(W.partitionBy("id", "n").orderBy("df", "value"))
     held = F.count("*").over(W.partitionBy("id", "n"))
     # Values with a list of one come first in the global order: they use up the prefix without needing a list.
-    ranked = shared.withColumn("_nth", rare).withColumn("_held", held)
+    central = F.sum(F.log("df")).over(W.partitionBy("id", "n"))
+    ranked = shared.withColumn("_nth", rare).withColumn("_held", held).withColumn("_central", central)
     ranked = ranked.withColumn("_place", F.col("_nth") + F.least(F.col("n"), F.lit(INDEXED)) - F.col("_held")).where(F.col("_place") <= F.col("asked"))
-    prefix = common.staged(ranked.select("value", "id", "_nth"), "prefix")
-    # First round: a class against the member that each of its first lists picks.
-    picks = prefix.groupBy("value").agg(F.min_by("id", F.xxhash64("value", "id")).alias("pick"), F.count("*").alias("size")).where("size > 1")
-    star = prefix.where(F.col("_nth") <= STAR_LISTS).join(picks, "value").where("id <> pick")
+    prefix = common.staged(ranked.select("value", "id", "_nth", F.col("_central").cast("float").alias("_central")), "prefix")
+    # First round: a class against the members that its first lists pick.
+    picks = prefix.groupBy("value").agg(
+        F.max_by("id", F.struct("_central", F.xxhash64("id"))).alias("pick"), F.min_by("id", F.xxhash64("value", "id")).alias("pick2"), F.count("*").alias("size")
+    ).where("size > 1")
+    near = prefix.where(F.col("_nth") <= STAR_LISTS).join(picks, "value")
+    star = near.select("id", F.explode(F.when(F.col("size") > LONG_LIST, F.array("pick", "pick2")).otherwise(F.array("pick"))).alias("pick")).where("id <> pick")
     star = star.select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
     first = common.staged(confirmed(common.staged(estimated(star, own, threshold), "estimated"), texts, "text", words, percent), "confirmed")
     found = common.staged(components(first), "components")
@@ -267,8 +289,12 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     other = short.select("value", F.col("id").alias("id2"), F.col("component").alias("component2"))
     pairs = short.join(other, "value").where("id < id2 AND component <> component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     pairs = estimated(pairs, own, threshold)
-    long = open_lists.where(F.col("size") > LONG_LIST).join(own, "id")
-    pairs = common.staged(pairs.union(in_blocks(long, threshold)).distinct(), "estimated")
+    long = open_lists.where(F.col("size") > LONG_LIST)
+    ids = long.select("id").distinct()
+    wide = full_sets(texts.join(ids, "id", "left_semi"), "text", words, WIDE)
+    order = prefix.join(ids, "id", "left_semi").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "value"))), lambda x: x["value"]).alias("prefix"))
+    wide = common.staged(wide.join(own.select("id", "n"), "id").join(order, "id"), "wide")
+    pairs = common.staged(pairs.union(in_blocks(long.join(wide, "id"), threshold)).distinct(), "estimated")
     second = common.staged(confirmed(pairs, texts, "text", words, percent), "confirmed")
     final = components(first.union(second))
     named = rows.join(classes, "set", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
