@@ -1 +1 @@
-"""See the package documentation."""
+"""Column expressions: vectors, text, array metrics. All of them run inside the JVM."""

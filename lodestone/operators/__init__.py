@@ -1 +1 @@
-"""See the package documentation."""
+"""Operators over DataFrames: search, fusion, ranking, discovery, evaluation, corpora, lineage, DDL."""

@@ -1,4 +1,8 @@
 """All queries of the engine by name, and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from lodestone.plans import retrieval
+
+QUERIES: dict = {**retrieval.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES}
