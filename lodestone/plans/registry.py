@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import retrieval
+from lodestone.plans import relational, retrieval, statements, texts
 
-QUERIES: dict = {**retrieval.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES}
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (retrieval, relational, texts, statements):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
