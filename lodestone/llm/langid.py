@@ -54,17 +54,47 @@ def letters_of(word: str) -> str:
     return word[a:b]
 
 
-def features(word: str, lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature ids of a word and their values; the trigrams of a word weigh as the root of their number together."""
-    n = len(word)
-    names = ["w" + word, *("<" + word[:k] for k in range(1, min(n, 3) + 1)), *(">" + word[-k:] for k in range(1, min(n, 4) + 1))]
-    names += [f"@{k}" for k in lexicon.get(word, ())]
-    values = [1.0] * len(names)
-    marked = f"^{word}$"
-    grams = [marked[i : i + 3] for i in range(len(marked) - 2)]
-    names += grams
-    values += [len(grams) ** -0.5] * len(grams)
-    return np.array([zlib.crc32(x.encode()) for x in names], np.int64) % FEATURES, np.array(values)
+def _mixed(*parts) -> np.ndarray:
+    """A hash of equally long columns of small numbers."""
+    h = np.array([0x243F6A8885A308D3], np.uint64)
+    for x in parts:
+        h = (h ^ np.asarray(x, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = h ^ (h >> np.uint64(29))
+    return h
+
+
+def features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, feature id, value) of all features of all words, sorted by word; a word's trigrams weigh as the root of their number together."""
+    n = np.array(list(map(len, words)))
+    text = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum(n + 2) - (n + 1)  # of a word's own letters
+    index = np.arange(len(words))
+    found = [(index, _mixed(0, np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words])), np.ones(len(words)))]
+    for side, most in ((1, 3), (2, 4)):
+        for k in range(1, most + 1):
+            own = index[n >= k]
+            at = first[own] if side == 1 else first[own] + n[own] - k
+            found.append((own, _mixed(side, k, *[text[at + j] for j in range(k)]), np.ones(len(own))))
+    start = np.repeat(first - 1, n)
+    at = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
+    found.append((np.repeat(index, n), _mixed(3, text[at], text[at + 1], text[at + 2]), np.repeat(n**-0.5, n)))
+    known = [(i, k) for i, w in enumerate(words) for k in lexicon.get(w, ())]
+    if known:
+        pairs = np.array(known)
+        found.append((pairs[:, 0], _mixed(4, pairs[:, 1]), np.ones(len(pairs))))
+    row, ids, value = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(row, kind="stable")
+    return row[order], (ids[order] % np.uint64(FEATURES)).astype(np.int64), value[order]
+
+
+def word_scores(words: list[str], lexicon: dict[str, list[int]], weights: np.ndarray) -> np.ndarray:
+    """Each word's score for each language."""
+    parts = []
+    for i in range(0, len(words), 20_000):
+        row, ids, value = features(words[i : i + 20_000], lexicon)
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        parts.append(np.add.reduceat(weights[ids] * value[:, None], starts, axis=0))
+    return np.concatenate(parts) if parts else np.empty((0, weights.shape[1]))
 
 
 def fit(windows: list[tuple[str, list[str]]], least: int = 3, seed: int = 7) -> LanguageModel:
@@ -87,7 +117,9 @@ def fit(windows: list[tuple[str, list[str]]], least: int = 3, seed: int = 7) ->
     for lang, words in cleaned:
         ids = np.array([kinds.setdefault(w, len(kinds)) for w in words])
         sequences.append((ids, np.full(len(ids), place[lang])))
-    rows = [features(w, lexicon) for w in kinds]
+    row, feature, value = features(list(kinds), lexicon) if kinds else (np.empty(0, int),) * 3
+    cuts = np.searchsorted(row, np.arange(len(kinds) + 1))
+    rows = [(feature[a:b], value[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     mixed = []
     for _ in range(len(sequences)):
         parts = [sequences[i] for i in rng.integers(0, len(sequences), rng.integers(2, 4))]
@@ -125,35 +157,43 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str =
         own = share.value
         labels, lexicon = own.crf.labels, own.lexicon
         weights, k = own.crf.weights.astype(np.float64), len(own.crf.labels)
-        table: list[np.ndarray] = []
-
-        class Memo(dict):
-            def __missing__(self, raw: str) -> int:
-                word = letters_of(raw)
-                if word:
-                    ids, values = features(word, lexicon)
-                    n = len(table)
-                    table.append(values @ weights[ids])
-                else:
-                    n = -1
-                self[raw] = n
-                return n
-
-        memo = Memo()
+        by_raw: dict[str, int] = {}  # row of the table, or -1 for words without letters
+        by_word: dict[str, int] = {}
+        table = np.empty((0, k))
+
+        def learn(raw: set[str]) -> None:
+            nonlocal table
+            if len(by_raw) + len(raw) > MEMO_WORDS:
+                by_raw.clear()
+                by_word.clear()
+                table = np.empty((0, k))
+            fresh: list[str] = []
+            for r in raw:
+                word = letters_of(r)
+                place = by_word.get(word, -1) if word else -1
+                if word and place < 0:
+                    place = by_word[word] = len(by_word)
+                    fresh.append(word)
+                by_raw[r] = place
+            if fresh:
+                table = np.concatenate([table, word_scores(fresh, lexicon, weights)])
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(text).to_pylist()
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                table.clear()
-            get = memo.__getitem__
-            ids = [np.fromiter(map(get, (t or "").split()), np.int64) for t in texts]
+            split = [(t or "").split() for t in texts]
+            seen: set[str] = set().union(*split)
+            new = seen - by_raw.keys()
+            if len(by_raw) + len(new) > MEMO_WORDS:
+                new = seen  # everything is forgotten first
+            learn(new)
+            get = by_raw.__getitem__
+            ids = [np.fromiter(map(get, words), np.int64, len(words)) for words in split]
             ids = [x[x >= 0] for x in ids]
             lengths = np.array([len(x) for x in ids], np.int64)
             some = np.flatnonzero(lengths)
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if len(some) and k:
-                p = crf.marginals(np.array(table)[np.concatenate([ids[i] for i in some])], lengths[some], own.crf.trans, own.crf.start)
+                p = crf.marginals(table[np.concatenate([ids[i] for i in some])], lengths[some], own.crf.trans, own.crf.start)
                 mean = np.add.reduceat(p, np.cumsum(lengths[some]) - lengths[some], axis=0) / lengths[some][:, None]
                 best = mean.argmax(axis=1)
                 names[some] = np.array(labels, object)[best]
