@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows that one part of words, pairs or ids may hold on average.
-PART_ROWS = 2_000_000
+PART_ROWS = 1_600_000
+#: Rows of statistics that one part of ids may gather on average.
+GATHERED_ROWS = 400_000
 #: Tokens that a task gathers before it counts and emits them.
 GATHERED = 3_000_000
 START = np.uint64(0xFFFFFFFF)
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 M1, M2, S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 U32 = np.uint64(32)
 
@@ -167,7 +169,7 @@ class KneserNey:
         self.words.opened()
         self.pairs.opened()
         if self._dense is None:
-            sizes = [min(self.id_rows, self.n_words + 1 - a) for a in range(0, self.n_words + 1, self.id_rows)]
+            sizes = [min(self.id_rows, self.n_words + 1 - a) for a in range(0, self.n_words + 1, self.id_rows)] if self.n_pairs else []
             self._dense = [[map_array(self.folder, f"{p}.{c}", "u4" if c != "total" else "u8", n) for p, n in enumerate(sizes)] for c in STATISTICS]
         return self
 
@@ -248,6 +250,7 @@ def train(df: DataFrame, text: str = "text") -> KneserNey:
 
     counted = texts.mapInArrow(lambda b: _flushed(b, None, parts), "part int, key long, n long")
     stored = {r["part"]: r for r in counted.groupBy("part").applyInArrow(store_words, "part int, rows long, total long").collect()}  # one row a part
+    common.release(spark)
     words = Parts(f"{folder}/words", [stored[p]["rows"] if p in stored else 0 for p in range(parts)])
     n_words, n_tokens = sum(words.rows), sum(r["total"] for r in stored.values())
     if n_words >= int(START):
@@ -261,8 +264,6 @@ def train(df: DataFrame, text: str = "text") -> KneserNey:
         before[np.cumsum(lengths) - lengths] = START
         return before << U32 | ids
 
-    id_rows = PART_ROWS
-
     def store_pairs(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
         h, pair, n = _summed(table, True)
@@ -273,14 +274,16 @@ def train(df: DataFrame, text: str = "text") -> KneserNey:
         a, b = at[: len(left)], at[len(left) :]
         columns = [np.bincount(a, w, len(ids)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)] + [np.bincount(b, minlength=len(ids))]
         sums = [len(h), *((n == k).sum() for k in (1, 2, 3, 4))]
-        head = {"part": [-1], "id": [part], **{c: [int(v)] for c, v in zip(STATISTICS, sums, strict=True)}}
-        out = {"part": (ids // id_rows).astype(np.int32), "id": ids, **dict(zip(STATISTICS, columns, strict=True))}
+        head = {"id": [-1 - part], **{c: [int(v)] for c, v in zip(STATISTICS, sums, strict=True)}}
+        out = {"id": ids, **dict(zip(STATISTICS, columns, strict=True))}
         return pa.table({c: pa.array(np.concatenate([np.array(head[c], out[c].dtype), out[c]])) for c in out})
 
-    schema = "part int, id long, " + ", ".join(f"{c} long" for c in STATISTICS)
+    schema = "id long, " + ", ".join(f"{c} long" for c in STATISTICS)
     gathered = texts.mapInArrow(lambda b: _flushed(b, pair_keys, pair_parts), "part int, key long, n long").groupBy("part").applyInArrow(store_pairs, schema)
     gathered = common.staged(gathered, "kneser-ney-statistics")
-    heads = {r["id"]: r for r in gathered.where("part = -1").collect()}  # one row a part
+    heads = {-1 - r["id"]: r for r in gathered.where("id < 0").collect()}  # one row a part
+    # Parts of ids: as many as keep the gathered rows of each small.
+    id_rows = -(-(n_words + 1) // max(1, -(-gathered.count() // GATHERED_ROWS)))
     pairs = Parts(f"{folder}/pairs", [heads[p]["total"] if p in heads else 0 for p in range(pair_parts)])
     n_pairs = sum(pairs.rows)
 
@@ -294,7 +297,9 @@ def train(df: DataFrame, text: str = "text") -> KneserNey:
         before = dense[-1]
         return pa.table({"part": pa.array([part], pa.int32()), **{f"n{k}": pa.array([int((before == k).sum())]) for k in (1, 2, 3, 4)}, "more": pa.array([int((before > 2).sum())])})
 
-    of_ids = gathered.where("part >= 0").groupBy("part").applyInArrow(store_ids, "part int, n1 long, n2 long, n3 long, n4 long, more long").collect()
+    numbered = gathered.where("id >= 0").select(F.expr(f"id div {id_rows}").cast("int").alias("part"), "id", *STATISTICS)
+    of_ids = numbered.groupBy("part").applyInArrow(store_ids, "part int, n1 long, n2 long, n3 long, n4 long, more long").collect()
+    common.release(spark)
     of_words = [sum(r[f"n{k}"] for r in of_ids) for k in (1, 2, 3, 4)]
     word_discounts = discounts(of_words)
     taken = word_discounts[1] * of_words[0] + word_discounts[2] * of_words[1] + word_discounts[3] * sum(r["more"] for r in of_ids)
