@@ -7,7 +7,7 @@
    share at least one: each class only enters the lists of its rarest values, as many as the least overlap asks for
    (prefix filtering). Values with a list of one need no list; classes that have enough of those are done.
 3. A first round tests, in the first few lists of a class, the class against the list's most central member (whose values
-   have the longest lists; in a group of near copies that is the original) and, in long lists, one picked by a hash.
+   have the longest lists; in a group of near copies that is the original).
    Linked classes become components. The second round tests every pair of a list that is in different components:
    directly in short lists; in long ones in blocks, members outside the list's largest component against all members,
    each pair in the first list that it shares only, with wider sketches, and with one link for two components.
@@ -28,16 +28,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .lm import map_array, write_array
 
 SKETCH, WIDE, INDEXED, LEAST_OVERLAP = 64, 512, 64, 40
 STAR_LISTS = 3
-LONG_LIST, BLOCK = 40, 512
+LONG_LIST, BLOCK, COLUMNS = 40, 2048, 4096
+#: A filter of ids has 16 bits for each, and no more than this altogether; beyond that it lets more rows through.
+FILTER_BITS = 1 << 27
 MARGIN = 4.5
 MULTIPLIER, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 MEMO_WORDS = 400_000
@@ -96,18 +100,59 @@ def sketches(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
     return common.map_slices(df.select(F.col(key).cast("long").alias(key), text), make, "id long, n long, set string, sketch binary", text)
 
 
-def full_sets(df: DataFrame, text: str, words: int, most: int | None = None) -> DataFrame:
-    """id and the sorted set of shingle hashes, or the `most` smallest ones, as binary."""
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Four bit positions of each id."""
+    x = ids.astype(np.int64).view(np.uint64)
+    out = np.empty((len(x), 4), np.int64)
+    for k in range(4):
+        x = (x ^ (x >> SHIFT)) * MULTIPLIER + np.uint64(k + 1)
+        out[:, k] = ((x ^ (x >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+    return out
 
-    def make():
-        hashes = hasher()
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([hashes(t, words)[:most].tobytes() for t in batch.column(text).to_pylist()], pa.binary())], ["id", "hashes"])
+def id_filter(ids: DataFrame) -> tuple[str, int]:
+    """Write a Bloom filter of the ids into the shared folder: (folder, bits). Its size is bounded, and so is what one task merges."""
+    n = ids.count()
+    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * n).bit_length()))
+    folder = common.fresh_path(ids.sparkSession, "id-filter")
 
-        return work
+    def words(batches):
+        for b in batches:
+            at = np.unique(_places(b.column("id").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "bit"])
 
-    return common.map_slices(df, make, "id long, hashes binary", text)
+    def store(batches):
+        out = np.zeros(bits // 64, np.int64)
+        for b in batches:
+            out[b.column("word").to_numpy()] |= b.column("bits").to_numpy()
+        write_array(folder, "filter", out)
+        yield pa.RecordBatch.from_arrays([pa.array([bits])], ["bits"])
+
+    merged = ids.select("id").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    merged.coalesce(1).mapInArrow(store, "bits long").collect()
+    return folder, bits
+
+
+def full_sets(df: DataFrame, ids: DataFrame, text: str, words: int, most: int | None = None) -> DataFrame:
+    """id and the sorted set of shingle hashes, or the `most` smallest ones, as binary, of the rows with one of the ids.
+
+    Texts are not shuffled: a filter of the ids in the shared folder picks rows where they are read, and an exact join
+    drops what it lets through besides.
+    """
+    common.ship(df.sparkSession)
+    folder, bits = id_filter(ids)
+
+    def run(batches):
+        kept, hashes = None, hasher()
+        for batch in batches:
+            kept = map_array(folder, "filter", "i8", bits // 64) if kept is None else kept
+            known = pc.fill_null(batch.column("id"), 0).to_numpy()
+            at = _places(known, bits)
+            good = pa.array(((kept[at >> 6] >> (at & 63)) & 1).all(axis=1))
+            for piece in common.slices([batch.filter(good)], text):
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([hashes(t, words)[:most].tobytes() for t in piece.column(text).to_pylist()], pa.binary())], ["id", "hashes"])
+
+    return df.where("id IS NOT NULL").select("id", text).mapInArrow(run, "id long, hashes binary").join(ids.select("id"), "id", "left_semi")
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -174,7 +219,7 @@ def estimated(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets have 100 * intersection >= percent * union."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = common.staged(full_sets(texts.join(nodes, "id", "left_semi"), text, words), "sets")
+    sets = common.staged(full_sets(texts, common.staged(nodes, "nodes"), text, words), "sets")
 
     def run(batches):
         for batch in batches:
@@ -203,16 +248,20 @@ def in_blocks(lists: DataFrame, threshold: float) -> DataFrame:
     targets = lists.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("q"), block.alias("t"), F.lit(False).alias("asks"))
     queries = lists.where(F.col("component") != F.col("largest")).select("*", block.alias("q"), F.explode(F.sequence(F.lit(0), count - 1)).alias("t"), F.lit(True).alias("asks"))
 
-    def indicators(rows: list[np.ndarray]) -> np.ndarray:
-        """0/1 matrix of rows by values that occur in more than one row."""
+    def overlaps(rows: list[np.ndarray], query: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """How many values each query shares with each target; dense for COLUMNS values at a time."""
         flat = np.concatenate(rows)
         _, column = np.unique(flat, return_inverse=True)
         used = np.bincount(column, minlength=1) > 1
         number, pick = np.cumsum(used) - 1, used[column]
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        wide = np.zeros((len(rows), int(used.sum())), np.float32)
-        wide[row[pick], number[column[pick]]] = 1
-        return wide
+        row, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[pick], number[column[pick]]
+        out = np.zeros((len(query), len(target)), np.float32)
+        for start in range(0, int(used.sum()), COLUMNS):
+            own = (column >= start) & (column < start + COLUMNS)
+            wide = np.zeros((len(rows), COLUMNS), np.float32)
+            wide[row[own], column[own] - start] = 1
+            out += wide[query] @ wide[target].T
+        return out
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         value = key[0].as_py()
@@ -227,16 +276,13 @@ def in_blocks(lists: DataFrame, threshold: float) -> DataFrame:
             open_ &= (comp[ti] == largest) | (ids[qi] < ids[ti])  # where both ask, once is enough
             if open_.any():
                 before = [np.array(p[: p.index(value)], np.int64) for p in table.column("prefix").to_pylist()]
-                earlier = indicators(before)
-                if earlier.shape[1]:
-                    open_ &= (earlier[query] @ earlier[target].T) == 0
+                open_ &= overlaps(before, query, target) == 0
             if open_.any():
                 kept = [np.frombuffer(s, np.uint64) for s in table.column("hashes").to_pylist()]
                 if open_.sum() > 2000:
                     # Overlaps of all sketches at once; a linked pair shares about this part of the smaller one at least.
-                    values = indicators(kept)
                     least = threshold * np.minimum(np.minimum(n[qi], n[ti]), WIDE) - np.where(np.maximum(n[qi], n[ti]) > WIDE, MARGIN * math.sqrt(WIDE * threshold * (1 - threshold)) + 1, 1e-6)
-                    open_ &= values[query] @ values[target].T >= least
+                    open_ &= overlaps(kept, query, target) >= least
                 done = set()
                 for i, j in np.argwhere(open_):
                     p, q = query[i], target[j]
@@ -274,11 +320,10 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     prefix = common.staged(ranked.select("value", "id", "_nth", F.col("_central").cast("float").alias("_central")), "prefix")
     # First round: a class against the members that its first lists pick.
     picks = prefix.groupBy("value").agg(
-        F.max_by("id", F.struct("_central", F.xxhash64("id"))).alias("pick"), F.min_by("id", F.xxhash64("value", "id")).alias("pick2"), F.count("*").alias("size")
+        F.max_by("id", F.struct("_central", F.xxhash64("id"))).alias("pick"), F.count("*").alias("size")
     ).where("size > 1")
     near = prefix.where(F.col("_nth") <= STAR_LISTS).join(picks, "value")
-    star = near.select("id", F.explode(F.when(F.col("size") > LONG_LIST, F.array("pick", "pick2")).otherwise(F.array("pick"))).alias("pick")).where("id <> pick")
-    star = star.select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
+    star = near.where("id <> pick").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
     first = common.staged(confirmed(common.staged(estimated(star, own, threshold), "estimated"), texts, "text", words, percent), "confirmed")
     found = common.staged(components(first), "components")
     # Second round: pairs of a list in different components.
@@ -290,8 +335,8 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     pairs = short.join(other, "value").where("id < id2 AND component <> component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     pairs = estimated(pairs, own, threshold)
     long = open_lists.where(F.col("size") > LONG_LIST)
-    ids = long.select("id").distinct()
-    wide = full_sets(texts.join(ids, "id", "left_semi"), "text", words, WIDE)
+    ids = common.staged(long.select("id").distinct(), "nodes")
+    wide = full_sets(texts, ids, "text", words, WIDE)
     order = prefix.join(ids, "id", "left_semi").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "value"))), lambda x: x["value"]).alias("prefix"))
     wide = common.staged(wide.join(own.select("id", "n"), "id").join(order, "id"), "wide")
     pairs = common.staged(pairs.union(in_blocks(long.join(wide, "id"), threshold)).distinct(), "estimated")
@@ -302,11 +347,16 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     return named.select("id", F.col("n").alias("n_shingles"), smallest.cast("long").alias("component_id"))
 
 
-def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the frame whose id is the smallest of their group, the first row of each such id, and rows with a null id."""
+def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, files: bool = False) -> DataFrame:
+    """The rows of the frame whose id is the smallest of their group, the first row of each such id, and rows with a null id.
+
+    files: the frame is a plain read of files, so that rows have the same numbers in every read; others are written first.
+    """
     row = "_lodestone_row"
-    numbered = df.withColumn(row, F.monotonically_increasing_id())  # the same in every read of the same files
-    kept = groups(df, text, key, words, percent).where("id = component_id").select("id").distinct()
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    if not files:
+        numbered = common.staged(numbered, "numbered")
+    kept = groups(numbered, text, key, words, percent).where("id = component_id").select("id").distinct()
     first = numbered.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(row).alias("_first"))
     chosen = first.join(kept, "id", "left_semi").select(F.col("_first").alias(row)).union(numbered.where(F.col(key).isNull()).select(row))
     return numbered.join(chosen, row, "left_semi").drop(row)
