@@ -19,6 +19,11 @@ INDEX_STOPWORDS = ["show", "want", "please", "column", "table", "view"]
 LEXER = r"[^\p{L}\p{N}_]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -39,14 +44,18 @@ def keyword_query(c: Column) -> Column:
     """Distinct upper-case words of a question joined by OR, in order of appearance; null if only stop words are left."""
     words = F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.lower(w))
     kept = F.array_distinct(F.filter(words, lambda w: ~w.isin(QUESTION_STOPWORDS)))
-    return F.nullif(F.array_join(F.transform(kept, lambda w: F.upper(w)), " OR "), F.lit(""))
+    return let(F.array_join(F.transform(kept, lambda w: F.upper(w)), " OR "), lambda x: F.when(x != "", x))
 
 
 def chunks(words: Column, size: int = 100, overlap: int = 10) -> Column:
     """Windows of words; each starts `size - overlap` words after the one before it."""
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(step))
-    return F.filter(F.transform(starts, lambda i: F.slice(words, i + 1, size)), lambda c: F.size(c) > 0)
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - overlap - 1, F.lit(0)), F.lit(step))
+        return F.filter(F.transform(starts, lambda i: F.slice(w, i + 1, size)), lambda c: F.size(c) > 0)
+
+    return let(words, cut)
 
 
 def annotation_text(pairs: Column, raw: Column) -> Column:
@@ -60,9 +69,12 @@ def annotation_text(pairs: Column, raw: Column) -> Column:
 
 def clean_description(c: Column, most: int = 3900) -> Column:
     """Collapsed text cut to `most` characters with an ellipsis; null if it says nothing."""
-    flat = collapse(c)
-    empty = flat.isNull() | (flat == "") | F.lower(flat).isin("<comment>", "comment", "null", "none", "n/a")
-    return F.when(~empty, F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat))
+
+    def cut(flat: Column) -> Column:
+        says = flat.isNotNull() & (flat != "") & ~F.lower(flat).isin("<comment>", "comment", "null", "none", "n/a")
+        return F.when(says, F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat))
+
+    return let(collapse(c), cut)
 
 
 def short_identifier(c: Column, most: int = 100) -> Column:

@@ -110,7 +110,7 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "
     asked = query_terms(queries, F.col("text"))
     wanted = asked.select("term").distinct()
     # Each term carries its document's length: the terms are made once for a text, not once for a row of the explode.
-    with_len = F.get(F.transform(F.array(terms), lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("len")))), F.lit(0))
+    with_len = T.let(terms, lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("len"))))
     counts = docs.select(F.col(key).alias("id"), F.explode(with_len).alias("t")).select("id", "t.*").join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     freq = counts.groupBy("term").agg(F.count("*").alias("df"))
     part = counts.join(freq, "term").crossJoin(F.broadcast(total))

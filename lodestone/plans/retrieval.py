@@ -101,9 +101,9 @@ def _fused(scorer, fusion):
 
 def _chunk_rows(spark, d):
     words = F.split(T.collapse(F.col("text")), " ")
-    chunks = _table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", F.posexplode(T.chunks(words)).alias("chunk", "words"))
-    long = F.size(F.filter("words", lambda w: F.length(w) >= 8))
-    return chunks.select("doc_id", "chunk", (long / F.size("words")).alias("share"))
+    share = lambda c: F.size(F.filter(c, lambda w: F.length(w) >= 8)) / F.size(c)
+    shares = F.transform(T.chunks(words), share)
+    return _table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", F.posexplode(shares).alias("chunk", "share"))
 
 
 def chunk_aggregate_max(spark, d):
