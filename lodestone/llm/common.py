@@ -115,9 +115,23 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text",
         for piece in slices(batches, column, most):
             work = work or make()
             yield work(piece)
+        del work
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system: workers live on and would hold it beside the next task's."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back by hand
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

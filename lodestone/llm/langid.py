@@ -30,7 +30,7 @@ from . import common, crf
 
 FEATURES = 1 << 16
 UNKNOWN = "und"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 @dataclass

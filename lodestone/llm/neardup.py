@@ -44,7 +44,7 @@ LONG_LIST, BLOCK, COLUMNS = 40, 2048, 4096
 FILTER_BITS = 1 << 27
 MARGIN = 4.5
 MULTIPLIER, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def hasher():
@@ -222,7 +222,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, text: str, words: int, percent
     sets = common.staged(full_sets(texts, common.staged(nodes, "nodes"), text, words), "sets")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "h_a"):
             good = []
             for s, t in zip(batch.column("h_a").to_pylist(), batch.column("h_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
