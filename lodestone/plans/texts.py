@@ -65,8 +65,8 @@ def fuzzy_terms(spark, d):
     """Pairs of label words of parts within one edit."""
     words = _table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     a, b = words.select(F.col("w").alias("a")), words.select(F.col("w").alias("b"))
-    # Words within one edit share their first or their second half; keyed on halves instead of all pairs.
-    half = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.length(c) - 1), lambda i: F.array(F.concat(F.substring(c, F.lit(1), i), F.lit("*"), F.substring(c, i + 2, F.length(c))), F.concat(F.substring(c, F.lit(1), i), F.lit("*"), F.substring(c, i + 1, F.length(c))))))))
+    # Words within one edit share a key: a word with a gap in place of a letter, or with a gap put in at any place, the end included (there both keys are the same).
+    half = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.array(F.concat(F.substring(c, F.lit(1), i), F.lit("*"), F.substring(c, i + 2, F.length(c))), F.concat(F.substring(c, F.lit(1), i), F.lit("*"), F.substring(c, i + 1, F.length(c))))))))
     left, right = a.withColumn("k", half(F.col("a"))), b.withColumn("k", half(F.col("b")))
     near = left.join(right, "k").where("a < b").select("a", "b").distinct()
     return near.where(T.fuzzy_equal(F.col("a"), F.col("b")))
