@@ -1,18 +1,23 @@
 """Interpolated modified Kneser-Ney language model (operator 3), stored as sorted hash arrays that workers map into memory.
 
-Tokens are words (A-Z lower-cased) and an end of text. Training takes three shuffles, each dealt out by uniform hashes, so
-that no frequent word makes a large group:
+Tokens are words (A-Z lower-cased) and an end of text. Training takes one shuffle more than the order, each dealt out by uniform
+hashes, so that no frequent word makes a large group:
 
 1. words: counts by 64-bit hash. Each part is a range of hashes and becomes a sorted array; a word's id is its place in
    all parts. The number of tokens N and of different tokens V are sums over the parts.
-2. pairs of neighbouring ids (a text begins after a virtual start): counts by a bijective hash of the pair, again in
-   parts of sorted arrays. Each part also reports, for each id, what it adds to the discounting statistics.
-3. statistics: for each id as a context its pairs' total and how many pairs occur once, twice, or more; for each id as a
-   continuation the number of different words before it. Written as dense arrays by id.
-
-The arrays are files in the shared folder, moved into place when complete, so a task that runs again replaces them with
-equal ones. Scoring maps them (a store without local paths is copied to an unlinked local file first) and looks up the
-sorted distinct keys of a slice of texts. The order is two: a third order adds about 1.5 times as many entries again.
+2. n-grams of the model's order as tuples of ids (a text begins after a virtual start, before which is padding): counts
+   by hash, again in parts of sorted arrays. Each part also reports what it adds to the statistics of the n-grams that are
+   one word shorter: for each one as a context its n-grams' total and how many of them occur once, twice, or more; for
+   each one as a continuation the number of different words before it.
+3. each lower order down to pairs, from what the order above reports: its counts are the numbers of different words before
+   (occurrences for n-grams at a text's start, which nothing precedes: padded n-grams carry them down), stored in the same
+   way beside the total and the left-over share as a context; it reports in turn to the order below.
+4. statistics of single ids from what pairs report. Written as dense arrays by id.
+
+The hash of a pair is bijective. Longer n-grams, as words, are told apart by 64 bits: among n of them some n**2 / 2**65
+pairs collide (2e-4 for 80 million). The arrays are files in the shared folder, moved into place when complete, so a task
+that runs again replaces them with equal ones. Scoring maps them (a store without local paths is copied to an unlinked
+local file first) and looks up the sorted distinct keys of a slice of texts. Any order from two on can be asked for.
 
 Edge cases: a null text counts as empty and is its end token; with an empty training set every token has probability
 1 / (V + 1) = 1; unknown words get the share that discounting leaves for them; texts of any length are read whole;
@@ -40,7 +45,7 @@ PART_ROWS = 1_600_000
 GATHERED_ROWS = 400_000
 #: Tokens that a task gathers before it counts and emits them.
 GATHERED = 3_000_000
-START = np.uint64(0xFFFFFFFF)
+START, PAD = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)
 MEMO_WORDS = 250_000
 M1, M2, S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 U32 = np.uint64(32)
@@ -58,6 +63,38 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> U32) * np.uint64(parts)) >> U32).astype(np.int32)
 
 
+def packed(w: list[np.ndarray]) -> list[np.ndarray]:
+    """n-grams given as an array of ids for each place -> two ids to a 64-bit number, the first alone where they are odd."""
+    odd = len(w) % 2
+    return w[:odd] + [a << U32 | b for a, b in zip(w[odd::2], w[odd + 1 :: 2], strict=True)]
+
+
+def unpacked(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    return columns[: k % 2] + [x for c in columns[k % 2 :] for x in (c >> U32, c & START)]
+
+
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of packed n-grams; a bijection for pairs."""
+    h = mixed(columns[0])
+    for c in columns[1:]:
+        h = mixed(h ^ c)
+    return h
+
+
+def packed_names(k: int) -> list[str]:
+    return [f"key{j}" for j in range((k + 1) // 2)]
+
+
+def before(ids: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
+    """The id m places before each token; a text begins after START, before which is PAD."""
+    out = np.full(len(ids), int(PAD), np.int64)
+    out[m:] = ids[: max(0, len(ids) - m)]
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[place < m] = int(PAD)
+    out[place == m - 1] = int(START)
+    return out
+
+
 def tokens():
     """texts -> (hashes of all their tokens one after another, number of tokens of each)."""
     import xxhash
@@ -126,27 +163,43 @@ class Parts:
     rows: list[int]
     keys: list[np.ndarray] = field(default_factory=list)
     counts: list[np.ndarray] = field(default_factory=list)
+    total_type: str = ""  # of the totals as contexts of longer n-grams, where there are any
 
     def opened(self) -> Parts:
         if not self.keys:
             self.keys = [map_array(self.folder, f"{p}.keys", "u8", n) for p, n in enumerate(self.rows)]
             self.counts = [map_array(self.folder, f"{p}.counts", "u4", n) for p, n in enumerate(self.rows)]
             self.first = np.cumsum([0, *self.rows])
+            if self.total_type:
+                self.totals = [map_array(self.folder, f"{p}.totals", self.total_type, n) for p, n in enumerate(self.rows)]
+                self.shares = [map_array(self.folder, f"{p}.shares", "f8", n) for p, n in enumerate(self.rows)]
         return self
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in all parts or -1, count or 0) of sorted hashes."""
         place, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        for p, own, at, hit in self._hits(h):
+            place[own] = np.where(hit, at + self.first[p], -1)
+            count[own] = np.where(hit, self.counts[p][at], 0)
+        return place, count
+
+    def context(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total or 0, left-over share) of sorted hashes as contexts."""
+        total, share = np.zeros(len(h), np.float64), np.ones(len(h), np.float64)
+        for p, own, at, hit in self._hits(h):
+            total[own] = np.where(hit, self.totals[p][at], 0)
+            share[own] = np.where(hit, self.shares[p][at], 1)
+        return total, share
+
+    def _hits(self, h: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """For each part with some of the sorted hashes: its number, which ones, their places in it, and whether they are there."""
         edges = np.searchsorted(part_of(h, len(self.rows)), np.arange(len(self.rows) + 1)) if len(h) else []
         for p in range(len(self.rows) if len(h) else 0):
             a, b = edges[p], edges[p + 1]
             if a == b or not self.rows[p]:
                 continue
             at = np.minimum(np.searchsorted(self.keys[p], h[a:b]), self.rows[p] - 1)
-            hit = self.keys[p][at] == h[a:b]
-            place[a:b] = np.where(hit, at + self.first[p], -1)
-            count[a:b] = np.where(hit, self.counts[p][at], 0)
-        return place, count
+            yield p, slice(a, b), at, self.keys[p][at] == h[a:b]
 
 
 @dataclass
@@ -161,6 +214,7 @@ class KneserNey:
     pair_discounts: np.ndarray  # for counts of 0, 1, 2, 3 and more
     word_discounts: np.ndarray
     left_over: float  # probability that the unigrams leave for the uniform distribution
+    higher: list[tuple[Parts, np.ndarray]] = field(default_factory=list)  # n-grams and discounts of orders three and more
 
     def __post_init__(self):
         self._dense = None
@@ -168,6 +222,8 @@ class KneserNey:
     def opened(self) -> KneserNey:
         self.words.opened()
         self.pairs.opened()
+        for grams, _ in self.higher:
+            grams.opened()
         if self._dense is None:
             sizes = [min(self.id_rows, self.n_words + 1 - a) for a in range(0, self.n_words + 1, self.id_rows)] if self.n_pairs else []
             self._dense = [[map_array(self.folder, f"{p}.{c}", "u4" if c != "total" else "u8", n) for p, n in enumerate(sizes)] for c in STATISTICS]
@@ -187,20 +243,29 @@ STATISTICS = ("total", "once", "twice", "more", "before")
 
 
 def _flushed(batches: Iterator[pa.RecordBatch], keys_of, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, key, n) for the distinct keys of every GATHERED tokens."""
+    """(part, keys, n) for the distinct keys of every GATHERED tokens; keys_of makes packed n-grams of tokens."""
     hashes = tokens()
     held, size = [], 0
 
     def emit():
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        part = part_of(mixed(key) if keys_of is not None else key, parts)
-        for a in range(0, len(key), 100_000):
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        if len(columns) == 1:
+            key, n = np.unique(columns[0], return_counts=True)
+            columns, h = [key], mixed(key) if keys_of is not None else key
+        else:
+            h = hashed(columns)
+            order = np.argsort(h)
+            h = h[order]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            columns, h, n = [c[order[starts]] for c in columns], h[starts], np.diff(np.append(starts, len(order)))
+        part = part_of(h, parts)
+        for a in range(0, len(h), 100_000):
             cut = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(key[cut].view(np.int64)), pa.array(n[cut])], ["part", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *(pa.array(c[cut].view(np.int64)) for c in columns), pa.array(n[cut])], ["part", *(f"key{j}" for j in range(len(columns))), "n"])
 
     for batch in common.slices(batches, "text"):
         h, lengths = hashes(batch.column("text").to_pylist())
-        held.append(h if keys_of is None else keys_of(h, lengths))
+        held.append([h] if keys_of is None else keys_of(h, lengths))
         size += len(h)
         if size >= GATHERED:
             yield from emit()
@@ -209,14 +274,18 @@ def _flushed(batches: Iterator[pa.RecordBatch], keys_of, parts: int) -> Iterator
         yield from emit()
 
 
-def _summed(table: pa.Table, bijective: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, their keys and summed counts of a part."""
-    key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    h = mixed(key) if bijective else key
+def _distinct(h: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted hashes, their keys and summed values."""
     order = np.argsort(h)
-    h, key, n = h[order], key[order], n[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[starts], key[starts], np.add.reduceat(n, starts)
+    h = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return h[starts], [c[order[starts]] for c in columns], [np.add.reduceat(v[order].astype(np.int64), starts) if len(h) else v for v in values]
+
+
+def _summed(table: pa.Table, k: int, values: tuple[str, ...] = ("n",)) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted hashes of a part's n-grams (of words' hashes where k is 1), their keys and summed values."""
+    columns = [table.column(c).to_numpy().view(np.uint64) for c in packed_names(k)]
+    return _distinct(hashed(columns) if k > 1 else columns[0], columns, [table.column(c).to_numpy() for c in values])
 
 
 def _store(folder: str, part: int, h: np.ndarray, n: np.ndarray) -> None:
@@ -234,8 +303,17 @@ def discounts(counts_of_counts: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-def train(df: DataFrame, text: str = "text") -> KneserNey:
+def share(once: np.ndarray, twice: np.ndarray, more: np.ndarray, total: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What discounting leaves of contexts' totals for the order below; all of it where the total is 0."""
+    out, used = np.ones(len(total)), total > 0
+    out[used] = (d[1] * once + d[2] * twice + d[3] * more)[used] / total[used]
+    return out
+
+
+def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     """Count and store a model of all texts of the frame."""
+    if order < 2:
+        raise ValueError("the order must be two at least")
     spark = df.sparkSession
     common.ship(spark)
     folder = common.fresh_path(spark, "kneser-ney")
@@ -244,47 +322,86 @@ def train(df: DataFrame, text: str = "text") -> KneserNey:
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        h, _, n = _summed(table, False)
+        h, _, (n,) = _summed(table, 1)
         _store(f"{folder}/words", part, h, n)
         return pa.table({"part": pa.array([part], pa.int32()), "rows": pa.array([len(h)]), "total": pa.array([int(n.sum())])})
 
-    counted = texts.mapInArrow(lambda b: _flushed(b, None, parts), "part int, key long, n long")
+    counted = texts.mapInArrow(lambda b: _flushed(b, None, parts), "part int, key0 long, n long")
     stored = {r["part"]: r for r in counted.groupBy("part").applyInArrow(store_words, "part int, rows long, total long").collect()}  # one row a part
     common.release(spark)
     words = Parts(f"{folder}/words", [stored[p]["rows"] if p in stored else 0 for p in range(parts)])
     n_words, n_tokens = sum(words.rows), sum(r["total"] for r in stored.values())
-    if n_words >= int(START):
-        raise ValueError("more than 2**32 - 1 different words: ids of pairs would overflow")
-    pair_parts = max(1, -(-n_tokens // PART_ROWS))
-
-    def pair_keys(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        ids = word_ids(words.opened(), h)[0].astype(np.uint64)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[np.cumsum(lengths) - lengths] = START
-        return before << U32 | ids
-
-    def store_pairs(key: tuple, table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        h, pair, n = _summed(table, True)
-        _store(f"{folder}/pairs", part, h, n)
-        left, right = (pair >> U32).astype(np.int64), (pair & START).astype(np.int64)
-        left[left == int(START)] = n_words  # the start's statistics come last
-        ids, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-        a, b = at[: len(left)], at[len(left) :]
-        columns = [np.bincount(a, w, len(ids)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)] + [np.bincount(b, minlength=len(ids))]
-        sums = [len(h), *((n == k).sum() for k in (1, 2, 3, 4))]
-        head = {"id": [-1 - part], **{c: [int(v)] for c, v in zip(STATISTICS, sums, strict=True)}}
-        out = {"id": ids, **dict(zip(STATISTICS, columns, strict=True))}
-        return pa.table({c: pa.array(np.concatenate([np.array(head[c], out[c].dtype), out[c]])) for c in out})
-
-    schema = "id long, " + ", ".join(f"{c} long" for c in STATISTICS)
-    gathered = texts.mapInArrow(lambda b: _flushed(b, pair_keys, pair_parts), "part int, key long, n long").groupBy("part").applyInArrow(store_pairs, schema)
+    if n_words >= int(PAD):
+        raise ValueError("more than 2**32 - 2 different words: ids of n-grams would overflow")
+    # Every token ends one n-gram of the order; each of them reports to two shorter ones at most.
+    parts_of = {k: max(1, -(-(n_tokens if k == order else 2 * n_tokens) // PART_ROWS)) for k in range(2, order + 1)}
+    total_type = "u4" if n_tokens < 2**32 else "u8"
+
+    def keys_of(h: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        ids = word_ids(words.opened(), h)[0]
+        return packed([before(ids, lengths, m).astype(np.uint64) for m in range(order - 1, 0, -1)] + [ids.astype(np.uint64)])
+
+    def store_grams(k: int, above: np.ndarray | None):
+        """Store a part of the n-grams of k words; above: the discounts of the order above, where there is one."""
+
+        def store(key: tuple, table: pa.Table) -> pa.Table:
+            part = key[0].as_py()
+            h, columns, values = _summed(table, k, ("n",) if above is None else STATISTICS)
+            n, w = values[-1], unpacked(columns, k)
+            real = w[0] != PAD
+            _store(f"{folder}/{k}", part, h[real], n[real])
+            if above is not None:
+                total, once, twice, more = (v[real] for v in values[:4])
+                write_array(f"{folder}/{k}", f"{part}.totals", total.astype(total_type))
+                write_array(f"{folder}/{k}", f"{part}.shares", share(once, twice, more, total, above))
+            sums = [int(real.sum()), *(int((n[real] == c).sum()) for c in (1, 2, 3, 4))]
+            own, nil = n[real], np.zeros(len(n), np.int64)
+            sides = [np.concatenate([a, b]) for a, b in zip((own, own == 1, own == 2, own > 2, nil[real]), (nil, nil, nil, nil, np.where(real, 1, n)), strict=True)]
+            shorter = [np.concatenate([a[real], b]) for a, b in zip(w[:-1], w[1:], strict=True)]
+            if k > 2:
+                shorter = packed(shorter)
+                h, shorter, sides = _distinct(hashed(shorter), shorter, sides)
+                out = {"part": part_of(h, parts_of[k - 1]), **{c: x.view(np.int64) for c, x in zip(packed_names(k - 1), shorter, strict=True)}}
+                head = {c: -1 - part if c == "part" else 0 for c in out}
+            else:
+                ids = shorter[0].astype(np.int64)
+                ids[ids == int(START)] = n_words  # the start's statistics come last
+                h, (ids,), sides = _distinct(ids, [ids], sides)
+                out, head = {"id": ids}, {"id": -1 - part}
+            out |= dict(zip(STATISTICS, sides, strict=True))
+            head |= dict(zip(STATISTICS, sums, strict=True))
+            return pa.table({c: pa.array(np.concatenate([np.array([head[c]], x.dtype), x])) for c, x in out.items()})
+
+        return store
+
+    def grams(k: int, found: dict[int, object]) -> tuple[Parts, np.ndarray]:
+        """Stored n-grams of k words and their discounts, from one row for each part."""
+        of = Parts(f"{folder}/{k}", [found[p]["total"] if p in found else 0 for p in range(parts_of[k])], total_type=total_type if k < order else "")
+        return of, discounts([sum(r[c] for r in found.values()) for c in STATISTICS[1:]])
+
+    statistics = ", ".join(f"{c} long" for c in STATISTICS)
+    keyed = lambda k: "part int, " + ", ".join(f"{c} long" for c in packed_names(k))
+    rows = texts.mapInArrow(lambda b: _flushed(b, keys_of, parts_of[order]), f"{keyed(order)}, n long")
+    higher, above, path = [], None, None
+    for k in range(order, 2, -1):
+        reported = rows.groupBy("part").applyInArrow(store_grams(k, above), f"{keyed(k - 1)}, {statistics}")
+        last, path = path, common.fresh_path(spark, "kneser-ney-grams")
+        reported.write.parquet(path)
+        if last:
+            common.remove_path(spark, last)
+        common.release(spark)
+        reported = spark.read.schema(reported.schema).parquet(path)
+        found = {-1 - r["part"]: r for r in reported.where("part < 0").collect()}  # one row a part
+        higher.insert(0, grams(k, found))
+        above, rows = higher[0][1], reported.where("part >= 0")
+    gathered = rows.groupBy("part").applyInArrow(store_grams(2, above), f"id long, {statistics}")
     gathered = common.staged(gathered, "kneser-ney-statistics")
+    if path:
+        common.remove_path(spark, path)
     heads = {-1 - r["id"]: r for r in gathered.where("id < 0").collect()}  # one row a part
     # Parts of ids: as many as keep the gathered rows of each small.
     id_rows = -(-(n_words + 1) // max(1, -(-gathered.count() // GATHERED_ROWS)))
-    pairs = Parts(f"{folder}/pairs", [heads[p]["total"] if p in heads else 0 for p in range(pair_parts)])
+    pairs, pair_discounts = grams(2, heads)
     n_pairs = sum(pairs.rows)
 
     def store_ids(key: tuple, table: pa.Table) -> pa.Table:
@@ -303,8 +420,7 @@ def train(df: DataFrame, text: str = "text") -> KneserNey:
     of_words = [sum(r[f"n{k}"] for r in of_ids) for k in (1, 2, 3, 4)]
     word_discounts = discounts(of_words)
     taken = word_discounts[1] * of_words[0] + word_discounts[2] * of_words[1] + word_discounts[3] * sum(r["more"] for r in of_ids)
-    pair_discounts = discounts([sum(r[c] for r in heads.values()) for c in STATISTICS[1:]])
-    return KneserNey(words, pairs, f"{folder}/ids", id_rows, n_tokens, n_words, n_pairs, pair_discounts, word_discounts, taken / n_pairs if n_pairs else 1.0)
+    return KneserNey(words, pairs, f"{folder}/ids", id_rows, n_tokens, n_words, n_pairs, pair_discounts, word_discounts, taken / n_pairs if n_pairs else 1.0, higher)
 
 
 def word_ids(words: Parts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,8 +437,8 @@ def log_probabilities(model: KneserNey, h: np.ndarray, lengths: np.ndarray) -> t
     known = ids >= 0
     # Unigrams: discounted continuation counts and a share of the uniform distribution over all words and the unknown one.
     own, at = np.unique(ids[known], return_inverse=True)
-    before = model.dense(4, own)
-    seen = np.maximum(before - model.word_discounts[np.minimum(before, 3).astype(int)], 0) / max(1, model.n_pairs)
+    different = model.dense(4, own)
+    seen = np.maximum(different - model.word_discounts[np.minimum(different, 3).astype(int)], 0) / max(1, model.n_pairs)
     p = np.full(len(ids), model.left_over / (model.n_words + 1))
     p[known] += seen[at]
     # Pairs.
@@ -333,10 +449,7 @@ def log_probabilities(model: KneserNey, h: np.ndarray, lengths: np.ndarray) -> t
     own, at = np.unique(left[context], return_inverse=True)
     total, once, twice, more = (model.dense(k, own) for k in range(4))
     d = model.pair_discounts
-    used = total > 0
-    share = np.ones(len(own))
-    share[used] = (d[1] * once + d[2] * twice + d[3] * more)[used] / total[used]
-    p[context] *= share[at]
+    p[context] *= share(once, twice, more, total, d)[at]
     both = context[known[context] & (total[at] > 0)]
     first = left[both].astype(np.uint64)
     first[left[both] == model.n_words] = START
@@ -344,6 +457,20 @@ def log_probabilities(model: KneserNey, h: np.ndarray, lengths: np.ndarray) -> t
     n = model.pairs.find(keys)[1][where].astype(np.float64)
     totals = total[np.searchsorted(own, left[both])]
     p[both] += np.maximum(n - d[np.minimum(n, 3).astype(int)], 0) / totals
+    # Longer n-grams, where the whole context is known.
+    lower = model.pairs
+    for k, (grams, d) in enumerate(model.higher, 3):
+        w = [before(ids, lengths, m) for m in range(k - 1, 0, -1)]
+        whole = np.flatnonzero((w[0] != int(PAD)) & np.all([x >= 0 for x in w], axis=0))
+        w = [x[whole].astype(np.uint64) for x in w]
+        own, at = np.unique(hashed(packed(w)), return_inverse=True)
+        total, left_over = (x[at] for x in lower.context(own))
+        p[whole] *= left_over
+        pick = np.flatnonzero(known[whole] & (total > 0))
+        keys, where = np.unique(hashed(packed([*(x[pick] for x in w), ids[whole[pick]].astype(np.uint64)])), return_inverse=True)
+        n = grams.find(keys)[1][where].astype(np.float64)
+        p[whole[pick]] += np.maximum(n - d[np.minimum(n, 3).astype(int)], 0) / total[pick]
+        lower = grams
     return np.log10(p), base, count
 
 
@@ -373,9 +500,9 @@ def fold(key: Column, of: int) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % of
 
 
-def op3_kneser_ney(spark, sf_dir: str) -> DataFrame:
+def op3_kneser_ney(spark, sf_dir: str, order: int = 3) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     held = fold(F.col("doc_id"), 7) == 2
-    model = train(docs.where(~held))
+    model = train(docs.where(~held), order=order)
     rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
