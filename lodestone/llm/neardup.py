@@ -2,7 +2,7 @@
 
 1. A text's shingles are hashed once; the set's smallest values are its sketch. Texts with equal sets form one class,
    represented by its smallest id, so copies cost nothing further on.
-2. Inverted lists of retained values: over the smallest INDEXED values of each class, a value's list is counted. Two
+2. Inverted lists of retained values: over the smallest values (SKETCH of them, see least_overlap) of each class, a value's list is counted. Two
    similar sets share most retained values, so among the rarest of them, in one global order (list length, value), they
    share at least one: each class only enters the lists of its rarest values, as many as the least overlap asks for
    (prefix filtering). Values with a list of one need no list; classes that have enough of those are done.
@@ -15,7 +15,9 @@
    and is then confirmed on the full shingle sets. Components of confirmed links are the groups.
 
 No pair that shares a prefix value is skipped other than within one component, so links between components are all found;
-a similar pair escapes only if its sketches overlap far less than the sets do (below 1e-5 at the threshold).
+a similar pair escapes only if its sketches overlap far less than the sets do. Values of the union's sketch are shared with
+a chance of the pair's similarity at least, so at any threshold the prefix loses a pair with a chance of at most MISS; the
+margin of the estimate loses one at the threshold with a chance of 3.0e-5 at 0.85 and 1.4e-5 at 0.8.
 
 Edge cases: null and word-less texts have no shingles, are linked with nothing and kept; fewer words than a shingle make
 one shingle of the whole sequence; rows with the same id are one document; rows with a null id are linked with nothing,
@@ -25,6 +27,7 @@ have a null component and are not kept; an empty table gives an empty table; cla
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,9 @@ from . import common
 from .components import components
 from .lm import map_array, write_array
 
-SKETCH, WIDE, INDEXED, LEAST_OVERLAP = 64, 512, 64, 40
+SKETCH, WIDE = 64, 512
+#: Chance that the prefix may lose a pair at the threshold. It decides how many shared values are relied on: 40 of 64 at 0.85, 35 at 0.8.
+MISS = 2.5e-6
 STAR_LISTS = 3
 LONG_LIST, BLOCK, COLUMNS = 40, 2048, 4096
 #: A filter of ids has 16 bits for each, and no more than this altogether; beyond that it lets more rows through.
@@ -75,7 +80,30 @@ def hasher():
     return hashes
 
 
-def sketches(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
+@lru_cache
+def least_overlap(threshold: float) -> tuple[int, int]:
+    """(indexed values of a set, how many of them two linked sets share but for a chance of MISS).
+
+    The overlap is at least as large as a binomial number of the indexed values with the threshold as chance. SKETCH
+    values are indexed, or for low thresholds as many as let linked sets share one.
+    """
+    if not 0.01 <= threshold <= 1:
+        raise ValueError("the threshold must be in 1 to 100 percent")
+    if threshold == 1:
+        return SKETCH, SKETCH
+    size = SKETCH
+    while (1 - threshold) ** size > MISS:
+        size *= 2
+    least, below = 0, 0.0
+    while least < size:
+        below += math.exp(math.lgamma(size + 1) - math.lgamma(least + 1) - math.lgamma(size - least + 1) + least * math.log(threshold) + (size - least) * math.log(1 - threshold))
+        if below > MISS:
+            break
+        least += 1
+    return size, least
+
+
+def sketches(df: DataFrame, text: str, key: str, words: int, most: int = SKETCH) -> DataFrame:
     """key, n (shingles), set (digest of the whole set), sketch (its smallest values, as binary) for each row."""
 
     def make():
@@ -90,7 +118,7 @@ def sketches(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
                     batch.column(key),
                     pa.array(map(len, sets), pa.int64()),
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
-                    pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
+                    pa.array([s[:most].tobytes() for s in sets], pa.binary()),
                 ],
                 ["id", "n", "set", "sketch"],
             )
@@ -157,17 +185,19 @@ def full_sets(df: DataFrame, ids: DataFrame, text: str, words: int, most: int |
 
 def prefix_length(n: int, threshold: float) -> int:
     """How many of the rarest indexed values of a set of n must be listed."""
-    if n < INDEXED * threshold:
+    indexed, least = least_overlap(threshold)
+    if n < indexed * threshold:
         return n - math.ceil(threshold * n - 1e-9) + 1
-    return max(INDEXED - LEAST_OVERLAP + 1, min(n, INDEXED) - math.ceil(threshold * min(n, INDEXED) - 1e-9) + 1)
+    return max(indexed - least + 1, min(n, indexed) - math.ceil(threshold * min(n, indexed) - 1e-9) + 1)
 
 
 def values(df: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, value, asked) for each of the smallest INDEXED values of each sketch; asked: the length of the prefix."""
+    """(id, n, value, asked) for each of the smallest indexed values of each sketch; asked: the length of the prefix."""
+    indexed = least_overlap(threshold)[0]
 
     def run(batches):
         for b in batches:
-            own = [np.frombuffer(s, np.int64)[:INDEXED] for s in b.column("sketch").to_pylist()]
+            own = [np.frombuffer(s, np.int64)[:indexed] for s in b.column("sketch").to_pylist()]
             if own:
                 size = np.array([len(x) for x in own])
                 at = pa.array(np.repeat(np.arange(len(own)), size))
@@ -302,9 +332,10 @@ def in_blocks(lists: DataFrame, threshold: float) -> DataFrame:
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) for each row."""
     spark, threshold = df.sparkSession, percent / 100
+    indexed = least_overlap(threshold)[0]
     common.ship(spark)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = common.staged(sketches(texts, "text", "id", words), "sketches")
+    rows = common.staged(sketches(texts, "text", "id", words, indexed), "sketches")
     linked = rows.where("n > 0 AND id IS NOT NULL")
     classes = linked.groupBy("set").agg(F.min("id").alias("rep"))
     own = common.staged(linked.join(classes.select("set", F.col("rep").alias("id")), ["set", "id"], "left_semi").dropDuplicates(["set"]).select("id", "n", "sketch"), "classes")
@@ -316,7 +347,7 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # Values with a list of one come first in the global order: they use up the prefix without needing a list.
     central = F.sum(F.log("df")).over(W.partitionBy("id", "n"))
     ranked = shared.withColumn("_nth", rare).withColumn("_held", held).withColumn("_central", central)
-    ranked = ranked.withColumn("_place", F.col("_nth") + F.least(F.col("n"), F.lit(INDEXED)) - F.col("_held")).where(F.col("_place") <= F.col("asked"))
+    ranked = ranked.withColumn("_place", F.col("_nth") + F.least(F.col("n"), F.lit(indexed)) - F.col("_held")).where(F.col("_place") <= F.col("asked"))
     prefix = common.staged(ranked.select("value", "id", "_nth", F.col("_central").cast("float").alias("_central")), "prefix")
     # First round: a class against the members that its first lists pick.
     picks = prefix.groupBy("value").agg(
