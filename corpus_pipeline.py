@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common, langid, neardup, packing, quality
 
-#: A text whose best language has a smaller mean posterior is in no language in particular.
+#: A text whose words have a smaller posterior in the mean, each in its own best language, is in no language in particular.
 LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letters, or no language with a fair share of the words."""
+    """Drop documents without a language: no letters, or words that are in no language clearly. Texts that switch between languages stay."""
     model = langid.fit_table(docs)
     if not model.crf.labels:
         return docs  # nothing is labelled: nothing can be said against a document
-    found = langid.predict(docs, model, pred="_language", score="_language_score")
-    good = (F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE)
+    found = langid.predict(docs, model, pred="_language", score="_language_score", sure="_language_sure")
+    good = (F.col("_language") != langid.UNKNOWN) & (F.col("_language_sure") >= LEAST_LANGUAGE_SCORE)
     return found.where(good).select(*docs.columns)
 
 

@@ -148,10 +148,13 @@ def fit_table(df: DataFrame, text: str = "text", label: str = "lang", key: str =
     return fit(sample(df, text, label, key, per_label, window))
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The frame with two more columns: language and score of each whole text."""
+def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score", sure: str | None = None) -> DataFrame:
+    """The frame with two more columns: language and score of each whole text; and, if named, how sure its words are.
+
+    The score is the mean posterior of the text's best language; a word is as sure as its own best language, whichever it is.
+    """
     share = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{pred}` string, `{score}` double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{pred}` string, `{score}` double" + (f", `{sure}` double" if sure else "")
 
     def make():
         own = share.value
@@ -191,14 +194,18 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str =
             ids = [x[x >= 0] for x in ids]
             lengths = np.array([len(x) for x in ids], np.int64)
             some = np.flatnonzero(lengths)
-            names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            names, scores, certain = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
             if len(some) and k:
                 p = crf.marginals(table[np.concatenate([ids[i] for i in some])], lengths[some], own.crf.trans, own.crf.start)
-                mean = np.add.reduceat(p, np.cumsum(lengths[some]) - lengths[some], axis=0) / lengths[some][:, None]
+                first = np.cumsum(lengths[some]) - lengths[some]
+                mean = np.add.reduceat(p, first, axis=0) / lengths[some][:, None]
                 best = mean.argmax(axis=1)
                 names[some] = np.array(labels, object)[best]
                 scores[some] = np.minimum(mean[np.arange(len(some)), best], 1.0)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, pred, score])
+                if sure:
+                    certain[some] = np.minimum(np.add.reduceat(p.max(axis=1), first) / lengths[some], 1.0)
+            out = {pred: pa.array(names, pa.string()), score: pa.array(scores)} | ({sure: pa.array(certain)} if sure else {})
+            return pa.RecordBatch.from_arrays([*batch.columns, *out.values()], [*batch.schema.names, *out])
 
         return work
 
