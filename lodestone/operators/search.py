@@ -58,7 +58,8 @@ def vector_search(queries: DataFrame, corpus: DataFrame, top: int, metric: str =
         if len(query) and len(target):
             a, b = x[query], x[target]
             if metric == "l2":
-                score = -np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1) if a.size * len(b) < 4e7 else (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
+                step = max(1, 4_000_000 // max(1, a.size))  # targets at a time: differences are exact, products would cancel
+                score = -np.sqrt(np.concatenate([((a[:, None, :] - b[None, k : k + step, :]) ** 2).sum(-1) for k in range(0, len(b), step)], axis=1))
             else:
                 score = a @ b.T
                 if metric == "cosine":
