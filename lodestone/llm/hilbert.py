@@ -76,9 +76,8 @@ def hilbert_index(steps: list[Column], bits: int) -> Column:
 
 
 def string_number(c: Column) -> Column:
-    """A number in the order of the first seven UTF-8 bytes; null comes first."""
-    head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7))
-    return F.coalesce(F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+    """A category; shard_table numbers those in the order of whole strings, null first."""
+    return c.cast("string")
 
 
 def size_number(c: Column) -> Column:
@@ -126,12 +125,20 @@ def cut(position: Column, total: Column, shards: int) -> tuple[Column, Column]:
     return shard, position - (shard * small + F.least(shard.cast("long"), rest))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The frame with the column's strings replaced by their places among the distinct ones, ranked by range partitions."""
+    ranks = positions(df.select(F.col(name).alias("_value")).distinct(), ["_value"], "shard-categories").select("_value", F.col("position").alias("_rank"))
+    return df.join(ranks, F.col(name).eqNullSafe(F.col("_value"))).withColumn(name, F.col("_rank")).drop("_value", "_rank")
+
+
 def shard_table(df: DataFrame, dims: dict[str, Column], ties: list[str], keep: list[str], shards: int = 8, bits: int = 5) -> DataFrame:
-    """Columns keep, curve, shard, slot: rows in the order of the Hilbert index over dims (numbers), then ties."""
+    """Columns keep, curve, shard, slot: rows in the order of the Hilbert index over dims (numbers or strings), then ties."""
     names = [f"_d{k}" for k in range(len(dims))]
     small = common.staged(
         df.select(*dict.fromkeys([*keep, *ties]), *[c.alias(n) for n, c in zip(names, dims.values(), strict=True)], F.monotonically_increasing_id().alias("_row")), "shard-keys"
     )
+    for name in [n for n, kind in small.dtypes if n in names and kind == "string"]:
+        small = numbered(small, name)
     ordered = small.withColumn("curve", hilbert_index(quantised(small, names, bits), bits))
     placed = positions(ordered, ["curve", *names, *ties, "_row"], "shard-order")
     shard, slot = cut(F.col("position"), F.col("total"), shards)
