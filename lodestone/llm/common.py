@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,11 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of input that one slice of an Arrow batch may hold (one longer row makes a slice of its own).
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session doesn't say otherwise: texts are long, and Spark's own limits
+#: (10,000 rows, 64 MB) are held several times over by both sides.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application; bound the batches that they get."""
+    if spark.conf.get(BATCH_SETTING).strip("b") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -38,9 +47,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where that is unset in local mode (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = _local_shared(sc.applicationId)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -76,18 +87,36 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver's heap happens to be full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends here and a lost executor loses none of it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """Within this block Spark deletes the shuffle files of a query as soon as it has ended."""
+    before = spark.conf.get(CLEAN_SETTING, "false")
+    spark.conf.set(CLEAN_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_SETTING, before)
+
+
+def staged(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write a table into the shared folder and read it back: lineage ends here and a lost executor loses none of it.
+
+    done: staged tables that nothing needs from here on; they are deleted.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with cleaned(spark):
+        df.write.parquet(path)
+    drop(*done)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables."""
+    for t in tables:
+        remove_path(t.sparkSession, t._lodestone_path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,14 +26,14 @@ def _mark(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) for every node of links (a, b), both long and not null; component is the smallest node reachable."""
+    """Staged: (node, component) for every node of links (a, b), both long and not null; component is the smallest node reachable."""
     now = common.staged(links.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").select("a", "b").distinct(), "links")
     before = _mark(now)
     for _ in range(most):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _to_smallest(both, False)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        now = common.staged(_to_smallest(down, True), "links")
+        now = common.staged(_to_smallest(down, True), "links", done=(now,))
         after = _mark(now)
         if after == before:
             break
@@ -41,4 +41,4 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    return common.staged(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components", done=(now,))

@@ -27,12 +27,13 @@ have a null component and are not kept; an empty table gives an empty table; cla
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,8 +46,10 @@ SKETCH, WIDE = 64, 512
 MISS = 2.5e-6
 STAR_LISTS = 3
 LONG_LIST, BLOCK, COLUMNS = 40, 2048, 4096
-#: A filter of ids has 16 bits for each, and no more than this altogether; beyond that it lets more rows through.
-FILTER_BITS = 1 << 27
+#: A filter of ids has 16 bits for each, and no more than this altogether; beyond that it lets more rows through to the exact join.
+FILTER_BITS, FILTER_PARTS = 1 << 27, 16
+#: Pairs of one hub that are confirmed together: its set is sent once for about so many.
+MEMBERS = 64
 MARGIN = 4.5
 MULTIPLIER, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 MEMO_WORDS = 150_000
@@ -138,10 +141,27 @@ def _places(ids: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def id_filter(ids: DataFrame) -> tuple[str, int]:
-    """Write a Bloom filter of the ids into the shared folder: (folder, bits). Its size is bounded, and so is what one task merges."""
+@dataclass(frozen=True)
+class IdFilter:
+    """A Bloom filter in the shared folder, cut into parts of `span` 64-bit words; parts without a bit have no file."""
+
+    folder: str
+    bits: int
+    span: int
+    parts: tuple[int, ...]
+
+    def loaded(self) -> np.ndarray:
+        out = np.zeros(self.bits // 64, np.int64)
+        for p in self.parts:
+            out[p * self.span : (p + 1) * self.span] = map_array(self.folder, str(p), "i8", self.span)
+        return out
+
+
+def id_filter(ids: DataFrame) -> IdFilter:
+    """Write the filter of the ids. Its size is bounded, tasks send the words of it that they set, and each part is merged on its own."""
     n = ids.count()
     bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * n).bit_length()))
+    span = bits // 64 // FILTER_PARTS
     folder = common.fresh_path(ids.sparkSession, "id-filter")
 
     def words(batches):
@@ -149,38 +169,45 @@ def id_filter(ids: DataFrame) -> tuple[str, int]:
             at = np.unique(_places(b.column("id").to_numpy(), bits))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "bit"])
 
-    def store(batches):
-        out = np.zeros(bits // 64, np.int64)
-        for b in batches:
-            out[b.column("word").to_numpy()] |= b.column("bits").to_numpy()
-        write_array(folder, "filter", out)
-        yield pa.RecordBatch.from_arrays([pa.array([bits])], ["bits"])
+    def store(key: tuple, table: pa.Table) -> pa.Table:
+        part, out = key[0].as_py(), np.zeros(span, np.int64)
+        out[table.column("word").to_numpy() - part * span] = table.column("bits").to_numpy()
+        write_array(folder, str(part), out)
+        return pa.table({"part": pa.array([part])})
 
     merged = ids.select("id").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    merged.coalesce(1).mapInArrow(store, "bits long").collect()
-    return folder, bits
+    with common.cleaned(ids.sparkSession):
+        found = merged.withColumn("part", F.expr(f"word div {span}")).groupBy("part").applyInArrow(store, "part long").collect()  # FILTER_PARTS rows at most
+    return IdFilter(folder, bits, span, tuple(r["part"] for r in found))
 
 
 def full_sets(df: DataFrame, ids: DataFrame, text: str, words: int, most: int | None = None) -> DataFrame:
-    """id and the sorted set of shingle hashes, or the `most` smallest ones, as binary, of the rows with one of the ids.
+    """Staged: id and the sorted set of shingle hashes, or the `most` smallest ones, as binary, of the rows with one of the ids.
 
     Texts are not shuffled: a filter of the ids in the shared folder picks rows where they are read, and an exact join
-    drops what it lets through besides.
+    drops what it lets through besides. An id with several texts has a row for each different set.
     """
-    common.ship(df.sparkSession)
-    folder, bits = id_filter(ids)
+    spark = df.sparkSession
+    common.ship(spark)
+    chosen = id_filter(ids)
+    bits = chosen.bits
 
     def run(batches):
         kept, hashes = None, hasher()
         for batch in batches:
-            kept = map_array(folder, "filter", "i8", bits // 64) if kept is None else kept
+            kept = chosen.loaded() if kept is None else kept
             known = pc.fill_null(batch.column("id"), 0).to_numpy()
             at = _places(known, bits)
             good = pa.array(((kept[at >> 6] >> (at & 63)) & 1).all(axis=1))
             for piece in common.slices([batch.filter(good)], text):
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([hashes(t, words)[:most].tobytes() for t in piece.column(text).to_pylist()], pa.binary())], ["id", "hashes"])
+        del kept, hashes
+        common.trim()
 
-    return df.where("id IS NOT NULL").select("id", text).mapInArrow(run, "id long, hashes binary").join(ids.select("id"), "id", "left_semi")
+    found = df.where("id IS NOT NULL").select("id", text).mapInArrow(run, "id long, hashes binary").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id", "hashes"])
+    out = common.staged(found, "sets")
+    common.remove_path(spark, chosen.folder)
+    return out
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -191,20 +218,24 @@ def prefix_length(n: int, threshold: float) -> int:
     return max(indexed - least + 1, min(n, indexed) - math.ceil(threshold * min(n, indexed) - 1e-9) + 1)
 
 
+def prefix_column(m: Column, threshold: float) -> Column:
+    """prefix_length for sets of which m values are indexed, as a column."""
+    return F.element_at(F.array(*[F.lit(prefix_length(k, threshold)) for k in range(1, least_overlap(threshold)[0] + 1)]), m)
+
+
 def values(df: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, value, asked) for each of the smallest indexed values of each sketch; asked: the length of the prefix."""
+    """(id, m, value) for each of the m smallest values of each sketch."""
     indexed = least_overlap(threshold)[0]
 
     def run(batches):
         for b in batches:
             own = [np.frombuffer(s, np.int64)[:indexed] for s in b.column("sketch").to_pylist()]
             if own:
-                size = np.array([len(x) for x in own])
+                size = np.array([len(x) for x in own], np.int32)
                 at = pa.array(np.repeat(np.arange(len(own)), size))
-                asked = pa.array([prefix_length(n, threshold) for n in b.column("n").to_pylist()], pa.int32()).take(at)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("n").take(at), pa.array(np.concatenate(own)), asked], ["id", "n", "value", "asked"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(np.repeat(size, size)), pa.array(np.concatenate(own))], ["id", "m", "value"])
 
-    return df.select("id", "n", "sketch").mapInArrow(run, "id long, n long, value long, asked int")
+    return df.select("id", "sketch").mapInArrow(run, "id long, m int, value long")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, int]:
@@ -247,22 +278,43 @@ def estimated(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = common.staged(full_sets(texts, common.staged(nodes, "nodes"), text, words), "sets")
+    """Staged: the pairs (a, b), each given once, whose whole shingle sets have 100 * intersection >= percent * union.
 
-    def run(batches):
-        for batch in common.slices(batches, "h_a"):
-            good = []
-            for s, t in zip(batch.column("h_a").to_pylist(), batch.column("h_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+    A pair is tested at its hub, the end with more pairs. A hub's pairs are dealt out in blocks of about MEMBERS; its set
+    goes once to each block, just before the members' sets. So neither a task nor a batch grows with a hub's pairs.
+    """
+    ends = common.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs")), "ends")
+    sets = full_sets(texts, ends, text, words)
+    of = lambda c: ends.select(F.col("id").alias(c), F.col("pairs").alias(f"_{c}"))
+    first = (F.col("_a") > F.col("_b")) | ((F.col("_a") == F.col("_b")) & (F.col("a") > F.col("b")))
+    hub, member = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    placed = pairs.join(of("a"), "a").join(of("b"), "b").select(hub.alias("hub"), member.alias("member"), F.ceil(F.greatest("_a", "_b") / MEMBERS).alias("_blocks"))
+    placed = placed.select("hub", "member", F.pmod(F.xxhash64("member"), F.col("_blocks")).alias("block"))
+    members = placed.join(sets.withColumnRenamed("id", "member"), "member").select("hub", "block", "member", "hashes")
+    hubs = placed.select("hub", "block").distinct().join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", "block", F.lit(None).cast("long").alias("member"), "hashes")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        less, more = (x, y) if len(x) < len(y) else (y, x)
+        shared = int((more[np.minimum(np.searchsorted(more, less), len(more) - 1)] == less).sum())
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("h_b")), "b")
-    return both.select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long")
+    def run(batches):
+        block, own = None, {}  # the sets of the block's hub, which come before its members (several if its id has several texts)
+        for batch in common.slices(batches, "hashes"):
+            found = []
+            for h, b, m, s in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "member", "hashes")), strict=True):
+                x = np.frombuffer(s, np.uint64)
+                if block != (h, b):
+                    block, own = (h, b), {}
+                if m is None:
+                    own[s] = x
+                elif any(linked(x, y) for y in own.values()):
+                    found.append((min(h, m), max(h, m)))
+            found = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rows = hubs.union(members).repartition("hub", "block").sortWithinPartitions("hub", "block", F.asc_nulls_first("member"))
+    return common.staged(rows.mapInArrow(run, "a long, b long"), "confirmed", done=(ends, sets))
 
 
 def in_blocks(lists: DataFrame, threshold: float) -> DataFrame:
@@ -339,58 +391,66 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     linked = rows.where("n > 0 AND id IS NOT NULL")
     classes = linked.groupBy("set").agg(F.min("id").alias("rep"))
     own = common.staged(linked.join(classes.select("set", F.col("rep").alias("id")), ["set", "id"], "left_semi").dropDuplicates(["set"]).select("id", "n", "sketch"), "classes")
-    listed = values(own, threshold)
-    several = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = listed.join(several, "value")
-    rare = F.row_number().over(W.partitionBy("id", "n").orderBy("df", "value"))
-    held = F.count("*").over(W.partitionBy("id", "n"))
-    # Values with a list of one come first in the global order: they use up the prefix without needing a list.
-    central = F.sum(F.log("df")).over(W.partitionBy("id", "n"))
-    ranked = shared.withColumn("_nth", rare).withColumn("_held", held).withColumn("_central", central)
-    ranked = ranked.withColumn("_place", F.col("_nth") + F.least(F.col("n"), F.lit(indexed)) - F.col("_held")).where(F.col("_place") <= F.col("asked"))
-    prefix = common.staged(ranked.select("value", "id", "_nth", F.col("_central").cast("float").alias("_central")), "prefix")
+    prefix = common.staged(rarest(values(own, threshold), threshold), "prefix")
     # First round: a class against the members that its first lists pick.
     picks = prefix.groupBy("value").agg(
         F.max_by("id", F.struct("_central", F.xxhash64("id"))).alias("pick"), F.count("*").alias("size")
     ).where("size > 1")
+    picks = common.staged(picks, "picks")
     near = prefix.where(F.col("_nth") <= STAR_LISTS).join(picks, "value")
     star = near.where("id <> pick").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
-    first = common.staged(confirmed(common.staged(estimated(star, own, threshold), "estimated"), texts, "text", words, percent), "confirmed")
-    found = common.staged(components(first), "components")
+    star = common.staged(estimated(star, own, threshold), "estimated")
+    first = confirmed(star, texts, "text", words, percent)
+    found = components(first)
     # Second round: pairs of a list in different components.
     member = prefix.join(picks.select("value", "size"), "value").join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "size", F.coalesce("component", "id").alias("component"))
     parts = member.groupBy("value", "component").agg(F.count("*").alias("_n")).groupBy("value").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("largest"))
-    open_lists = common.staged(member.join(parts.where("_parts > 1").select("value", "largest"), "value"), "lists")
+    open_lists = common.staged(member.join(parts.where("_parts > 1").select("value", "largest"), "value"), "lists", done=(star, picks, found))
     short = open_lists.where(F.col("size") <= LONG_LIST).select("value", "id", "component")
     other = short.select("value", F.col("id").alias("id2"), F.col("component").alias("component2"))
     pairs = short.join(other, "value").where("id < id2 AND component <> component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     pairs = estimated(pairs, own, threshold)
     long = open_lists.where(F.col("size") > LONG_LIST)
     ids = common.staged(long.select("id").distinct(), "nodes")
-    wide = full_sets(texts, ids, "text", words, WIDE)
+    sets = full_sets(texts, ids, "text", words, WIDE)
     order = prefix.join(ids, "id", "left_semi").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "value"))), lambda x: x["value"]).alias("prefix"))
-    wide = common.staged(wide.join(own.select("id", "n"), "id").join(order, "id"), "wide")
-    pairs = common.staged(pairs.union(in_blocks(long.join(wide, "id"), threshold)).distinct(), "estimated")
-    second = common.staged(confirmed(pairs, texts, "text", words, percent), "confirmed")
+    wide = common.staged(sets.join(own.select("id", "n"), "id").join(order, "id"), "wide", done=(sets, ids))
+    pairs = common.staged(pairs.union(in_blocks(long.join(wide, "id"), threshold)).distinct(), "estimated", done=(wide, open_lists))
+    second = confirmed(pairs, texts, "text", words, percent)
     final = components(first.union(second))
+    common.drop(pairs, own, prefix, first, second)
     named = rows.join(classes, "set", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     smallest = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
     return named.select("id", F.col("n").alias("n_shingles"), smallest.cast("long").alias("component_id"))
 
 
-def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, files: bool = False) -> DataFrame:
-    """The rows of the frame whose id is the smallest of their group, the first row of each such id, and rows with a null id.
+def rarest(listed: DataFrame, threshold: float) -> DataFrame:
+    """(value, id, _nth, _central): the prefix of each set, those of its rarest values that more than one set has.
+
+    Values with a list of one come first in the global order: they use up the prefix without needing a list.
+    """
+    several = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = W.partitionBy("id", "m")
+    ranked = listed.join(several, "value").select(
+        "value", "id", "m", F.row_number().over(own.orderBy("df", "value")).alias("_nth"), F.count("*").over(own).alias("_held"), F.sum(F.log("df")).over(own).alias("_central")
+    )
+    return ranked.where(F.col("_nth") + F.col("m") - F.col("_held") <= prefix_column(F.col("m"), threshold)).select("value", "id", "_nth", F.col("_central").cast("float").alias("_central"))
+
+
+def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the frame whose id is the smallest of their group, one row of each such id, and rows with a null id.
 
-    files: the frame is a plain read of files, so that rows have the same numbers in every read; others are written first.
+    Of rows with the same id, the one with the smallest hash of its text stays. Rows are only told apart by what they hold, never
+    by places or partitions, which may differ when a lost executor's part is read again.
     """
-    row = "_lodestone_row"
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
-    if not files:
-        numbered = common.staged(numbered, "numbered")
-    kept = groups(numbered, text, key, words, percent).where("id = component_id").select("id").distinct()
-    first = numbered.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(row).alias("_first"))
-    chosen = first.join(kept, "id", "left_semi").select(F.col("_first").alias(row)).union(numbered.where(F.col(key).isNull()).select(row))
-    return numbered.join(chosen, row, "left_semi").drop(row)
+    id_ = "_lodestone_id"
+    of_id = groups(df, text, key, words, percent).where("id IS NOT NULL").groupBy(F.col("id").alias(id_)).agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows"))
+    kept = common.staged(of_id.where(F.col(id_) == F.col("_least")).select(id_, "_rows"), "kept")
+    named = df.withColumn(id_, F.col(key).cast("long"))
+    once = named.join(kept.where("_rows = 1"), id_, "left_semi")
+    several = named.join(kept.where("_rows > 1"), id_, "left_semi")
+    picked = several.groupBy(id_).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(text)).alias("_row")).select("_row.*")
+    return once.drop(id_).union(picked).union(df.where(F.col(key).cast("long").isNull()))
 
 
 def op10_bottom_k_dedup(spark, sf_dir: str) -> DataFrame:
