@@ -1,27 +1,29 @@
 """Interpolated modified Kneser-Ney language model (operator 3), stored as sorted hash arrays that workers map into memory.
 
-Tokens are words (A-Z lower-cased) and an end of text. Training takes one shuffle more than the order, each dealt out by uniform
-hashes, so that no frequent word makes a large group:
+Tokens are words (A-Z lower-cased) and an end of text. Training takes one shuffle more than the order:
 
 1. words: counts by 64-bit hash. Each part is a range of hashes and becomes a sorted array; a word's id is its place in
    all parts. The number of tokens N and of different tokens V are sums over the parts.
-2. n-grams of the model's order as tuples of ids (a text begins after a virtual start, before which is padding): counts
-   by hash, again in parts of sorted arrays. Each part also reports what it adds to the statistics of the n-grams that are
-   one word shorter: for each one as a context its n-grams' total and how many of them occur once, twice, or more; for
-   each one as a continuation the number of different words before it.
+2. n-grams of the model's order as tuples of ids (a text begins after a virtual start, before which is padding). Tasks count
+   what they have read and send sorted, compressed blocks, one for each part. An n-gram's part follows from a hash of its
+   context, so that a part sees whole contexts and stores their statistics (the total and how many followers occur once,
+   twice, or more) beside the counts. Contexts that may be too frequent for a part, as the rarest of their words bounds
+   them, are salted by the last word, and their statistics are sums of what parts report.
+   Each part also reports, for the n-grams one word shorter, the number of different words before them.
 3. each lower order down to pairs, from what the order above reports: its counts are the numbers of different words before
-   (occurrences for n-grams at a text's start, which nothing precedes: padded n-grams carry them down), stored in the same
-   way beside the total and the left-over share as a context; it reports in turn to the order below.
-4. statistics of single ids from what pairs report. Written as dense arrays by id.
+   (occurrences for n-grams at a text's start, which nothing precedes: padded n-grams carry them down); it reports in turn
+   to the order below.
+4. statistics of single ids from what pairs report, written as dense arrays by id.
 
-The hash of a pair is bijective. Longer n-grams, as words, are told apart by 64 bits: among n of them some n**2 / 2**65
-pairs collide (2e-4 for 80 million). The arrays are files in the shared folder, moved into place when complete, so a task
-that runs again replaces them with equal ones. Scoring maps them (a store without local paths is copied to an unlinked
-local file first) and looks up the sorted distinct keys of a slice of texts. Any order from two on can be asked for.
+Counts are held in 64 bits. N-grams are counted as exact tuples; a stored array tells them apart by 56 bits of a hash
+within a part of some PART_ROWS (an unseen n-gram is taken for another with a chance of 1e-11). The files of the arrays are
+in the shared folder and are moved into place when complete, so a task that runs again replaces them with equal ones.
+Scoring maps the parts that it needs (a store without local paths is copied to an unlinked local file first) and looks up
+the distinct n-grams of a slice of texts. Any order from two on can be asked for.
 
 Edge cases: a null text counts as empty and is its end token; with an empty training set every token has probability
 1 / (V + 1) = 1; unknown words get the share that discounting leaves for them; texts of any length are read whole;
-repeated rows count and score as often as they come; an empty table gives an empty table.
+repeated rows count and score as often as they come; an empty table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,13 +41,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows that one part of words, pairs or ids may hold on average.
-PART_ROWS = 1_600_000
-#: Rows of statistics that one part of ids may gather on average.
-GATHERED_ROWS = 400_000
+#: N-grams that one part may gather on average.
+PART_ROWS = 800_000
 #: Tokens that a task gathers before it counts and emits them.
-GATHERED = 3_000_000
-START, PAD = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)
+GATHERED = 2_500_000
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 2 << 20
 MEMO_WORDS = 250_000
 M1, M2, S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 U32 = np.uint64(32)
@@ -63,35 +64,61 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> U32) * np.uint64(parts)) >> U32).astype(np.int32)
 
 
-def packed(w: list[np.ndarray]) -> list[np.ndarray]:
-    """n-grams given as an array of ids for each place -> two ids to a 64-bit number, the first alone where they are odd."""
-    odd = len(w) % 2
-    return w[:odd] + [a << U32 | b for a, b in zip(w[odd::2], w[odd + 1 :: 2], strict=True)]
-
-
-def unpacked(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
-    return columns[: k % 2] + [x for c in columns[k % 2 :] for x in (c >> U32, c & START)]
-
-
 def hashed(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of packed n-grams; a bijection for pairs."""
+    """Hash of packed n-grams; a bijection where they take one number."""
     h = mixed(columns[0])
     for c in columns[1:]:
         h = mixed(h ^ c)
     return h
 
 
-def packed_names(k: int) -> list[str]:
-    return [f"key{j}" for j in range((k + 1) // 2)]
+@dataclass(frozen=True)
+class Packing:
+    """N-grams of ids as 64-bit numbers that sort like the tuples: as many ids to a number as fit, the first number may hold fewer."""
+
+    n_words: int
 
+    @property
+    def start(self) -> int:
+        return self.n_words
+
+    @property
+    def pad(self) -> int:
+        return self.n_words + 1
+
+    @property
+    def bits(self) -> int:
+        return max(1, self.pad.bit_length())
+
+    def width(self, k: int) -> int:
+        return -(-k // (64 // self.bits))
+
+    def pack(self, w: list[np.ndarray]) -> list[np.ndarray]:
+        per, out = 64 // self.bits, []
+        for end in reversed(range(len(w), 0, -per)):
+            first, *rest = w[max(0, end - per) : end]
+            x = first.astype(np.uint64)
+            for y in rest:
+                x = x << np.uint64(self.bits) | y.astype(np.uint64)
+            out.append(x)
+        return out
 
-def before(ids: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
-    """The id m places before each token; a text begins after START, before which is PAD."""
-    out = np.full(len(ids), int(PAD), np.int64)
-    out[m:] = ids[: max(0, len(ids) - m)]
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[place < m] = int(PAD)
-    out[place == m - 1] = int(START)
+    def unpack(self, columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+        per, mask, out = 64 // self.bits, np.uint64((1 << self.bits) - 1), []
+        for x in reversed(columns):
+            for _ in range(min(per, k - len(out))):
+                out.append((x & mask).astype(np.int64))
+                x = x >> np.uint64(self.bits)
+        return out[::-1]
+
+
+def before(x: np.ndarray, lengths: np.ndarray, m: int, start: int, pad: int) -> np.ndarray:
+    """What stands m places before each token; a text begins after `start`, before which is `pad`."""
+    out = np.full(len(x), pad, np.int64)
+    out[m:] = x[: max(0, len(x) - m)]
+    place = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[place < m] = pad
+    out[place == m - 1] = start
     return out
 
 
@@ -104,7 +131,7 @@ def tokens():
             h = self[word] = xxhash.xxh3_64_intdigest(word)
             return h
 
-    memo, end = Memo(), xxhash.xxh3_64_intdigest(b"\n")  # white space is in no word
+    memo, end = Memo(), xxhash.xxh3_64_intdigest(END)
 
     def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(memo) > MEMO_WORDS:
@@ -121,176 +148,293 @@ def tokens():
     return hashes
 
 
+END = b"\n"  # white space is in no word
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-def write_array(folder: str, name: str, x: np.ndarray) -> None:
-    """Write an array's bytes into the shared folder, complete or not at all."""
+def write_array(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Write arrays' bytes one after another into a file of the shared folder, complete or not at all."""
     files, base = _filesystem(folder)
     files.create_dir(base, recursive=True)
     draft = f"{base}/.{name}.{uuid.uuid4().hex}"
     with files.open_output_stream(draft) as out:
-        out.write(memoryview(np.ascontiguousarray(x)).cast("B") if len(x) else b"")
+        for x in arrays:
+            out.write(memoryview(np.ascontiguousarray(x)).cast("B") if x.size else b"")
     files.move(draft, f"{base}/{name}")
 
 
-def map_array(folder: str, name: str, dtype: str, rows: int) -> np.ndarray:
-    """The array, mapped; only the pages that are looked at are read."""
-    if not rows:
-        return np.empty(0, dtype)
+def map_array(folder: str, name: str, dtype: str = "u1", rows: int | None = None) -> np.ndarray:
+    """The file as an array, mapped; only the pages that are looked at are read."""
     from pyarrow import fs
 
     files, base = _filesystem(folder)
+    path = f"{base}/{name}"
+    shape = None if rows is None else (rows,)
     if isinstance(files, fs.LocalFileSystem):
-        return np.memmap(f"{base}/{name}", dtype, "r", shape=(rows,))
-    with files.open_input_stream(f"{base}/{name}") as source, tempfile.NamedTemporaryFile(delete=False) as out:
+        return np.asarray(np.memmap(path, dtype, "r", shape=shape))
+    with files.open_input_stream(path) as source, tempfile.NamedTemporaryFile(delete=False) as out:
         while block := source.read(1 << 22):
             out.write(block)
     try:
-        return np.memmap(out.name, dtype, "r", shape=(rows,))
+        return np.asarray(np.memmap(out.name, dtype, "r", shape=shape))
     finally:
         os.unlink(out.name)
 
 
-@dataclass
-class Parts:
-    """Sorted hashes in parts, with a count for each."""
+# ---- blocks of sorted numbers between tasks ----
 
-    folder: str
-    rows: list[int]
-    keys: list[np.ndarray] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)
-    total_type: str = ""  # of the totals as contexts of longer n-grams, where there are any
-
-    def opened(self) -> Parts:
-        if not self.keys:
-            self.keys = [map_array(self.folder, f"{p}.keys", "u8", n) for p, n in enumerate(self.rows)]
-            self.counts = [map_array(self.folder, f"{p}.counts", "u4", n) for p, n in enumerate(self.rows)]
-            self.first = np.cumsum([0, *self.rows])
-            if self.total_type:
-                self.totals = [map_array(self.folder, f"{p}.totals", self.total_type, n) for p, n in enumerate(self.rows)]
-                self.shares = [map_array(self.folder, f"{p}.shares", "f8", n) for p, n in enumerate(self.rows)]
-        return self
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in all parts or -1, count or 0) of sorted hashes."""
-        place, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        for p, own, at, hit in self._hits(h):
-            place[own] = np.where(hit, at + self.first[p], -1)
-            count[own] = np.where(hit, self.counts[p][at], 0)
-        return place, count
-
-    def context(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(total or 0, left-over share) of sorted hashes as contexts."""
-        total, share = np.zeros(len(h), np.float64), np.ones(len(h), np.float64)
-        for p, own, at, hit in self._hits(h):
-            total[own] = np.where(hit, self.totals[p][at], 0)
-            share[own] = np.where(hit, self.shares[p][at], 1)
-        return total, share
-
-    def _hits(self, h: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """For each part with some of the sorted hashes: its number, which ones, their places in it, and whether they are there."""
-        edges = np.searchsorted(part_of(h, len(self.rows)), np.arange(len(self.rows) + 1)) if len(h) else []
-        for p in range(len(self.rows) if len(h) else 0):
-            a, b = edges[p], edges[p + 1]
-            if a == b or not self.rows[p]:
-                continue
-            at = np.minimum(np.searchsorted(self.keys[p], h[a:b]), self.rows[p] - 1)
-            yield p, slice(a, b), at, self.keys[p][at] == h[a:b]
 
+def block_of(arrays: list[np.ndarray]) -> bytes:
+    """Equally long arrays of 64-bit numbers, byte by byte of all numbers, compressed: what neighbours share takes no room."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) for x in arrays]
+    return pa.compress(b"".join(p.tobytes() for p in planes), codec="zstd", asbytes=True)
 
-@dataclass
-class KneserNey:
-    words: Parts
-    pairs: Parts
-    folder: str  # of the dense arrays by id
-    id_rows: int  # of a part of them
-    n_tokens: int
-    n_words: int
-    n_pairs: int
-    pair_discounts: np.ndarray  # for counts of 0, 1, 2, 3 and more
-    word_discounts: np.ndarray
-    left_over: float  # probability that the unigrams leave for the uniform distribution
-    higher: list[tuple[Parts, np.ndarray]] = field(default_factory=list)  # n-grams and discounts of orders three and more
 
-    def __post_init__(self):
-        self._dense = None
-
-    def opened(self) -> KneserNey:
-        self.words.opened()
-        self.pairs.opened()
-        for grams, _ in self.higher:
-            grams.opened()
-        if self._dense is None:
-            sizes = [min(self.id_rows, self.n_words + 1 - a) for a in range(0, self.n_words + 1, self.id_rows)] if self.n_pairs else []
-            self._dense = [[map_array(self.folder, f"{p}.{c}", "u4" if c != "total" else "u8", n) for p, n in enumerate(sizes)] for c in STATISTICS]
-        return self
-
-    def dense(self, k: int, ids: np.ndarray) -> np.ndarray:
-        """Statistic k of sorted ids."""
-        out = np.empty(len(ids), np.float64)
-        edges = np.searchsorted(ids, np.arange(len(self._dense[k]) + 1) * self.id_rows)
-        for p, own in enumerate(self._dense[k]):
-            a, b = edges[p], edges[p + 1]
-            out[a:b] = own[ids[a:b] - p * self.id_rows]
-        return out
+def arrays_of(table: pa.Table, count: int) -> list[np.ndarray]:
+    """The arrays of all blocks of a table, one after another."""
+    found = []
+    for n, b in zip(table.column("rows").to_pylist(), table.column("block").to_pylist(), strict=True):
+        raw = np.frombuffer(pa.decompress(b, decompressed_size=8 * n * count, codec="zstd", asbytes=True), np.uint8)
+        found.append(np.ascontiguousarray(raw.reshape(count, 8, n).transpose(0, 2, 1)).view(np.uint64)[:, :, 0])
+    return list(np.concatenate(found, axis=1)) if found else [np.empty(0, np.uint64)] * count
 
 
-STATISTICS = ("total", "once", "twice", "more", "before")
+def dealt(arrays: list[np.ndarray], part: np.ndarray) -> pa.RecordBatch:
+    """One row (part, rows, block) for each part that has some of the sorted numbers."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part = part[order]
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    own = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    columns = [pa.array(part[edges[:-1]], pa.int32()), pa.array(np.diff(edges), pa.int32()), pa.array([block_of([np.ascontiguousarray(x[o]).astype(np.uint64) for x in arrays]) for o in own], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "rows", "block"])
 
 
-def _flushed(batches: Iterator[pa.RecordBatch], keys_of, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, keys, n) for the distinct keys of every GATHERED tokens; keys_of makes packed n-grams of tokens."""
-    hashes = tokens()
-    held, size = [], 0
+BLOCKS = "part int, rows int, block binary"
 
-    def emit():
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        if len(columns) == 1:
-            key, n = np.unique(columns[0], return_counts=True)
-            columns, h = [key], mixed(key) if keys_of is not None else key
-        else:
-            h = hashed(columns)
-            order = np.argsort(h)
-            h = h[order]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            columns, h, n = [c[order[starts]] for c in columns], h[starts], np.diff(np.append(starts, len(order)))
-        part = part_of(h, parts)
-        for a in range(0, len(h), 100_000):
-            cut = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *(pa.array(c[cut].view(np.int64)) for c in columns), pa.array(n[cut])], ["part", *(f"key{j}" for j in range(len(columns))), "n"])
 
-    for batch in common.slices(batches, "text"):
-        h, lengths = hashes(batch.column("text").to_pylist())
-        held.append([h] if keys_of is None else keys_of(h, lengths))
-        size += len(h)
-        if size >= GATHERED:
-            yield from emit()
-            held, size = [], 0
-    if held:
-        yield from emit()
+def _sorted(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys in order and their summed values."""
+    if not len(columns[0]):
+        return columns, values
+    order = np.argsort(columns[0], kind="stable") if len(columns) == 1 else np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], [np.add.reduceat(v[order], starts) for v in values]
+
+
+# ---- stored tables ----
 
+DIRECTORY = 16  # bits of a hash that choose a bucket; 40 more are stored
 
-def _distinct(h: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Sorted hashes, their keys and summed values."""
+
+def store_table(folder: str, part: int, h: np.ndarray, values: list[np.ndarray]) -> None:
+    """One file: hashes in order, and for each one a code of its row of values.
+
+    Different rows of values are few; the 255 most frequent ones have codes of one byte, others are listed by place.
+    """
     order = np.argsort(h)
-    h = h[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return h[starts], [c[order[starts]] for c in columns], [np.add.reduceat(v[order].astype(np.int64), starts) if len(h) else v for v in values]
+    h, values = h[order], [v[order].astype(np.uint64) for v in values]
+    mark = values[0] if len(values) == 1 else hashed(values)
+    _, first, kind, often = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.argsort(-often, kind="stable")
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    kind = place[kind]
+    kinds = np.stack([v[first[rank]] for v in values]) if len(h) else np.empty((len(values), 0), np.uint64)
+    rare = np.flatnonzero(kind >= 255)
+    starts = np.searchsorted(h >> np.uint64(64 - DIRECTORY), np.arange((1 << DIRECTORY) + 2, dtype=np.uint64)).astype(np.uint32)
+    head = np.array([len(h), len(values), kinds.shape[1], len(rare)], np.uint64)
+    write_array(folder, str(part), head, kinds, rare.astype(np.uint64), kind[rare].astype(np.uint64), starts, (h >> np.uint64(8)).astype(np.uint32), (h >> np.uint64(40)).astype(np.uint8), np.minimum(kind, 255).astype(np.uint8))
+
+
+class StoredPart:
+    """A mapped file of store_table."""
+
+    def __init__(self, folder: str, part: int):
+        raw = map_array(folder, str(part))
+        n, columns, kinds, rare = raw[:32].view(np.uint64).tolist()
+        self.at = 32
+        self.n = n
+
+        def next_(dtype, count):
+            size = np.dtype(dtype).itemsize * count
+            out = raw[self.at : self.at + size].view(dtype)
+            self.at += size
+            return out
+
+        self.kinds = next_(np.uint64, columns * kinds).reshape(columns, kinds)
+        self.rare, self.rare_kind = next_(np.uint64, rare), next_(np.uint64, rare)
+        self.starts = next_(np.uint32, (1 << DIRECTORY) + 2)
+        self.low, self.high, self.code = next_(np.uint32, n), next_(np.uint8, n), next_(np.uint8, n)
+
+    def search(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each hash."""
+        bucket = (h >> np.uint64(64 - DIRECTORY)).astype(np.int64)
+        low, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        last = end.copy()
+        want = (h >> np.uint64(8)) & np.uint64((1 << 40) - 1)
+        if not self.n:
+            return low, np.zeros(len(h), bool)
+
+        def key(at):
+            return self.high[at].astype(np.uint64) << U32 | self.low[at]
+
+        for _ in range(int((end - low).max(initial=0)).bit_length()):
+            middle = np.minimum((low + end) >> 1, self.n - 1)
+            open_ = low < end
+            less = open_ & (key(middle) < want)
+            end = np.where(open_ & ~less, middle, end)
+            low = np.where(less, middle + 1, low)
+        at = np.minimum(low, self.n - 1)
+        return at, (low < last) & (key(at) == want)
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        """Columns x places."""
+        kind = self.code[at].astype(np.int64)
+        many = np.flatnonzero(kind == 255)
+        if len(many):
+            kind[many] = self.rare_kind[np.searchsorted(self.rare, at[many].astype(np.uint64))]
+        return self.kinds[:, kind]
+
+
+@dataclass
+class Table:
+    """Stored parts; they are opened where they are needed."""
+
+    folder: str
+    rows: list[int]
+    columns: int = 1
+    _open: dict[int, StoredPart] = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def part(self, p: int) -> StoredPart:
+        if p not in self._open:
+            self._open[p] = StoredPart(self.folder, p)
+        return self._open[p]
+
+    def groups(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(part, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            p = int(part[order[a]])
+            if self.rows[p]:
+                yield p, order[a:b]
+
+    def find(self, h: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Columns x hashes: the values, 0 where a hash is not there."""
+        out = np.zeros((self.columns, len(h)), np.int64)
+        for p, own in self.groups(part):
+            at, there = self.part(p).search(h[own])
+            out[:, own[there]] = self.part(p).values(at[there])
+        return out
 
 
-def _summed(table: pa.Table, k: int, values: tuple[str, ...] = ("n",)) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Sorted hashes of a part's n-grams (of words' hashes where k is 1), their keys and summed values."""
-    columns = [table.column(c).to_numpy().view(np.uint64) for c in packed_names(k)]
-    return _distinct(hashed(columns) if k > 1 else columns[0], columns, [table.column(c).to_numpy() for c in values])
+@dataclass
+class Words(Table):
+    """Words by hash; their ids are their places in all parts."""
+
+    n_texts: int = 0
+
+    def __post_init__(self):
+        self.first = np.cumsum([0, *self.rows])
+
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count or 0) of each hash."""
+        own, at = np.unique(h, return_inverse=True)
+        place, count = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
+        for p, some in self.groups(part_of(own, len(self.rows))):
+            found, there = self.part(p).search(own[some])
+            place[some[there]] = found[there] + self.first[p]
+            count[some[there]] = self.part(p).values(found[there])[0]
+        return place[at], count[at]
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of ids; of the start and the padding, the number of texts."""
+        own, at = np.unique(ids, return_inverse=True)
+        count = np.full(len(own), self.n_texts, np.int64)
+        known = own < self.first[-1]
+        for p, some in self.groups(np.searchsorted(self.first, own[known], side="right") - 1):
+            count[some] = self.part(p).values(own[some] - self.first[p])[0]
+        return count[at]
 
-def _store(folder: str, part: int, h: np.ndarray, n: np.ndarray) -> None:
-    write_array(folder, f"{part}.keys", h)
-    write_array(folder, f"{part}.counts", np.minimum(n, 0xFFFFFFFF).astype("u4"))
+
+#: Of a context: occurrences, and followers that occur once, twice, more often. `before`: different words before an n-gram.
+STATISTICS = ("total", "once", "twice", "more")
+
+
+@dataclass
+class KneserNey:
+    order: int
+    words: Words
+    packing: Packing
+    parts: dict[int, int]  # of the n-grams of each order
+    salted: int  # contexts of which more may occur than this are dealt out by their last word too
+    id_rows: int
+    n_tokens: int
+    folder: str
+    grams: dict[int, Table] = field(default_factory=dict)
+    contexts: dict[int, Table] = field(default_factory=dict)  # of k words, beside the n-grams of k + 1 words
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)
+    n_pairs: int = 0
+    left_over: float = 1.0  # probability that the unigrams leave for the uniform distribution
+    _dense: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": {}}
+
+    @property
+    def n_words(self) -> int:
+        return self.packing.n_words
+
+    def part(self, w: list[np.ndarray], often: np.ndarray) -> np.ndarray:
+        """Parts of n-grams w; often: a bound on how often their contexts occur."""
+        salts = (often // self.salted).astype(np.uint64)
+        salt = np.where(salts > 0, mixed(w[-1].astype(np.uint64)) % (salts + np.uint64(1)), np.uint64(0))
+        return part_of(mixed(hashed(self.packing.pack(w[:-1])) ^ mixed(salt)), self.parts[len(w)])
+
+    def count(self, w: list[np.ndarray], often: np.ndarray) -> np.ndarray:
+        """Values of n-grams in their table: columns x n-grams."""
+        h = hashed(self.packing.pack(w))
+        own, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return self.grams[len(w)].find(own, self.part([x[first] for x in w], often[first]))[:, at]
+
+    def context(self, w: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """Statistics of contexts of two words or more: 4 x contexts."""
+        h = hashed(self.packing.pack(w))
+        own, first, at = np.unique(h, return_index=True, return_inverse=True)
+        w, counts = [x[first] for x in w], [x[first] for x in counts]
+        often = np.minimum.reduce(counts)
+        whole = often < self.salted
+        out = np.zeros((len(STATISTICS), len(own)), np.int64)
+        k = len(w)
+        out[:, whole] = self.contexts[k].find(own[whole], part_of(mixed(own[whole]), self.parts[k + 1]))
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            out[:, rest] = self.grams[k].find(own[rest], self.part([x[rest] for x in w], np.minimum.reduce([c[rest] for c in counts[:-1]])))[1:]
+        return out[:, at]
+
+    def dense(self, ids: np.ndarray) -> np.ndarray:
+        """(total, once, twice, more, before) of ids: 5 x ids."""
+        own, at = np.unique(ids, return_inverse=True)
+        out = np.zeros((len(STATISTICS) + 1, len(own)), np.int64)
+        edges = np.searchsorted(own, np.arange(0, self.n_words + 1 + self.id_rows, self.id_rows))
+        for p in np.flatnonzero(np.diff(edges)):
+            if p not in self._dense:
+                self._dense[p] = map_array(f"{self.folder}/ids", str(p), "u8").reshape(len(STATISTICS) + 1, -1)
+            a, b = edges[p], edges[p + 1]
+            out[:, a:b] = self._dense[p][:, own[a:b] - p * self.id_rows]
+        return out[:, at]
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -303,13 +447,61 @@ def discounts(counts_of_counts: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-def share(once: np.ndarray, twice: np.ndarray, more: np.ndarray, total: np.ndarray, d: np.ndarray) -> np.ndarray:
+def share(statistics: np.ndarray, d: np.ndarray) -> np.ndarray:
     """What discounting leaves of contexts' totals for the order below; all of it where the total is 0."""
+    total, once, twice, more = statistics[:4].astype(np.float64)
     out, used = np.ones(len(total)), total > 0
     out[used] = (d[1] * once + d[2] * twice + d[3] * more)[used] / total[used]
     return out
 
 
+def taken_off(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.maximum(n - d[np.minimum(n, 3)], 0)
+
+
+# ---- training ----
+
+
+def gathered(batches: Iterator[pa.RecordBatch], arrays_for: Callable, parts_for: Callable) -> Iterator[pa.RecordBatch]:
+    """Blocks of the distinct keys and counts of every GATHERED tokens.
+
+    arrays_for(hashes, lengths): packed keys of tokens, and one more array that is the same for equal keys; parts_for(keys, that array).
+    """
+    hashes, held, size = tokens(), [], 0
+
+    def emit():
+        *columns, extra = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+        starts = np.flatnonzero(new)
+        first, n = order[starts], np.diff(np.append(starts, len(order)))
+        columns = [c[first] for c in columns]
+        return dealt([*columns, n.astype(np.uint64)], parts_for(columns, extra[first]))
+
+    for batch in common.slices(batches, "text"):
+        h, lengths = hashes(batch.column("text").to_pylist())
+        held.append(arrays_for(h, lengths))
+        size += len(h)
+        if size >= GATHERED:
+            yield emit()
+            size = 0
+    if held:
+        yield emit()
+    common.trim()
+
+
+def _head(part: int, sums: list[int]) -> pa.RecordBatch:
+    """A part's row of sums, told apart by its negative number."""
+    return pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int32()), pa.array([len(sums)], pa.int32()), pa.array([np.array(sums, np.int64).tobytes()], pa.binary())], ["part", "rows", "block"])
+
+
+def _heads(df: DataFrame) -> dict[int, list[int]]:
+    """part: sums; one row for each part comes to the driver."""
+    return {-1 - r["part"]: np.frombuffer(r["block"], np.int64).tolist() for r in df.where("part < 0").collect()}
+
+
 def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     """Count and store a model of all texts of the frame."""
     if order < 2:
@@ -321,156 +513,134 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     parts = max(1, texts.rdd.getNumPartitions())
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
+        import xxhash
+
         part = key[0].as_py()
-        h, _, (n,) = _summed(table, 1)
-        _store(f"{folder}/words", part, h, n)
-        return pa.table({"part": pa.array([part], pa.int32()), "rows": pa.array([len(h)]), "total": pa.array([int(n.sum())])})
-
-    counted = texts.mapInArrow(lambda b: _flushed(b, None, parts), "part int, key0 long, n long")
-    stored = {r["part"]: r for r in counted.groupBy("part").applyInArrow(store_words, "part int, rows long, total long").collect()}  # one row a part
-    common.release(spark)
-    words = Parts(f"{folder}/words", [stored[p]["rows"] if p in stored else 0 for p in range(parts)])
-    n_words, n_tokens = sum(words.rows), sum(r["total"] for r in stored.values())
-    if n_words >= int(PAD):
-        raise ValueError("more than 2**32 - 2 different words: ids of n-grams would overflow")
+        found = arrays_of(table, 2)
+        (h,), (n,) = _sorted(found[:1], found[1:])
+        store_table(f"{folder}/words", part, h, [n])
+        ends = int(n[h == np.uint64(xxhash.xxh3_64_intdigest(END))].sum())
+        return pa.Table.from_batches([_head(part, [len(h), int(n.sum()), ends])])
+
+    counted = texts.mapInArrow(lambda b: gathered(b, lambda h, _: [h, np.zeros(len(h), np.uint8)], lambda keys, _: part_of(keys[0], parts)), BLOCKS)
+    with common.cleaned(spark):
+        stored = _heads(counted.groupBy("part").applyInArrow(store_words, BLOCKS))
+    words = Words(f"{folder}/words", [stored[p][0] if p in stored else 0 for p in range(parts)], n_texts=sum(x[2] for x in stored.values()))
+    packing, n_tokens = Packing(sum(words.rows)), sum(x[1] for x in stored.values())
     # Every token ends one n-gram of the order; each of them reports to two shorter ones at most.
-    parts_of = {k: max(1, -(-(n_tokens if k == order else 2 * n_tokens) // PART_ROWS)) for k in range(2, order + 1)}
-    total_type = "u4" if n_tokens < 2**32 else "u8"
+    parts_of = {k: max(1, -(-n_tokens // PART_ROWS)) for k in range(2, order + 1)}
+    id_rows = -(-(packing.n_words + 1) // parts_of[2])
+    model = KneserNey(order, words, packing, parts_of, max(1, PART_ROWS // 8), id_rows, n_tokens, folder)
 
     def keys_of(h: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        ids = word_ids(words.opened(), h)[0]
-        return packed([before(ids, lengths, m).astype(np.uint64) for m in range(order - 1, 0, -1)] + [ids.astype(np.uint64)])
+        ids, count = words.ids(h)
+        texts_ = words.n_texts
+        often = np.minimum.reduce([before(count, lengths, m, texts_, texts_) for m in range(1, order)])
+        return [*packing.pack([*(before(ids, lengths, m, packing.start, packing.pad) for m in range(order - 1, 0, -1)), ids]), (often // model.salted).astype(np.uint32)]
 
-    def store_grams(k: int, above: np.ndarray | None):
-        """Store a part of the n-grams of k words; above: the discounts of the order above, where there is one."""
+    def parts_for(keys: list[np.ndarray], salts: np.ndarray) -> np.ndarray:
+        return model.part(packing.unpack(keys, order), salts.astype(np.int64) * model.salted)
+
+    def store_grams(k: int):
+        """Store a part of the n-grams of k words, and report to those of k - 1 words."""
+        width, values = packing.width(k), 1 if k == order else len(STATISTICS) + 1
 
         def store(key: tuple, table: pa.Table) -> pa.Table:
             part = key[0].as_py()
-            h, columns, values = _summed(table, k, ("n",) if above is None else STATISTICS)
-            n, w = values[-1], unpacked(columns, k)
-            real = w[0] != PAD
-            _store(f"{folder}/{k}", part, h[real], n[real])
-            if above is not None:
-                total, once, twice, more = (v[real] for v in values[:4])
-                write_array(f"{folder}/{k}", f"{part}.totals", total.astype(total_type))
-                write_array(f"{folder}/{k}", f"{part}.shares", share(once, twice, more, total, above))
-            sums = [int(real.sum()), *(int((n[real] == c).sum()) for c in (1, 2, 3, 4))]
-            own, nil = n[real], np.zeros(len(n), np.int64)
-            sides = [np.concatenate([a, b]) for a, b in zip((own, own == 1, own == 2, own > 2, nil[real]), (nil, nil, nil, nil, np.where(real, 1, n)), strict=True)]
-            shorter = [np.concatenate([a[real], b]) for a, b in zip(w[:-1], w[1:], strict=True)]
+            found = arrays_of(table, width + values)
+            columns, values_ = _sorted(found[:width], [x.astype(np.int64) for x in found[width:]])
+            del found, table
+            w, n = packing.unpack(columns, k), values_[-1]
+            real = w[0] != packing.pad
+            store_table(f"{folder}/{k}", part, hashed(columns)[real], [values_[-1][real], *(x[real] for x in values_[:-1])])
+            some = real & (n > 0)
+            sums = [int(real.sum()), int(some.sum()), *(int((n[some] == c).sum()) for c in (1, 2, 3, 4))]
+            # Contexts: n-grams are sorted, so those of a context are neighbours.
+            context, own = [x[some] for x in w[:-1]], n[some]
+            new = np.ones(len(own), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in context], axis=0)
+            starts = np.flatnonzero(new)
+            context = [x[starts] for x in context]
+            statistics = [np.add.reduceat(x.astype(np.int64), starts) if len(starts) else own[:0] for x in (own, own == 1, own == 2, own > 2)]
+            # N-grams without their first word: how many words stand before them.
+            tail, (different,) = _sorted([x[n > 0] for x in packing.pack(w[1:])], [np.where(real, 1, n)[n > 0]])
+            nil = np.zeros(len(different), np.int64)
             if k > 2:
-                shorter = packed(shorter)
-                h, shorter, sides = _distinct(hashed(shorter), shorter, sides)
-                out = {"part": part_of(h, parts_of[k - 1]), **{c: x.view(np.int64) for c, x in zip(packed_names(k - 1), shorter, strict=True)}}
-                head = {c: -1 - part if c == "part" else 0 for c in out}
+                whole = np.minimum.reduce([words.counts(x) for x in context]) < model.salted if len(starts) else np.zeros(0, bool)
+                h = hashed(packing.pack(context))
+                store_table(f"{folder}/{k - 1}-contexts", part, h[whole], [x[whole] for x in statistics])
+                sums.append(int(whole.sum()))
+                split = [x[~whole] for x in packing.pack(context)]
+                keys = [np.concatenate([a, b]) for a, b in zip(split, tail, strict=True)]
+                sides = [np.concatenate([a[~whole], nil]) for a in statistics] + [np.concatenate([np.zeros(int((~whole).sum()), np.int64), different])]
+                keys, sides = _sorted(keys, sides)
+                shorter = packing.unpack(keys, k - 1)
+                to = model.part(shorter, np.minimum.reduce([words.counts(x) for x in shorter[:-1]])) if len(keys[0]) else np.empty(0, np.int32)
             else:
-                ids = shorter[0].astype(np.int64)
-                ids[ids == int(START)] = n_words  # the start's statistics come last
-                h, (ids,), sides = _distinct(ids, [ids], sides)
-                out, head = {"id": ids}, {"id": -1 - part}
-            out |= dict(zip(STATISTICS, sides, strict=True))
-            head |= dict(zip(STATISTICS, sums, strict=True))
-            return pa.table({c: pa.array(np.concatenate([np.array([head[c]], x.dtype), x])) for c, x in out.items()})
+                # The start, as a context, has the last id.
+                keys = [np.concatenate([context[0], tail[0].astype(np.int64)]).astype(np.uint64)]
+                sides = [np.concatenate([a, nil]) for a in statistics] + [np.concatenate([np.zeros(len(starts), np.int64), different])]
+                keys, sides = _sorted(keys, sides)
+                to = (keys[0].astype(np.int64) // id_rows).astype(np.int32)
+            return pa.Table.from_batches([_head(part, sums), *([dealt([*keys, *(x.astype(np.uint64) for x in sides)], to)] if len(to) else [])])
 
         return store
 
-    def grams(k: int, found: dict[int, object]) -> tuple[Parts, np.ndarray]:
-        """Stored n-grams of k words and their discounts, from one row for each part."""
-        of = Parts(f"{folder}/{k}", [found[p]["total"] if p in found else 0 for p in range(parts_of[k])], total_type=total_type if k < order else "")
-        return of, discounts([sum(r[c] for r in found.values()) for c in STATISTICS[1:]])
-
-    statistics = ", ".join(f"{c} long" for c in STATISTICS)
-    keyed = lambda k: "part int, " + ", ".join(f"{c} long" for c in packed_names(k))
-    rows = texts.mapInArrow(lambda b: _flushed(b, keys_of, parts_of[order]), f"{keyed(order)}, n long")
-    higher, above, path = [], None, None
-    for k in range(order, 2, -1):
-        reported = rows.groupBy("part").applyInArrow(store_grams(k, above), f"{keyed(k - 1)}, {statistics}")
-        last, path = path, common.fresh_path(spark, "kneser-ney-grams")
-        reported.write.parquet(path)
-        if last:
-            common.remove_path(spark, last)
-        common.release(spark)
-        reported = spark.read.schema(reported.schema).parquet(path)
-        found = {-1 - r["part"]: r for r in reported.where("part < 0").collect()}  # one row a part
-        higher.insert(0, grams(k, found))
-        above, rows = higher[0][1], reported.where("part >= 0")
-    gathered = rows.groupBy("part").applyInArrow(store_grams(2, above), f"id long, {statistics}")
-    gathered = common.staged(gathered, "kneser-ney-statistics")
-    if path:
-        common.remove_path(spark, path)
-    heads = {-1 - r["id"]: r for r in gathered.where("id < 0").collect()}  # one row a part
-    # Parts of ids: as many as keep the gathered rows of each small.
-    id_rows = -(-(n_words + 1) // max(1, -(-gathered.count() // GATHERED_ROWS)))
-    pairs, pair_discounts = grams(2, heads)
-    n_pairs = sum(pairs.rows)
+    rows, last = texts.mapInArrow(lambda b: gathered(b, keys_of, parts_for), BLOCKS), []
+    for k in range(order, 1, -1):
+        reported = common.staged(rows.groupBy("part").applyInArrow(store_grams(k), BLOCKS), f"kneser-ney-{k - 1}", done=last)
+        heads = _heads(reported)
+        of = lambda j: [heads[p][j] if p in heads else 0 for p in range(parts_of[k])]  # noqa: E731, B023
+        model.grams[k] = Table(f"{folder}/{k}", of(0), 1 if k == order else len(STATISTICS) + 1)
+        model.discounts[k] = discounts([sum(of(j)) for j in (2, 3, 4, 5)])
+        if k > 2:
+            model.contexts[k - 1] = Table(f"{folder}/{k - 1}-contexts", of(6), len(STATISTICS))
+        model.n_pairs = sum(of(1))
+        rows, last = reported.where("part >= 0"), [reported]
 
     def store_ids(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        at = table.column("id").to_numpy() - part * id_rows
-        size = min(id_rows, n_words + 1 - part * id_rows)
-        dense = [np.bincount(at, table.column(c).to_numpy(), size).astype("u8" if c == "total" else "u4") for c in STATISTICS]
-        for c, x in zip(STATISTICS, dense, strict=True):
-            write_array(f"{folder}/ids", f"{part}.{c}", x)
-        before = dense[-1]
-        return pa.table({"part": pa.array([part], pa.int32()), **{f"n{k}": pa.array([int((before == k).sum())]) for k in (1, 2, 3, 4)}, "more": pa.array([int((before > 2).sum())])})
-
-    numbered = gathered.where("id >= 0").select(F.expr(f"id div {id_rows}").cast("int").alias("part"), "id", *STATISTICS)
-    of_ids = numbered.groupBy("part").applyInArrow(store_ids, "part int, n1 long, n2 long, n3 long, n4 long, more long").collect()
-    common.release(spark)
-    of_words = [sum(r[f"n{k}"] for r in of_ids) for k in (1, 2, 3, 4)]
-    word_discounts = discounts(of_words)
-    taken = word_discounts[1] * of_words[0] + word_discounts[2] * of_words[1] + word_discounts[3] * sum(r["more"] for r in of_ids)
-    return KneserNey(words, pairs, f"{folder}/ids", id_rows, n_tokens, n_words, n_pairs, pair_discounts, word_discounts, taken / n_pairs if n_pairs else 1.0, higher)
-
-
-def word_ids(words: Parts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id or -1, count or 0) of each hash."""
-    own, at = np.unique(h, return_inverse=True)
-    place, count = words.find(own)
-    return place[at], count[at]
+        ids, *sides = arrays_of(table, len(STATISTICS) + 2)
+        dense = np.zeros((len(sides), min(id_rows, packing.n_words + 1 - part * id_rows)), np.int64)
+        for x, y in zip(dense, sides, strict=True):
+            np.add.at(x, ids.astype(np.int64) - part * id_rows, y.astype(np.int64))
+        write_array(f"{folder}/ids", str(part), dense.astype(np.uint64))
+        n = dense[-1]
+        return pa.Table.from_batches([_head(part, [*(int((n == c).sum()) for c in (1, 2, 3, 4)), int((n > 2).sum())])])
+
+    with common.cleaned(spark):
+        of_ids = list(_heads(rows.groupBy("part").applyInArrow(store_ids, BLOCKS)).values())
+    common.drop(*last)
+    of_words = [sum(x[j] for x in of_ids) for j in range(5)]
+    d = model.discounts[1] = discounts(of_words[:4])
+    model.left_over = float(d[1] * of_words[0] + d[2] * of_words[1] + d[3] * of_words[4]) / model.n_pairs if model.n_pairs else 1.0
+    return model
+
+
+# ---- scoring ----
 
 
 def log_probabilities(model: KneserNey, h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token: log10 probability by the model, by the base formula, and the training count."""
-    ids, count = word_ids(model.words, h)
+    ids, count = model.words.ids(h)
     base = np.log10((count + 1.0) / (model.n_tokens + 1.0 * (model.n_words + 1)))
     known = ids >= 0
-    # Unigrams: discounted continuation counts and a share of the uniform distribution over all words and the unknown one.
-    own, at = np.unique(ids[known], return_inverse=True)
-    different = model.dense(4, own)
-    seen = np.maximum(different - model.word_discounts[np.minimum(different, 3).astype(int)], 0) / max(1, model.n_pairs)
+    # Unigrams: discounted numbers of words before and a share of the uniform distribution over all words and the unknown one.
     p = np.full(len(ids), model.left_over / (model.n_words + 1))
-    p[known] += seen[at]
-    # Pairs.
-    left = np.empty_like(ids)
-    left[1:] = ids[:-1]
-    left[np.cumsum(lengths) - lengths] = model.n_words
-    context = np.flatnonzero(left >= 0) if model.n_pairs else np.empty(0, np.int64)
-    own, at = np.unique(left[context], return_inverse=True)
-    total, once, twice, more = (model.dense(k, own) for k in range(4))
-    d = model.pair_discounts
-    p[context] *= share(once, twice, more, total, d)[at]
-    both = context[known[context] & (total[at] > 0)]
-    first = left[both].astype(np.uint64)
-    first[left[both] == model.n_words] = START
-    keys, where = np.unique(mixed(first << U32 | ids[both].astype(np.uint64)), return_inverse=True)
-    n = model.pairs.find(keys)[1][where].astype(np.float64)
-    totals = total[np.searchsorted(own, left[both])]
-    p[both] += np.maximum(n - d[np.minimum(n, 3).astype(int)], 0) / totals
-    # Longer n-grams, where the whole context is known.
-    lower = model.pairs
-    for k, (grams, d) in enumerate(model.higher, 3):
-        w = [before(ids, lengths, m) for m in range(k - 1, 0, -1)]
-        whole = np.flatnonzero((w[0] != int(PAD)) & np.all([x >= 0 for x in w], axis=0))
-        w = [x[whole].astype(np.uint64) for x in w]
-        own, at = np.unique(hashed(packed(w)), return_inverse=True)
-        total, left_over = (x[at] for x in lower.context(own))
-        p[whole] *= left_over
-        pick = np.flatnonzero(known[whole] & (total > 0))
-        keys, where = np.unique(hashed(packed([*(x[pick] for x in w), ids[whole[pick]].astype(np.uint64)])), return_inverse=True)
-        n = grams.find(keys)[1][where].astype(np.float64)
-        p[whole[pick]] += np.maximum(n - d[np.minimum(n, 3).astype(int)], 0) / total[pick]
-        lower = grams
+    if model.n_pairs:
+        p[known] += taken_off(model.dense(ids[known])[-1], model.discounts[1]) / model.n_pairs
+    start, pad, texts = model.packing.start, model.packing.pad, model.words.n_texts
+    for k in range(2, model.order + 1 if model.n_pairs else 2):
+        w = [before(ids, lengths, m, start, pad) for m in range(k - 1, 0, -1)]
+        whole = np.flatnonzero((w[0] != pad) & np.all([x >= 0 for x in w], axis=0))
+        w = [x[whole] for x in w]
+        counts = [before(count, lengths, m, texts, texts)[whole] for m in range(k - 1, 0, -1)]
+        d = model.discounts[k]
+        statistics = model.dense(w[0]) if k == 2 else model.context(w, counts)
+        p[whole] *= share(statistics, d)
+        pick = np.flatnonzero(known[whole] & (statistics[0] > 0))
+        n = model.count([*(x[pick] for x in w), ids[whole[pick]]], np.minimum.reduce([c[pick] for c in counts]))[0]
+        p[whole[pick]] += taken_off(n, d) / statistics[0][pick]
     return np.log10(p), base, count
 
 
@@ -480,11 +650,11 @@ def score(df: DataFrame, model: KneserNey, text: str = "text", keep: tuple[str,
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long, n_known long, base_score double, score double, perplexity double"
 
     def make():
-        hashes, own = tokens(), model.opened()
+        hashes = tokens()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             h, lengths = hashes(batch.column(text).to_pylist())
-            p, base, count = log_probabilities(own, h, lengths)
+            p, base, count = log_probabilities(model, h, lengths)
             first = np.cumsum(lengths) - lengths
             total = np.add.reduceat(p, first)
             columns = [lengths, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), total, 10 ** np.minimum(300, -total / lengths)]
@@ -492,7 +662,7 @@ def score(df: DataFrame, model: KneserNey, text: str = "text", keep: tuple[str,
 
         return work
 
-    return common.map_slices(df.select(*keep, text), make, schema, text)
+    return common.map_slices(df.select(*keep, text), make, schema, text, SCORED_BYTES)
 
 
 def fold(key: Column, of: int) -> Column:

@@ -36,7 +36,7 @@ def brute(train: list[list[str]], order: int):
     return p
 
 
-@pytest.mark.parametrize(("order", "part_rows"), [(2, 7), (3, 7), (3, 1000), (4, 10)])
+@pytest.mark.parametrize(("order", "part_rows"), [(2, 7), (3, 7), (3, 40), (3, 1000), (4, 10), (4, 60)])
 def test_orders_against_counting(spark, monkeypatch, order, part_rows):
     monkeypatch.setattr(lm, "PART_ROWS", part_rows)
     tokens = lambda t: [*(t or "").split(), "\n"]
