@@ -145,10 +145,10 @@ def shard_table(df: DataFrame, dims: dict[str, Column], ties: list[str], keep: l
     return placed.select(*keep, "curve", shard.alias("shard"), slot.alias("slot"))
 
 
-def write_shards(docs: DataFrame, assignment: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Rows of docs into one folder a shard, in curve order; key must be unique in both."""
-    rows = docs.join(assignment.select(key, "shard", "slot"), key)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, dims: dict[str, Column], ties: list[str], path: str, shards: int = 8, bits: int = 5) -> None:
+    """The frame's rows into one folder a shard, in curve order. Rows carry their own place, so repeated ones are written as often as they come."""
+    rows = shard_table(df, dims, ties, df.columns, shards, bits)
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("curve", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_hilbert_shards(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Prediction reads the text alone.
 
 Edge cases: a null text, and one without a letter, gets the language `und` and the score 0; so does every text where no
 labelled row exists; words and texts of any length are read whole; repeated rows get equal results; ties go to the
-language that sorts first; an empty table gives an empty table; clashing column names are not looked at.
+language that sorts first; an empty table gives an empty table; columns of the input with the names of results are replaced; a row
+without an id is held out or not as the empty text would be.
 """
 
 from __future__ import annotations
@@ -153,6 +154,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str =
 
     The score is the mean posterior of the text's best language; a word is as sure as its own best language, whichever it is.
     """
+    df = df.drop(pred, score, *([sure] if sure else []))
     share = df.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{pred}` string, `{score}` double" + (f", `{sure}` double" if sure else "")
 
@@ -213,8 +215,8 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str =
 
 
 def fold(key: Column, of: int) -> Column:
-    """crc32 of the key as text, modulo."""
-    return F.crc32(F.encode(key.cast("string"), "UTF-8")) % of
+    """crc32 of the key as text, modulo; null keys count as the empty text."""
+    return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % of
 
 
 def op6_language_crf(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ such a shingle (an anchor) occurs; all other windows are known to retrieve nothi
 text and keeps it only if an anchor occurs; no text is shuffled.
 
 Edge cases: null and word-less texts match nothing; a text shorter than a window is one window; rows with the same id
-are one document; a text with equally good windows reports the first one; an empty table gives an empty table; further
+are one document, as are rows without an id; a text with equally good windows reports the first one; an empty table gives an empty table; further
 columns are not looked at.
 """
 

@@ -151,12 +151,21 @@ def _diagonals(out: np.ndarray, a: int, b: int, kind: int) -> None:
     out[a:b] = wide[1:, 1:]
 
 
-@functools.lru_cache(256)
-def _shrink(n: int, to: int = 32) -> np.ndarray:
-    """Weights of the area average that takes n samples to `to`."""
-    start = np.arange(to)[:, None] * n / to
-    cell = np.arange(n)[None, :]
-    return np.clip(np.minimum(start + n / to, cell + 1) - np.maximum(start, cell), 0, None) * (to / n)
+def averaged(x: np.ndarray, to: int = 32) -> np.ndarray:
+    """Area averages of the rows of x: to rows in place of len(x), from running sums that are read at the areas' edges."""
+    n = len(x)
+    sums = np.zeros((n + 1, x.shape[1]))
+    np.cumsum(x, axis=0, out=sums[1:])
+    edge = np.arange(to + 1) * n / to
+    whole = np.minimum(edge.astype(np.int64), n - 1)
+    at = sums[whole] + (edge - whole)[:, None] * x[whole]
+    return np.diff(at, axis=0) * (to / n)
+
+
+def shrunk(image: np.ndarray, to: int = 32, rows: int = 1 << 16) -> np.ndarray:
+    """The image averaged down to `to` x `to`; `rows` of it are held as numbers at once."""
+    parts = [averaged(image[a : a + rows].mean(axis=2).T, to).T for a in range(0, len(image), rows)]
+    return averaged(np.concatenate(parts), to)
 
 
 @functools.cache
@@ -166,9 +175,7 @@ def _cosines(n: int = 32, keep: int = 8) -> np.ndarray:
 
 def cosine_hash(image: np.ndarray) -> str:
     """64 bits as hex: signs of the lowest cosine coefficients against their median; the constant one is left out (bit 0)."""
-    grey = image.mean(axis=2) if image.shape[2] > 1 else image[:, :, 0].astype(np.float64)
-    small = _shrink(grey.shape[0]) @ grey @ _shrink(grey.shape[1]).T
-    low = np.round(_cosines() @ small @ _cosines().T, 4).ravel()
+    low = np.round(_cosines() @ shrunk(image) @ _cosines().T, 4).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
     return np.packbits(bits).tobytes().hex()

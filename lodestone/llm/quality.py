@@ -12,7 +12,8 @@ at first; a second round relabels the lines of bad documents which the first mod
 
 Edge cases: a null text has no words and fails the base test; an empty text too; blank lines are no positions; without
 rated documents of both kinds the base test alone decides; lines and texts of any length are read whole; repeated rows
-get equal results; an empty table gives an empty table; clashing column names are not looked at.
+get equal results; an empty table gives an empty table; columns of the input with the names of results are replaced; a
+rating without an id is no rating.
 """
 
 from __future__ import annotations
@@ -166,6 +167,7 @@ RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 def judge(df: DataFrame, model: crf.Model | None, text: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
     """The frame with the counts, content_share and kept for each whole text."""
+    df = df.drop(*RESULT_NAMES)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + RESULT
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 

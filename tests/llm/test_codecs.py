@@ -1,7 +1,6 @@
 """Operators 2, 5 and 7 below Spark: exact agreement with the libraries, round trips, packings."""
 
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers
@@ -110,6 +109,20 @@ def test_all_filters(channels):
     assert (media.unfilter(kinds, x) == want).all()
 
 
-def test_piece_checksums():
-    ids = np.arange(5000, dtype="<u4")
-    assert zlib.crc32(ids[:2048].tobytes()) == zlib.crc32(ids.tobytes()[:8192])
+def test_cosine_hash_against_plain_loops():
+    rng = np.random.default_rng(5)
+    for rows, row, channels in ((1, 40, 1), (3, 48, 1), (31, 7, 3), (33, 20, 1)):
+        image = rng.integers(0, 256, (rows, row, channels)).astype(np.uint8)
+        grey, small = image.mean(axis=2), np.zeros((32, 32))
+        for i, j in np.ndindex(32, 32):
+            for r, c in np.ndindex(rows, row):
+                high = min((i + 1) * rows / 32, r + 1) - max(i * rows / 32, r)
+                wide = min((j + 1) * row / 32, c + 1) - max(j * row / 32, c)
+                if high > 0 and wide > 0:
+                    small[i, j] += grey[r, c] * high * wide * 1024 / (rows * row)
+        assert np.allclose(media.shrunk(image), small) and np.allclose(media.shrunk(image, rows=5), media.shrunk(image))
+        wave = np.cos(np.pi / 32 * (np.arange(32)[None, :] + 0.5) * np.arange(8)[:, None])
+        low = np.round([(np.outer(wave[u], wave[v]) * small).sum() for u in range(8) for v in range(8)], 4)
+        middle = np.median(low[1:])
+        bits = "".join("1" if k and x > middle else "0" for k, x in enumerate(low))
+        assert media.cosine_hash(image) == f"{int(bits, 2):016x}"

@@ -66,20 +66,23 @@ def test_packing(odd, none):
 
 def test_language(odd, none):
     model = langid.fit_table(odd)
-    rows = langid.predict(odd.drop("score"), model).collect()
+    clashing = odd.withColumn("lang_pred", F.lit(1))
+    rows = langid.predict(clashing, model).collect()
     assert len(rows) == len(TEXTS) and all((r.lang_pred == "und") == (r.doc_id in (2, 3, 4, 9)) for r in rows) and all(0 <= r.score <= 1 for r in rows)
     empty = langid.fit_table(none)
-    assert {r.lang_pred for r in langid.predict(odd.drop("score"), empty).collect()} == {"und"}
-    assert not langid.predict(none.drop("score"), model).count()
+    assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
+    assert not langid.predict(none, model).count()
 
 
 def test_quality(spark, odd, none):
     ratings = spark.createDataFrame([(1, 1), (8, 0), (None, 1), (6, None)], "doc_id long, quality int")
     model = quality.fit_table(odd, ratings)
-    rows = quality.judge(odd.select("doc_id", "text"), model).collect()
+    rows = quality.judge(odd, model).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         w = words(r.text)
+        lines = [x for x in (r.text or "").split("\n") if words(x)]
+        assert r.n_dup_lines == sum(x in lines[:k] for k, x in enumerate(lines))
         assert r.n_words == len(w) and r.word_chars == sum(map(len, w)) and r.n_symbols == len(re.findall(r"[#*$%&|<>]", r.text or ""))
         assert not (r.base_failed and r.kept)
     assert quality.fit_table(none, ratings) is None and not quality.judge(none.select("text"), model).count()
@@ -102,6 +105,19 @@ def test_sharding(odd, none):
     assert not hilbert.shard_table(none, dims, ["doc_id"], ["doc_id"]).count()
 
 
+def test_written_shards(spark, odd, tmp_path):
+    dims = {"source": hilbert.string_number(F.col("source")), "size": hilbert.size_number(F.length("text"))}
+    hilbert.write_shards(odd, dims, ["doc_id"], str(tmp_path / "odd"))
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(TEXTS)
+    # Files of a shard span narrow ranges in all dimensions: a box of both is in few of them.
+    grid = spark.range(4096).select(F.expr("id % 64").alias("x"), F.expr("id div 64").alias("y"))
+    hilbert.write_shards(grid, {c: F.col(c) for c in ("x", "y")}, ["x", "y"], str(tmp_path / "grid"), shards=16)
+    of = {r.shard: r for r in spark.read.parquet(str(tmp_path / "grid")).groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("a", F.min), ("b", F.max))]).collect()}
+    hit = [r for r in of.values() if r.a_x <= 9 and r.b_x >= 2 and r.a_y <= 9 and r.b_y >= 2]
+    assert len(of) == 16 and len(hit) <= 2
+
+
 def brute_groups(docs, n, percent):
     sets = defaultdict(set)
     for i, t in docs:
