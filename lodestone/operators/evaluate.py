@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import metrics as M
@@ -25,40 +25,37 @@ def table_metrics(df: DataFrame, expected: str = "expected", found: str = "found
     return named.select(*df.columns, *[c.alias(n) for n, c in rounded.items()])
 
 
-def _columns(df: DataFrame, key: str, side: str, extra: list[str] | None = None) -> DataFrame:
-    """(key, position, table, columns) of an array of struct<table, columns>, names folded."""
-    rows = df.select(key, F.posexplode(side).alias("pos", "x"))
-    return rows.select(key, "pos", F.lower("x.table").alias("table"), M.folded(F.col("x.columns")).alias(f"{side}_columns"))
+def _mean(values: Column) -> Column:
+    """Mean of an array; 0 where it is empty."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return M.ratio(total, F.size(values))
 
 
 def column_metrics(df: DataFrame, key: str = "question_id", expected: str = "expected", found: str = "found", k: int = 10) -> DataFrame:
     """Joint (micro), macro and top-N column metrics. expected, found: arrays of struct<table: string, columns: array<string>>.
 
     A column counts only where its table was found. Joint metrics count a repeated expected table twice; macro metrics once,
-    with its last column list.
+    with its last column list; of a repeated found table the first list counts. Both lists are in the row, so nothing is shuffled.
     """
-    want, have = _columns(df, key, expected), _columns(df, key, found)
-    e, f = f"{expected}_columns", f"{found}_columns"
-    first = have.groupBy(key, "table").agg(F.min_by(f, "pos").alias(f))
-    met = want.join(first, [key, "table"], "left")
-    es, fs = F.array_distinct(F.col(e)), F.array_distinct(F.coalesce(F.col(f), F.array().cast("array<string>")))
-    hit = F.size(F.array_intersect(es, fs))
-    joint = met.groupBy(key).agg(F.sum(hit).alias("_h"), F.sum(F.size(es)).alias("_e"), F.sum(F.size(fs)).alias("_f"))
+    named = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda x: F.struct(F.lower(x["table"]).alias("t"), M.folded(x["columns"]).alias("c")))
+    none = F.array().cast("array<string>")
+    rows = df.select(key, named(expected).alias("_want"), named(found).alias("_have"))
+    first = lambda x: F.coalesce(F.get(F.filter(F.col("_have"), lambda y: y["t"] == x["t"]), F.lit(0))["c"], none)
+    rows = rows.select(key, F.transform("_want", lambda x: F.struct(x["t"].alias("t"), x["c"].alias("e"), first(x).alias("f"))).alias("_met"))
+    later = lambda x, i: F.exists(F.slice(F.col("_met"), i + 2, F.size("_met")), lambda y: y["t"].eqNullSafe(x["t"]))
+    rows = rows.withColumn("_last", F.filter("_met", lambda x, i: ~later(x, i)))
+    count = lambda f: F.aggregate("_met", F.lit(0), lambda a, x: a + f(x))
+    size = lambda side: count(lambda x: F.size(F.array_distinct(x[side])))
+    rows = rows.select(key, "_last", count(lambda x: M.hits(x["e"], x["f"])).alias("_h"), size("e").alias("_e"), size("f").alias("_f"))
     p, r = M.ratio(F.col("_h"), F.col("_f")), M.ratio(F.col("_h"), F.col("_e"))
-    joint = joint.select(key, F.round(p, 6).alias("joint_precision"), F.round(r, 6).alias("joint_recall"), F.round(M.f1_of(p, r), 6).alias("joint_f1"))
-    last = want.groupBy(key, "table").agg(F.max_by(e, "pos").alias(e)).join(first, [key, "table"], "left")
-    own, got = F.col(e), F.coalesce(F.col(f), F.array().cast("array<string>"))
-    means = []
-    for name, g in [("", got), *((f"_at_{n}", M.at(got, n)) for n in KS), ("_at_k", M.at(got, k))]:
-        cp, cr, _ = M.precision_recall_f1(own, g)
-        means += [F.avg(cp).alias(f"_p{name}"), F.avg(cr).alias(f"_r{name}")]
-    accuracy = F.avg(F.when(F.size(F.array_distinct(own)) > 0, M.top_n_accuracy(own, got)))
-    macro = last.groupBy(key).agg(*means, F.coalesce(accuracy, F.lit(0.0)).alias("_acc"))
-    cols = [F.round("_acc", 6).alias("column_top_n_accuracy")]
-    for name in ("", *(f"_at_{n}" for n in KS), "_at_k"):
-        p, r = F.col(f"_p{name}"), F.col(f"_r{name}")
-        cols += [F.round(p, 6).alias(f"column_precision{name}"), F.round(r, 6).alias(f"column_recall{name}"), F.round(M.f1_of(p, r), 6).alias(f"column_f1{name}")]
-    return df.select(key).join(joint, key, "left").join(macro.select(key, *cols), key, "left").na.fill(0.0)
+    out = {"joint_precision": p, "joint_recall": r, "joint_f1": M.f1_of(p, r)}
+    asked = F.filter("_last", lambda x: F.size(x["e"]) > 0)
+    out["column_top_n_accuracy"] = _mean(F.transform(asked, lambda x: M.top_n_accuracy(x["e"], x["f"])))
+    for name, n in [("", None), *((f"_at_{n}", n) for n in KS), ("_at_k", k)]:
+        side = lambda at: _mean(F.transform("_last", lambda x: M.precision_recall_f1(x["e"], M.at(x["f"], n) if n else x["f"])[at]))  # noqa: E731, B023
+        p, r = side(0), side(1)
+        out |= {f"column_precision{name}": p, f"column_recall{name}": r, f"column_f1{name}": M.f1_of(p, r)}
+    return rows.select(key, *[F.round(c, 6).alias(n) for n, c in out.items()])
 
 
 def summary(results: DataFrame, by: str, metrics: list[str], error: str = "error") -> DataFrame:

@@ -14,6 +14,14 @@ def normalised(value: Column, by: list[str]) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((value - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low))
 
 
+def with_normalised(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """normalised() for a few large groups: their least and largest values are aggregated and joined back, so no group meets in one task."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    spread = F.when(high == low, F.lit(1.0)).otherwise(high - low)
+    return df.join(ends, by, "left").withColumn(out, F.when(high == low, F.lit(1.0)).otherwise((F.col(value) - low) / spread)).drop("_low", "_high")
+
+
 def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 

@@ -25,25 +25,8 @@ def _blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, top: int, metric: str = "cosine", group: str | None = None, skip_self: bool = True) -> DataFrame:
-    """Exact nearest rows of the corpus for each query.
-
-    queries: query_id, vector. corpus: id, vector and, if given, the column `group`. Result: query_id, id, score (rounded to
-    six digits, larger is better) and the group: the best `top` of each query, or of each query and group. Ties: smaller id.
-    metric: cosine, dot or l2 (negative distance). Zero vectors and null vectors score nothing under cosine.
-    """
-    n_query, n_corpus = queries.count(), corpus.count()
-    qb, cb = _blocks(n_query, QUERY_BLOCK), _blocks(n_corpus, CORPUS_BLOCK)
-    extra = [group] if group else []
-    kinds = dict(corpus.dtypes)
-    vectors = lambda df, key: df.where(F.col("vector").isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    q = vectors(queries, "query_id").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).withColumn("asks", F.lit(True))
-    c = corpus.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
-    c = c.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("asks", F.lit(False))
-    if group:
-        q = q.withColumn(group, F.lit(None).cast(kinds[group]))
-    both = q.select("q", "c", "asks", "id", "vector", *extra).unionByName(c.select("q", "c", "asks", "id", "vector", *extra))
-    schema = "query_id long, id long, score double" + (f", `{group}` {kinds[group]}" if group else "")
+def best_rows(top: int, metric: str, group: str | None = None, skip_self: bool = True):
+    """A function of one block of queries and one of targets (column `asks` tells which): each query's best rows of the block."""
 
     def best(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -82,7 +65,30 @@ def vector_search(queries: DataFrame, corpus: DataFrame, top: int, metric: str =
             out[group] = pa.array(columns[3].tolist(), table.schema.field(group).type)
         return pa.table(out)
 
-    found = both.groupBy("q", "c").applyInArrow(best, schema)
+    return best
+
+
+def vector_search(queries: DataFrame, corpus: DataFrame, top: int, metric: str = "cosine", group: str | None = None, skip_self: bool = True) -> DataFrame:
+    """Exact nearest rows of the corpus for each query.
+
+    queries: query_id, vector. corpus: id, vector and, if given, the column `group`. Result: query_id, id, score (rounded to
+    six digits, larger is better) and the group: the best `top` of each query, or of each query and group. Ties: smaller id.
+    metric: cosine, dot or l2 (negative distance). Zero vectors and null vectors score nothing under cosine.
+    """
+    n_query, n_corpus = queries.count(), corpus.count()
+    qb, cb = _blocks(n_query, QUERY_BLOCK), _blocks(n_corpus, CORPUS_BLOCK)
+    extra = [group] if group else []
+    kinds = dict(corpus.dtypes)
+    vectors = lambda df, key: df.where(F.col("vector").isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    q = vectors(queries, "query_id").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).withColumn("asks", F.lit(True))
+    c = corpus.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
+    c = c.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("asks", F.lit(False))
+    if group:
+        q = q.withColumn(group, F.lit(None).cast(kinds[group]))
+    both = q.select("q", "c", "asks", "id", "vector", *extra).unionByName(c.select("q", "c", "asks", "id", "vector", *extra))
+    schema = "query_id long, id long, score double" + (f", `{group}` {kinds[group]}" if group else "")
+
+    found = both.groupBy("q", "c").applyInArrow(best_rows(top, metric, group, skip_self), schema)
     ranked = W.partitionBy("query_id", *extra).orderBy(F.desc("score"), "id")
     return found.withColumn("_nth", F.row_number().over(ranked)).where(F.col("_nth") <= top).drop("_nth")
 
@@ -96,23 +102,36 @@ def query_terms(queries: DataFrame, text: Column) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.index_terms(text))).alias("term"))
 
 
+#: Distinct query terms up to which documents are cut down to them row by row; beyond it, all their terms are joined.
+ROW_WISE_TERMS = 20_000
+
+
+def term_hits(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, len, term): each occurrence of an asked term, with the document's number of index terms.
+
+    Asked terms hold no stop words, so where they are few only they leave a row; the list is checked for its size first.
+    """
+    wanted = asked.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(ROW_WISE_TERMS + 1).collect()]
+    row_wise = len(few) <= ROW_WISE_TERMS
+    chosen = (lambda t: F.filter(t, lambda w: w.isin(few))) if row_wise else (lambda t: t)
+    with_len = T.let(T.index_terms(F.col(text)), lambda t: F.transform(chosen(t), lambda w: F.struct(F.size(t).alias("len"), w.alias("term"))))
+    hits = docs.select(F.col(key).alias("id"), F.explode(with_len).alias("t")).select("id", "t.*")
+    return hits if row_wise else hits.join(wanted, "term", "left_semi")
+
+
 def keyword_overlap(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score): how many of a query's terms a document has."""
     asked = query_terms(queries, F.col("text"))
-    has = docs.select(F.col(key).alias("id"), F.explode(F.array_distinct(T.index_terms(F.col(text)))).alias("term"))
+    has = term_hits(docs, asked, key, text).select("id", "term").distinct()
     return has.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score): Okapi BM25 over all documents; statistics cover the whole table."""
-    terms = T.index_terms(F.col(text))
-    sizes = docs.select(F.size(terms).alias("len"))
-    total = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
+    total = docs.select(F.size(T.index_terms(F.col(text))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
     asked = query_terms(queries, F.col("text"))
-    wanted = asked.select("term").distinct()
-    # Each term carries its document's length: the terms are made once for a text, not once for a row of the explode.
-    with_len = T.let(terms, lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("len"))))
-    counts = docs.select(F.col(key).alias("id"), F.explode(with_len).alias("t")).select("id", "t.*").join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    counts = term_hits(docs, asked, key, text).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     freq = counts.groupBy("term").agg(F.count("*").alias("df"))
     part = counts.join(freq, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

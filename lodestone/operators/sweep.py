@@ -4,55 +4,65 @@ from __future__ import annotations
 
 import itertools
 import json
-from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators import discover, evaluate
 from lodestone.operators.frozen import frozen
 
 
-@dataclass(frozen=True)
-class DiscoveryConfig:
-    k: int = 10
-    k0: int = 50
-    m: int | None = None
-    n: int | None = None
-    cols_per_obj: int = 3
-    alpha: float = 0.65
-    parallel_alpha: float = 0.60
-    score_threshold: float = 0.5
-    mode: str = "unified"
-    search_type: str = "vector"
-    scorer: str = "RSF"
-    fusion: str = "UNION"
-    search_mode: str = "DOCUMENT"
-    aggregator: str = "MAX"
-    vector_score_weight: float = 1.0
-    text_score_weight: float = 10.0
-    vector_rank_penalty: float = 5.0
-    text_rank_penalty: float = 1.0
-
-    def checked(self) -> DiscoveryConfig:
-        if not 0 <= self.score_threshold <= 1:
-            raise ValueError("score_threshold is in [0, 1]")
-        if self.mode not in ("sequential", "parallel", "unified") or self.scorer not in ("RSF", "RRF", "WRRF"):
-            raise ValueError("unknown mode or scorer")
-        if self.k < 1 or self.cols_per_obj < 1:
-            raise ValueError("k and cols_per_obj are 1 or more")
-        return self
-
-
-def resolved(*layers: dict) -> DiscoveryConfig:
-    """Later layers win; keys with a null value change nothing."""
-    known = {f.name for f in fields(DiscoveryConfig)}
-    merged: dict = {}
+#: What holds where no layer of settings says otherwise.
+DEFAULTS = {
+    "k": 10, "k0": 50, "m": None, "n": None, "cols_per_obj": 3, "alpha": 0.65, "parallel_alpha": 0.60, "score_threshold": 0.5, "mode": "unified", "search_type": "vector", "scorer": "RSF",
+    "fusion": "UNION", "search_mode": "DOCUMENT", "aggregator": "MAX", "vector_score_weight": 1.0, "text_score_weight": 10.0, "vector_rank_penalty": 5.0, "text_rank_penalty": 1.0,
+}
+CHOICES = {"mode": ("sequential", "parallel", "unified"), "search_type": ("vector", "hybrid"), "scorer": ("RSF", "RRF", "WRRF"), "fusion": ("UNION", "INTERSECT", "RERANK")}
+
+
+def resolved(*layers: dict) -> dict:
+    """Settings of a run: later layers win over earlier ones and over DEFAULTS; keys with a null value change nothing."""
+    out = dict(DEFAULTS)
     for layer in layers:
-        if unknown := set(layer) - known:
+        if unknown := set(layer) - set(DEFAULTS):
             raise ValueError(f"unknown settings: {sorted(unknown)}")
-        merged |= {k: v for k, v in layer.items() if v is not None}
-    return replace(DiscoveryConfig(), **merged).checked()
+        out |= {k: v for k, v in layer.items() if v is not None}
+    for key, known in CHOICES.items():
+        if out[key] not in known:
+            raise ValueError(f"{key} is one of {', '.join(known)}")
+    if not 0 <= out["score_threshold"] <= 1:
+        raise ValueError("score_threshold is in [0, 1]")
+    if out["k"] < 1 or out["cols_per_obj"] < 1:
+        raise ValueError("k and cols_per_obj are 1 or more")
+    return out
+
+
+def discovered(settings: dict, hits: DataFrame, obj: str, objects: DataFrame | None = None) -> DataFrame:
+    """Ranked objects of each query by the strategy that the settings name. hits carry the object; objects: query_id, obj, score."""
+    s = settings
+    if s["mode"] == "unified":
+        return discover.unified(hits, obj, s["k"], s["m"] or 10, s["cols_per_obj"], s["score_threshold"])
+    if objects is None:
+        raise ValueError("this mode needs scored objects")
+    if s["mode"] == "parallel":
+        return discover.parallel(objects, hits, obj, s["k"], s["m"], s["cols_per_obj"], s["parallel_alpha"])
+    return discover.sequential(objects, hits, obj, s["k"], s["k0"], s["n"], s["cols_per_obj"], s["alpha"], s["score_threshold"])
+
+
+def evaluated(runs: dict[int, dict], questions: DataFrame, hits: DataFrame, obj: str, objects: DataFrame | None = None) -> DataFrame:
+    """Every run over every question in one job: run_id, mode, the question's columns and its metrics.
+
+    questions: query_id, expected (array of names). A question for which nothing is found has an empty list.
+    """
+    empty = F.array().cast("array<string>")
+    parts = []
+    for run_id, settings in sorted(runs.items()):
+        ranked = discovered(settings, hits, obj, objects).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(obj).cast("string").alias("name")))).alias("_r"))
+        rows = questions.join(ranked, "query_id", "left").withColumn("found", F.coalesce(F.transform("_r", lambda x: x["name"]), empty)).drop("_r")
+        parts.append(rows.select(F.lit(run_id).alias("run_id"), F.lit(settings["mode"]).alias("mode"), "*"))
+    return evaluate.table_metrics(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def parse_config(text: str) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import corpus, sweep
-from lodestone.operators.ranking import normalised, promote, top_n
+from lodestone.operators.ranking import promote, top_n, with_normalised
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +19,7 @@ def _table(spark, d: str, name: str) -> DataFrame:
 
 def minmax_normalise(spark, d):
     o = _table(spark, d, "orders")
-    return o.select("o_orderkey", "o_orderpriority", F.round(normalised(F.col("o_totalprice"), ["o_orderpriority"]), 6).alias("score"))
+    return with_normalised(o, "o_totalprice", ["o_orderpriority"], "score").select("o_orderkey", "o_orderpriority", F.round("score", 6).alias("score"))
 
 
 def topn_per_group(spark, d):

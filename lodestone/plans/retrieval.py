@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import discover, evaluate, search
+from lodestone.operators import ann, discover, evaluate, search, sweep
+from lodestone.operators.frozen import scratch
 from lodestone.operators.ranking import top_n
 
 #: Searches ask with every row whose id is divisible by this, against all rows.
@@ -146,6 +149,35 @@ def overall_weighted(spark, d):
     return evaluate.overall(summary_by_db(spark, d), SUMMARY_METRICS)
 
 
+RUNS = {1: sweep.resolved({"mode": "unified", "k": 5, "m": 100, "score_threshold": 0.3}), 2: sweep.resolved({"mode": "parallel", "k": 3, "m": 40})}
+RUN_METRICS = ["precision", "recall", "f1", "mrr", "hit_at_1", "hit_at_3", "recall_at_3"]
+
+
+def _runs(spark, d):
+    asked = _table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
+    questions = asked.select("query_id", F.concat(F.lit("DB"), "label").alias("db_id"), F.array(F.col("label").cast("string")).alias("expected"))
+    return sweep.evaluated(RUNS, questions, _labelled(spark, d, _hits(spark, d, 100)), "label", _objects(spark, d))
+
+
+def evaluation_run(spark, d):
+    """Questions x runs: every question's metrics under the settings of each run."""
+    return _runs(spark, d).select("run_id", "mode", F.col("query_id").alias("question_id"), *RUN_METRICS)
+
+
+def evaluation_summary(spark, d):
+    """Averages of each run."""
+    means = [F.round(F.avg(F.col(m).cast("double")), 6).alias(f"avg_{m}") for m in RUN_METRICS]
+    return _runs(spark, d).groupBy("run_id", "mode").agg(F.count("*").alias("questions"), *means)
+
+
+def ann_search(spark, d):
+    """Ten nearest vectors by the cell index, built afresh in the shared folder."""
+    corpus, queries = _vectors(spark, d)
+    path = f"{scratch(spark)}/ann-{uuid.uuid4().hex}"
+    ann.build(corpus.select("id", "vector"), path, cells=32)
+    return ann.search(queries, path, 10, probes=12)
+
+
 def _order_sets(spark, d):
     """For each order: its parts by brand as expected tables and columns; what was found are parts bought at a discount."""
     lines = _table(spark, d, "lineitem").join(_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
@@ -195,6 +227,9 @@ QUERIES = {
     "metrics_column_macro": _column_metrics(*MACRO),
     "summary_by_db": summary_by_db,
     "overall_weighted": overall_weighted,
+    "evaluation_run": evaluation_run,
+    "evaluation_summary": evaluation_summary,
+    "ann_search": ann_search,
 }
 
 # ---- the same in DuckDB SQL ----
@@ -369,3 +404,11 @@ SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_
     "summary_by_db": f"WITH {SUMMARY} SELECT * FROM sm",
     "overall_weighted": f"WITH {SUMMARY} SELECT count(*) AS databases, sum(questions)::BIGINT AS questions, sum(successful)::BIGINT AS successful, {_over} FROM sm",
 }
+_of_runs = " UNION ALL ".join(f"SELECT {i} AS run_id, '{m}' AS mode, query_id, rank, label FROM ({ORACLES[f'discover_{m}']})" for i, m in ((1, "unified"), (2, "parallel")))
+_run_rows = ", ".join(f"{METRIC_SQL[m]} AS {m}" if m.startswith("hit") else f"round({METRIC_SQL[m]}, 6)::DOUBLE AS {m}" for m in RUN_METRICS)
+_run_sql = f"""WITH r AS ({_of_runs}), fs AS (SELECT run_id, query_id, list(label::VARCHAR ORDER BY rank) AS f FROM r GROUP BY run_id, query_id),
+qs AS (SELECT m.run_id, m.mode, vec_id AS question_id, [label::VARCHAR] AS e, coalesce(fs.f, []) AS f FROM embeddings CROSS JOIN (VALUES (1, 'unified'), (2, 'parallel')) m(run_id, mode)
+  LEFT JOIN fs ON fs.run_id = m.run_id AND fs.query_id = vec_id WHERE vec_id % 20 = 0)
+SELECT run_id, mode, question_id, {_run_rows} FROM qs"""
+ORACLES["evaluation_run"] = _run_sql
+ORACLES["evaluation_summary"] = f"SELECT run_id, mode, count(*) AS questions, {', '.join(f'round(avg({m}::INT::DOUBLE), 6) AS avg_{m}' if m.startswith('hit') else f'round(avg({m}), 6) AS avg_{m}' for m in RUN_METRICS)} FROM ({_run_sql}) GROUP BY run_id, mode"

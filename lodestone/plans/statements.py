@@ -9,11 +9,12 @@ STATEMENTS = [
     (2, "SELECT count(l_orderkey) FROM lineitem WHERE l_discount > 0.05 AND l_returnflag = 'A'"),
     (3, "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey ORDER BY n.n_name"),
     (4, "SELECT `p_name` FROM part WHERE p_size BETWEEN 1 AND 5 -- sizes, from small"),
+    (6, "WITH big AS (SELECT o_custkey FROM orders WHERE o_totalprice > 1000) SELECT o_custkey FROM big"),
     (5, "SELECT s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = 'from where')"),
 ]
 LINEAGE = [
     (1, "orders", ["o_custkey", "o_orderkey"]), (1, "customer", ["c_custkey", "c_mktsegment", "c_name"]), (2, "lineitem", ["l_discount", "l_orderkey", "l_returnflag"]),
-    (3, "nation", ["n_name", "n_regionkey"]), (3, "region", ["r_name", "r_regionkey"]), (4, "part", ["p_name", "p_size"]), (5, "supplier", ["n_name", "s_nationkey"]), (5, "nation", [None]),
+    (3, "nation", ["n_name", "n_regionkey"]), (3, "region", ["r_name", "r_regionkey"]), (4, "part", ["p_name", "p_size"]), (5, "supplier", ["n_name", "s_nationkey"]), (5, "nation", [None]), (6, "orders", ["o_custkey", "o_totalprice"]),
 ]
 SQLITE = [
     (1, "SELECT IFNULL(a, 0) FROM t", "SELECT nvl(a, 0) FROM t"),
@@ -24,9 +25,12 @@ SQLITE = [
     (6, "SELECT date('now'), datetime('now'), RANDOM() FROM t", "SELECT current_date(), current_timestamp(), rand() FROM t"),
     (7, "SELECT TOTAL(a) FROM t", "SELECT coalesce(sum(a), 0D) FROM t"),
     (8, "SELECT a FROM t WHERE a GLOB 'x*.?'", "SELECT a FROM t WHERE a RLIKE '^x.*\\\\..$'"),
+    (10, "SELECT strftime('%Y-%W', d) FROM t", "SELECT concat(date_format(d, 'yyyy-'), lpad((dayofyear(d) + 6 - weekday(d)) div 7, 2, '0')) FROM t"),
+    (11, "SELECT date('now', '-1 day'), datetime(d, 'start of month', '+2 hours') FROM t", "SELECT CAST(CAST(current_timestamp() AS TIMESTAMP) + INTERVAL '-1' DAY AS DATE), CAST(CAST(date_trunc('MONTH', d) AS TIMESTAMP) + INTERVAL '2' HOUR AS TIMESTAMP) FROM t"),
+    (12, "SELECT printf('%d: %.1f', a, b) FROM t", "SELECT format_string('%d: %.1f', CAST(a AS BIGINT), b) FROM t"),
     (9, "SELECT printf('%.2f', a) FROM t OFFSET 5 LIMIT 10", "SELECT format_string('%.2f', a) FROM t LIMIT 10 OFFSET 5"),
 ]
-EXECUTED = "SELECT o_orderpriority AS priority, TOTAL(IIF(o_totalprice > 100000, 1, 0)) AS large, CAST(count(*) AS INTEGER) AS n, max(strftime('%Y', o_orderdate)) AS last_year FROM orders WHERE o_orderstatus GLOB '[FO]' GROUP BY o_orderpriority"
+EXECUTED = "SELECT o_orderpriority AS priority, TOTAL(IIF(o_totalprice > 100000, 1, 0)) AS large, CAST(count(*) AS INTEGER) AS n, max(strftime('%Y', o_orderdate)) AS last_year, max(strftime('%j week %W of %Y', o_orderdate)) AS last_day, max(printf('%d', o_totalprice / 1000)) AS thousands, max(date(o_orderdate, 'start of month', '+1 month', '-1 day')) AS last_month FROM orders WHERE o_orderstatus GLOB '[FO]' GROUP BY o_orderpriority"
 DDL = [
     "CREATE TABLE molecule (molecule_id TEXT PRIMARY KEY, label VARCHAR(20) DEFAULT 'a, (b)' NOT NULL, weight DECIMAL(8, 2), seen DATETIME DEFAULT CURRENT_TIMESTAMP)",
     "CREATE TABLE atom (atom_id INTEGER PRIMARY KEY AUTOINCREMENT, molecule_id TEXT REFERENCES molecule (molecule_id) ON DELETE CASCADE, -- which, of all\n charge REAL, flag BOOLEAN, note NVARCHAR(50), raw BLOB)",
@@ -98,7 +102,7 @@ ORACLES = {
     "lineage_tables": _values([(k, t, c) for k, t, cs in LINEAGE for c in cs], "statement, table_name, column_name"),
     "lineage_catalyst": _values([(k, t) for k, t, _ in LINEAGE], "statement, table_name"),
     "dialect_rewrite": _values([(k, r) for k, _, r in SQLITE], "statement, rewritten"),
-    "dialect_executed": "SELECT o_orderpriority AS priority, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::DOUBLE AS large, count(*) AS n, max(strftime(o_orderdate, '%Y')) AS last_year FROM orders WHERE o_orderstatus GLOB '[FO]' GROUP BY 1",
+    "dialect_executed": "SELECT o_orderpriority AS priority, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::DOUBLE AS large, count(*) AS n, max(strftime(o_orderdate, '%Y')) AS last_year, max(strftime(o_orderdate, '%j week %W of %Y')) AS last_day, max(trunc(o_totalprice / 1000)::BIGINT::VARCHAR) AS thousands, max(last_day(o_orderdate::DATE)) AS last_month FROM orders WHERE o_orderstatus GLOB '[FO]' GROUP BY 1",
     "ddl_parse": _values(COLUMNS, "table_name, pos, column_name, source_type, target_type, spark_type, is_primary, is_required, default_value"),
     "fk_numbering": _values(KEYS, "table_name, constraint_name, columns, target, target_columns, on_delete"),
     "type_map": _values(list(zip(TYPE_NAMES, TYPE_MAP, strict=True)), "source_type, target_type"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.plans.retrieval import terms_sql
+from lodestone.sources import readers
 
 
 def _table(spark, d: str, name: str) -> DataFrame:
@@ -45,9 +46,16 @@ def question_normalise(spark, d):
 
 
 def prompt_dump_tables(spark, d):
+    """Prompt dumps that offer a page's links as tables, with parts that must not count: the first message, notes, what follows the user's."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    message = lambda role, parts: F.struct(F.lit(role).alias("role"), parts.alias("content"))
+    create = lambda name: F.concat(F.lit('Offer: CREATE TABLE "SITE"."'), name, F.lit('" ("A" NUMBER)'))
     links = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
-    names = F.array_distinct(F.transform(links, lambda x: F.lower(x)))
-    return _table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.array_join(names, ",").alias("names"))
+    one = lambda kind, name: F.array(part(kind, create(F.lit(name))))
+    offered = F.transform(links, lambda x: part("TEXT", create(x)))
+    dump = F.to_json(F.array(message("SYSTEM", one("TEXT", "first")), message("system", offered), message("SYSTEM", one("NOTE", "note")), message("USER", one("TEXT", "asked")), message("SYSTEM", one("TEXT", "late"))))
+    pages = _table(spark, d, "pages").select("page_id", dump.alias("payload"))
+    return readers.prompt_dumps(pages).select("page_id", F.array_join("tables", ",").alias("names"))
 
 
 def html_text(spark, d):
@@ -93,8 +101,8 @@ ORACLES = {
     "clean_description": f"SELECT doc_id, CASE WHEN t <> '' AND lower(t) NOT IN ('<comment>', 'comment', 'null', 'none', 'n/a') THEN CASE WHEN length(t) > 3900 THEN t[1:3900] || '...' ELSE t END END AS description FROM (SELECT doc_id, {_flat.format('text')} AS t FROM documents)",
     "prompt_concat": "SELECT conv_id, trim(concat_ws(' ', arg_min(text, turn), arg_max(text, turn))) AS prompt FROM conversations GROUP BY conv_id",
     "question_normalise": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS question_id, text AS SQL FROM conversations",
-    "prompt_dump_tables": f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, list_transform(regexp_extract_all(html, 'href="/([^"]*)"', 1), lambda x: lower(x)) AS w FROM pages)
-SELECT page_id, title, array_to_string({_first.format(x='w')}, ',') AS names FROM p""",
+    "prompt_dump_tables": """WITH p AS (SELECT page_id, list_filter(regexp_extract_all(html, 'href="/([^"]*)"', 1), lambda x: x <> '') AS w FROM pages)
+SELECT page_id, array_to_string(list_filter(w, lambda v, i: list_position(list_transform(w, lambda x: lower(x)), lower(v)) = i), ',') AS names FROM p""",
     "html_text": f"SELECT page_id, {_flat.format(_html)} AS text FROM pages",
     "annotation_formatter": """SELECT event_id, CASE WHEN props IS NOT NULL THEN CASE WHEN NOT value < 60 OR value IS NULL THEN p WHEN value > 5 THEN e || ': ' || p ELSE p END END AS annotation
 FROM (SELECT *, trim(regexp_replace(props, '\\s+', ' ', 'g')) AS p, trim(regexp_replace(event_type, '\\s+', ' ', 'g')) AS e FROM events)""",

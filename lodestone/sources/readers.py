@@ -74,15 +74,21 @@ def json_rows(document: Column, path_type: str, field: str) -> Column:
     return F.from_json(document, path_type)[field]
 
 
+MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
+CREATED_NAME = r'(?i)create\s+table\s+(?:(?:"[^"]+"|[\w$]+)\.)?(?:"([^"]+)"|([\w$]+))'
+
+
 def prompt_dumps(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds `tables`: names of CREATE TABLE statements in a prompt dump's system messages after the first, up to the user's."""
-    m = F.from_json(payload, "array<struct<role:string,content:string,text:string>>")
-    rest = F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))
-    user = F.filter(F.transform(rest, lambda x, i: F.when(F.upper(x["role"]) == "USER", i)), lambda i: i.isNotNull())
-    before = F.slice(rest, 1, F.coalesce(F.array_min(user), F.size(rest)))
-    system = F.filter(before, lambda x: F.upper(x["role"]).isin("SYSTEM", "TEXT"))
-    name = r'(?i)create\s+table\s+(?:(?:"[^"]+"|[\w$]+)\.)?"?([^"\s(]+)"?'
-    names = F.filter(F.transform(system, lambda x: F.regexp_extract(F.coalesce(x["content"], x["text"], F.lit("")), name, 1)), lambda n: n != "")
-    lower = F.transform(names, lambda n: F.lower(n))
-    once = F.filter(names, lambda n, i: F.array_position(lower, F.lower(n)) == i + 1)
-    return df.withColumn("tables", F.when(F.size(m) > 0, once).otherwise(F.array().cast("array<string>")))
+    """Adds `tables`: the name in each text part that creates a table, from the system messages between the first message and the user's.
+
+    A payload is a JSON array of messages, each with a role and an array of typed parts. Names count once, whatever their case; a
+    payload that is null or no such array gives none.
+    """
+    messages = F.slice(F.from_json(payload, MESSAGES), 2, 1_000_000_000)
+    asked = F.filter(F.transform(messages, lambda m, i: F.when(F.upper(m["role"]) == "USER", i)), lambda i: i.isNotNull())
+    system = F.filter(F.slice(messages, 1, F.coalesce(F.array_min(asked), F.size(messages))), lambda m: F.upper(m["role"]) == "SYSTEM")
+    parts = F.filter(F.flatten(F.transform(system, lambda m: F.coalesce(m["content"], F.array()))), lambda p: F.upper(p["type"]) == "TEXT")
+    name = lambda p, k: F.regexp_extract(F.coalesce(p["text"], F.lit("")), CREATED_NAME, k)
+    names = F.filter(F.transform(parts, lambda p: F.concat(name(p, 1), name(p, 2))), lambda n: n != "")
+    once = F.filter(names, lambda n, i: F.array_position(F.transform(names, lambda x: F.lower(x)), F.lower(n)) == i + 1)
+    return df.withColumn("tables", F.coalesce(once, F.array().cast("array<string>")))

@@ -2,11 +2,13 @@
 
 import random
 
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import corpus, ddl, dialect, discover, evaluate, lineage, search, sweep
+from lodestone.operators import ann, corpus, ddl, dialect, discover, evaluate, lineage, search, sweep
 from lodestone.operators.ranking import normalised, top_n
 
 ARRAYS = "expected array<string>, found array<string>"
@@ -140,8 +142,45 @@ def test_lineage_modes(spark):
     assert lineage.columns_of(sql) == {"x": ["a", "b c", "id", "kind"], "y": ["id"]}
     tables, columns = lineage.catalyst_relations(spark, sql)
     assert tables == ["x", "y"] and "T1.a" in columns
-    dump = '[{"role":"SYSTEM","content":"x"},{"role":"SYSTEM","content":"CREATE TABLE \\"S\\".\\"Ab\\" (x)"},{"role":"TEXT","content":"create table ab"},{"role":"USER","content":"create table no"}]'
-    assert lineage.prompt_tables(dump) == ["Ab"]
+    nested = "WITH x AS (SELECT a FROM t), `y` (b) AS (SELECT a FROM x) SELECT b FROM y"
+    assert lineage.tables_of(nested)[0] == ["t"] and lineage.catalyst_relations(spark, nested)[0] == ["t"]
+
+
+def test_dates_and_formats_run(spark):
+    said = "SELECT strftime('%W', DATE'2023-01-01'), strftime('%Y-%W', DATE'2023-01-02'), strftime('%j|%H', TIMESTAMP'2024-12-31 05:06:07'), strftime('day %d', DATE'2024-02-03'), printf('%d', 1.5), CAST(date('2024-03-01', '-1 day') AS STRING), strftime('%s', TIMESTAMP'1970-01-02 00:00:00')"
+    assert tuple(spark.sql(dialect.to_spark(said)).first()) == ("00", "2023-01", "366|05", "day 03", "1", "2024-02-29", "86400")
+
+
+def test_column_metrics_with_repeated_and_missing_tables(spark):
+    kind = "array<struct<table:string,columns:array<string>>>"
+    rows = [(1, [("A", ["X", "Y"]), ("B", ["Z"])], [("A", ["X", "W"])]), (2, [("A", ["x"]), ("a", ["y"])], [("a", ["Y"]), ("A", ["x"])]), (3, None, [("a", ["b"])]), (4, [("a", [])], None)]
+    got = {r.question_id: r for r in evaluate.column_metrics(spark.createDataFrame(rows, f"question_id int, expected {kind}, found {kind}")).collect()}
+    assert (got[1].joint_precision, got[1].joint_recall, got[1].column_recall) == (0.5, 0.333333, 0.25)
+    assert (got[2].joint_precision, got[2].joint_recall, got[2].column_precision, got[2].column_top_n_accuracy) == (0.5, 0.5, 1.0, 1.0)
+    assert {got[i][c] for i in (3, 4) for c in got[i].asDict() if c != "question_id"} == {0.0}
+
+
+def test_cell_index(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.6, (150, 8)) for c in rng.normal(0, 1, (12, 8))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "id long, vector array<double>")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    ann.build(rows.where("id < 1500"), str(tmp_path / "i"), cells=12)
+    ann.refresh(rows.where("id >= 1500"), str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i/rows")).count() == len(x)
+    exact = search.vector_search(asked, rows, 10)
+    share = lambda probes: ann.recall(ann.search(asked, str(tmp_path / "i"), 10, probes), exact).first().recall
+    assert share(12) == 1 and share(4) >= 0.9
+    ann.drop(spark, str(tmp_path / "i"))
+    assert not (tmp_path / "i").exists()
+
+
+def test_keyword_paths_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "big red house and big garden"), (2, "red 12 of the"), (3, None), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "the big red thing"), (8, "of the"), (9, None)], "query_id long, text string")
+    both = [sorted(map(tuple, f(asked, docs).collect())) for f in (search.keyword_overlap, search.bm25)]
+    monkeypatch.setattr(search, "ROW_WISE_TERMS", 0)
+    assert both == [sorted(map(tuple, f(asked, docs).collect())) for f in (search.keyword_overlap, search.bm25)] and len(both[0]) == 2
 
 
 def test_ddl_strings_and_comments():
@@ -155,7 +194,7 @@ def test_sweeps():
     assert len(sweep.expand({"modes": ["unified", "parallel"], "search_types": ["vector"]})) == 2
     with pytest.raises(ValueError, match="sweeps"):
         sweep.expand({"modes": ["sequential"]})
-    assert sweep.resolved({"k": 5}, {"k": None, "alpha": 0.1}).k == 5
+    assert sweep.resolved({"k": 5}, {"k": None, "alpha": 0.1})["k"] == 5
     with pytest.raises(ValueError, match="score_threshold"):
         sweep.resolved({"score_threshold": 60})
     assert sweep.parse_config('# c\n{"modes": ["unified"]}') == {"modes": ["unified"]}

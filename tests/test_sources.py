@@ -36,9 +36,15 @@ def test_scripts(spark, tmp_path):
 
 
 def test_prompt_dumps(spark):
-    dump = json.dumps([{"role": "SYSTEM", "content": "create table zero"}, {"role": "SYSTEM", "content": 'CREATE TABLE "S"."Ab" (x)'}, {"role": "text", "content": "create table ab ("}, {"role": "USER", "content": "create table no"}])
-    rows = readers.prompt_dumps(spark.createDataFrame([(dump,), (None,)], "payload string")).collect()
-    assert [r.tables for r in rows] == [["Ab"], []]
+    text = lambda *t: [{"type": "text", "text": x} for x in t]
+    dump = [
+        {"role": "SYSTEM", "content": text("create table zero")},
+        {"role": "SYSTEM", "content": text('x CREATE TABLE "S"."Alpha" (x) create table no', "create  table s.beta (", "nothing", 'CREATE TABLE "s"."ALPHA"')},
+        {"role": "ASSISTANT", "content": text("create table no")}, {"role": "SYSTEM", "content": None}, {"role": "SYSTEM", "content": [{"type": "image", "text": "create table no"}]},
+        {"role": "USER", "content": text("create table no")}, {"role": "SYSTEM", "content": text("create table late")},
+    ]
+    rows = readers.prompt_dumps(spark.createDataFrame([(json.dumps(dump),), (None,), ("[]",), ("no json",)], "payload string")).collect()
+    assert [r.tables for r in rows] == [["Alpha", "beta"], [], [], []]
 
 
 def test_lineage_by_model(spark):
