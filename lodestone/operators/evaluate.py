@@ -25,12 +25,6 @@ def table_metrics(df: DataFrame, expected: str = "expected", found: str = "found
     return named.select(*df.columns, *[c.alias(n) for n, c in rounded.items()])
 
 
-def _mean(values: Column) -> Column:
-    """Mean of an array; 0 where it is empty."""
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return M.ratio(total, F.size(values))
-
-
 def column_metrics(df: DataFrame, key: str = "question_id", expected: str = "expected", found: str = "found", k: int = 10) -> DataFrame:
     """Joint (micro), macro and top-N column metrics. expected, found: arrays of struct<table: string, columns: array<string>>.
 
@@ -49,11 +43,22 @@ def column_metrics(df: DataFrame, key: str = "question_id", expected: str = "exp
     rows = rows.select(key, "_last", count(lambda x: M.hits(x["e"], x["f"])).alias("_h"), size("e").alias("_e"), size("f").alias("_f"))
     p, r = M.ratio(F.col("_h"), F.col("_f")), M.ratio(F.col("_h"), F.col("_e"))
     out = {"joint_precision": p, "joint_recall": r, "joint_f1": M.f1_of(p, r)}
-    asked = F.filter("_last", lambda x: F.size(x["e"]) > 0)
-    out["column_top_n_accuracy"] = _mean(F.transform(asked, lambda x: M.top_n_accuracy(x["e"], x["f"])))
-    for name, n in [("", None), *((f"_at_{n}", n) for n in KS), ("_at_k", k)]:
-        side = lambda at: _mean(F.transform("_last", lambda x: M.precision_recall_f1(x["e"], M.at(x["f"], n) if n else x["f"])[at]))  # noqa: E731, B023
-        p, r = side(0), side(1)
+    # All values of a table in one array, summed place by place: one pass over the lists.
+    names = ["", *(f"_at_{n}" for n in KS), "_at_k"]
+
+    def measured(x: Column) -> Column:
+        cuts = [x["f"], *(M.at(x["f"], n) for n in (*KS, k))]
+        pairs = [M.precision_recall_f1(x["e"], f)[:2] for f in cuts]
+        some = F.size(x["e"]) > 0
+        return F.array(*[v for pair in pairs for v in pair], F.when(some, M.top_n_accuracy(x["e"], x["f"])).otherwise(0.0), some.cast("double"))
+
+    zero = F.array(*[F.lit(0.0)] * (2 * len(names) + 2))
+    sums = F.aggregate("_last", zero, lambda a, x: F.zip_with(a, measured(x), lambda u, v: u + v))
+    rows = rows.select(key, *[c.alias(n) for n, c in out.items()], sums.alias("_sums"), F.size("_last").alias("_n"))
+    at = lambda i: F.get("_sums", F.lit(i))
+    out = {n: F.col(n) for n in out} | {"column_top_n_accuracy": M.ratio(at(2 * len(names)), at(2 * len(names) + 1))}
+    for i, name in enumerate(names):
+        p, r = M.ratio(at(2 * i), F.col("_n")), M.ratio(at(2 * i + 1), F.col("_n"))
         out |= {f"column_precision{name}": p, f"column_recall{name}": r, f"column_f1{name}": M.f1_of(p, r)}
     return rows.select(key, *[F.round(c, 6).alias(n) for n, c in out.items()])
 

@@ -106,27 +106,31 @@ def query_terms(queries: DataFrame, text: Column) -> DataFrame:
 ROW_WISE_TERMS = 20_000
 
 
-def term_hits(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, len, term): each occurrence of an asked term, with the document's number of index terms.
-
-    Asked terms hold no stop words, so where they are few only they leave a row; the list is checked for its size first.
-    """
-    wanted = asked.select("term").distinct()
-    few = [r["term"] for r in wanted.limit(ROW_WISE_TERMS + 1).collect()]
-    row_wise = len(few) <= ROW_WISE_TERMS
-    chosen = (lambda t: F.filter(t, lambda w: w.isin(few))) if row_wise else (lambda t: t)
-    with_len = T.let(T.index_terms(F.col(text)), lambda t: F.transform(chosen(t), lambda w: F.struct(F.size(t).alias("len"), w.alias("term"))))
-    hits = docs.select(F.col(key).alias("id"), F.explode(with_len).alias("t")).select("id", "t.*")
-    return hits if row_wise else hits.join(wanted, "term", "left_semi")
+def few_terms(asked: DataFrame) -> list[str] | None:
+    """The distinct asked terms, if they are few enough to stand in an expression."""
+    terms = [r["term"] for r in asked.select("term").distinct().limit(ROW_WISE_TERMS + 1).collect()]
+    return terms if len(terms) <= ROW_WISE_TERMS else None
 
 
 def keyword_overlap(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score): how many of a query's terms a document has."""
     asked = query_terms(queries, F.col("text"))
-    has = term_hits(docs, asked, key, text).select("id", "term").distinct()
+    few = few_terms(asked)
+    # Asked terms hold no stop words and no numbers, so a document's words need no other test.
+    terms = T.index_terms(F.col(text)) if few is None else F.filter(F.split(F.lower(F.col(text)), T.LEXER), lambda w: w.isin(few))
+    has = docs.select(F.col(key).alias("id"), F.explode(F.array_distinct(terms)).alias("term"))
     return has.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
 
 
+def term_hits(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, len, term): each occurrence of an asked term, with the document's number of index terms."""
+    few = few_terms(asked)
+    chosen = (lambda t: t) if few is None else (lambda t: F.filter(t, lambda w: w.isin(few)))
+    with_len = T.let(T.index_terms(F.col(text)), lambda t: F.transform(chosen(t), lambda w: F.struct(F.size(t).alias("len"), w.alias("term"))))
+    hits = docs.select(F.col(key).alias("id"), F.explode(with_len).alias("t")).select("id", "t.*")
+    return hits if few is not None else hits.join(asked.select("term").distinct(), "term", "left_semi")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score): Okapi BM25 over all documents; statistics cover the whole table."""
     total = docs.select(F.size(T.index_terms(F.col(text))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
