@@ -46,7 +46,7 @@ PART_ROWS = 800_000
 #: Tokens that a task gathers before it counts and emits them.
 GATHERED = 2_500_000
 #: Bytes of text that are scored at once.
-SCORED_BYTES = 2 << 20
+SCORED_BYTES = 4 << 20
 MEMO_WORDS = 250_000
 M1, M2, S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 U32 = np.uint64(32)
@@ -122,30 +122,55 @@ def before(x: np.ndarray, lengths: np.ndarray, m: int, start: int, pad: int) ->
     return out
 
 
-def tokens():
-    """texts -> (hashes of all their tokens one after another, number of tokens of each)."""
-    import xxhash
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct numbers, a place of each, for each place the number's index)."""
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return ranked[starts], order[starts], at
+
+
+class Lexicon:
+    """Numbers for the words met lately, and the hash of each; `forget` starts anew where they have become many."""
+
+    def __init__(self):
+        import xxhash
+
+        self.digest = xxhash.xxh3_64_intdigest
+        self.clear()
 
-    class Memo(dict):
-        def __missing__(self, word: bytes) -> int:
-            h = self[word] = xxhash.xxh3_64_intdigest(word)
-            return h
+    def clear(self) -> None:
+        digest, fresh = self.digest, []
 
-    memo, end = Memo(), xxhash.xxh3_64_intdigest(END)
+        class Numbers(dict):
+            def __missing__(self, word: bytes) -> int:
+                n = self[word] = len(self)
+                fresh.append(digest(word))
+                return n
 
-    def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        found = []
+        self.numbers, self.fresh, self.hashes = Numbers(), fresh, np.empty(0, np.uint64)
+
+    def full(self) -> bool:
+        return len(self.numbers) > MEMO_WORDS
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all tokens of the texts one after another, number of tokens of each)."""
+        get, found = self.numbers.__getitem__, []
+        end = get(END)
         for t in texts:
             words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            own = np.empty(len(words) + 1, np.uint64)
-            own[:-1] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            own = np.empty(len(words) + 1, np.int64)
+            own[:-1] = np.fromiter(map(get, words), np.int64, len(words))
             own[-1] = end
             found.append(own)
-        return np.concatenate(found) if found else np.empty(0, np.uint64), np.array(list(map(len, found)), np.int64)
-
-    return hashes
+        if self.fresh:
+            self.hashes = np.concatenate([self.hashes, np.array(self.fresh, np.uint64)])
+            self.fresh.clear()
+        return np.concatenate(found) if found else np.empty(0, np.int64), np.array(list(map(len, found)), np.int64)
 
 
 END = b"\n"  # white space is in no word
@@ -221,7 +246,7 @@ def _sorted(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[n
     """Distinct keys in order and their summed values."""
     if not len(columns[0]):
         return columns, values
-    order = np.argsort(columns[0], kind="stable") if len(columns) == 1 else np.lexsort(columns[::-1])
+    order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -253,7 +278,7 @@ def store_table(folder: str, part: int, h: np.ndarray, values: list[np.ndarray])
     rare = np.flatnonzero(kind >= 255)
     starts = np.searchsorted(h >> np.uint64(64 - DIRECTORY), np.arange((1 << DIRECTORY) + 2, dtype=np.uint64)).astype(np.uint32)
     head = np.array([len(h), len(values), kinds.shape[1], len(rare)], np.uint64)
-    write_array(folder, str(part), head, kinds, rare.astype(np.uint64), kind[rare].astype(np.uint64), starts, (h >> np.uint64(8)).astype(np.uint32), (h >> np.uint64(40)).astype(np.uint8), np.minimum(kind, 255).astype(np.uint8))
+    write_array(folder, str(part), head, kinds, rare.astype(np.uint64), kind[rare].astype(np.uint64), starts, (h >> np.uint64(16)).astype(np.uint32), (h >> np.uint64(8)).astype(np.uint8), np.minimum(kind, 255).astype(np.uint8))
 
 
 class StoredPart:
@@ -274,28 +299,29 @@ class StoredPart:
         self.kinds = next_(np.uint64, columns * kinds).reshape(columns, kinds)
         self.rare, self.rare_kind = next_(np.uint64, rare), next_(np.uint64, rare)
         self.starts = next_(np.uint32, (1 << DIRECTORY) + 2)
-        self.low, self.high, self.code = next_(np.uint32, n), next_(np.uint8, n), next_(np.uint8, n)
+        self.middle, self.last, self.code = next_(np.uint32, n), next_(np.uint8, n), next_(np.uint8, n)
 
     def search(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there) of each hash."""
+        """(place, whether it is there) of each hash: by its first bits a bucket, in it by the next 32, of which 8 more must agree."""
         bucket = (h >> np.uint64(64 - DIRECTORY)).astype(np.int64)
-        low, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
-        last = end.copy()
-        want = (h >> np.uint64(8)) & np.uint64((1 << 40) - 1)
+        at, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
         if not self.n:
-            return low, np.zeros(len(h), bool)
-
-        def key(at):
-            return self.high[at].astype(np.uint64) << U32 | self.low[at]
-
-        for _ in range(int((end - low).max(initial=0)).bit_length()):
-            middle = np.minimum((low + end) >> 1, self.n - 1)
-            open_ = low < end
-            less = open_ & (key(middle) < want)
-            end = np.where(open_ & ~less, middle, end)
-            low = np.where(less, middle + 1, low)
-        at = np.minimum(low, self.n - 1)
-        return at, (low < last) & (key(at) == want)
+            return at, np.zeros(len(h), bool)
+        want, last = (h >> np.uint64(16)).astype(np.uint32), (h >> np.uint64(8)).astype(np.uint8)
+        step = 1 << int((end - at).max(initial=0)).bit_length()
+        while step := step >> 1:
+            on = at + step
+            at = np.where((on <= end) & (self.middle[np.minimum(on, self.n) - 1] < want), on, at)
+        there = np.zeros(len(h), bool)
+        for _ in range(3):  # neighbours with the same 32 bits are next to unknown
+            here = np.minimum(at, self.n - 1)
+            same = (at < end) & (self.middle[here] == want)
+            there = same & (self.last[here] == last)
+            on = same & ~there
+            if not on.any():
+                break
+            at = np.where(on, at + 1, at)
+        return np.minimum(at, self.n - 1), there
 
     def values(self, at: np.ndarray) -> np.ndarray:
         """Columns x places."""
@@ -351,7 +377,7 @@ class Words(Table):
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each hash."""
-        own, at = np.unique(h, return_inverse=True)
+        own, _, at = distinct(h)
         place, count = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
         for p, some in self.groups(part_of(own, len(self.rows))):
             found, there = self.part(p).search(own[some])
@@ -361,7 +387,7 @@ class Words(Table):
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of ids; of the start and the padding, the number of texts."""
-        own, at = np.unique(ids, return_inverse=True)
+        own, _, at = distinct(ids)
         count = np.full(len(own), self.n_texts, np.int64)
         known = own < self.first[-1]
         for p, some in self.groups(np.searchsorted(self.first, own[known], side="right") - 1):
@@ -403,30 +429,22 @@ class KneserNey:
         salt = np.where(salts > 0, mixed(w[-1].astype(np.uint64)) % (salts + np.uint64(1)), np.uint64(0))
         return part_of(mixed(hashed(self.packing.pack(w[:-1])) ^ mixed(salt)), self.parts[len(w)])
 
-    def count(self, w: list[np.ndarray], often: np.ndarray) -> np.ndarray:
-        """Values of n-grams in their table: columns x n-grams."""
-        h = hashed(self.packing.pack(w))
-        own, first, at = np.unique(h, return_index=True, return_inverse=True)
-        return self.grams[len(w)].find(own, self.part([x[first] for x in w], often[first]))[:, at]
-
-    def context(self, w: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
-        """Statistics of contexts of two words or more: 4 x contexts."""
-        h = hashed(self.packing.pack(w))
-        own, first, at = np.unique(h, return_index=True, return_inverse=True)
-        w, counts = [x[first] for x in w], [x[first] for x in counts]
-        often = np.minimum.reduce(counts)
-        whole = often < self.salted
-        out = np.zeros((len(STATISTICS), len(own)), np.int64)
+    def found(self, w: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For n-grams w, whose words' counts are given: (distinct one of each, counts of the distinct ones, their statistics as contexts)."""
         k = len(w)
-        out[:, whole] = self.contexts[k].find(own[whole], part_of(mixed(own[whole]), self.parts[k + 1]))
-        rest = np.flatnonzero(~whole)
-        if len(rest):
-            out[:, rest] = self.grams[k].find(own[rest], self.part([x[rest] for x in w], np.minimum.reduce([c[rest] for c in counts[:-1]])))[1:]
-        return out[:, at]
+        own, first, at = distinct(hashed(self.packing.pack(w)))
+        counts = [c[first] for c in counts]
+        values = self.grams[k].find(own, self.part([x[first] for x in w], np.minimum.reduce(counts[:-1])))
+        if k == self.order:
+            return at, values[0], values[1:]
+        # Salted contexts have their statistics beside the counts, others with the longer n-grams.
+        whole = np.flatnonzero((np.minimum.reduce(counts) < self.salted) & (values[0] > 0))
+        values[1:, whole] = self.contexts[k].find(own[whole], part_of(mixed(own[whole]), self.parts[k + 1]))
+        return at, values[0], values[1:]
 
     def dense(self, ids: np.ndarray) -> np.ndarray:
         """(total, once, twice, more, before) of ids: 5 x ids."""
-        own, at = np.unique(ids, return_inverse=True)
+        own, _, at = distinct(ids)
         out = np.zeros((len(STATISTICS) + 1, len(own)), np.int64)
         edges = np.searchsorted(own, np.arange(0, self.n_words + 1 + self.id_rows, self.id_rows))
         for p in np.flatnonzero(np.diff(edges)):
@@ -462,28 +480,81 @@ def taken_off(n: np.ndarray, d: np.ndarray) -> np.ndarray:
 # ---- training ----
 
 
-def gathered(batches: Iterator[pa.RecordBatch], arrays_for: Callable, parts_for: Callable) -> Iterator[pa.RecordBatch]:
+def counted_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of hashes and counts, whenever the words at hand have become many."""
+    lexicon, n = Lexicon(), np.zeros(0, np.int64)
+
+    def emit():
+        some = np.flatnonzero(n)
+        order = some[np.argsort(lexicon.hashes[some])]
+        return dealt([lexicon.hashes[order], n[order].astype(np.uint64)], part_of(lexicon.hashes[order], parts))
+
+    for batch in common.slices(batches, "text"):
+        own, _ = lexicon.read(batch.column("text").to_pylist())
+        more = np.bincount(own, minlength=len(lexicon.hashes))
+        more[: len(n)] += n
+        n = more
+        if lexicon.full():
+            yield emit()
+            lexicon.clear()
+            n = np.zeros(0, np.int64)
+    if n.any():
+        yield emit()
+    common.trim()
+
+
+class Reader:
+    """Ids, counts and, if asked for, unigram statistics of texts' tokens; looks up words that are new to it only."""
+
+    def __init__(self, words: Words, dense: Callable | None = None):
+        self.words, self.of, self.lexicon = words, dense, Lexicon()
+        self.reset()
+
+    def reset(self) -> None:
+        self.lexicon.clear()
+        self.ids, self.counts, self.statistics = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((len(STATISTICS) + 1, 0), np.int64)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+        """(ids, counts, statistics, lengths)."""
+        if self.lexicon.full():
+            self.reset()
+        own, lengths = self.lexicon.read(texts)
+        new = self.lexicon.hashes[len(self.ids) :]
+        if len(new):
+            ids, counts = self.words.ids(new)
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            if self.of:
+                statistics = np.zeros((len(STATISTICS) + 1, len(new)), np.int64)
+                statistics[:, ids >= 0] = self.of(ids[ids >= 0])
+                self.statistics = np.concatenate([self.statistics, statistics], axis=1)
+        return self.ids[own], self.counts[own], self.statistics[:, own] if self.of else None, lengths
+
+
+def gathered(batches: Iterator[pa.RecordBatch], words: Words, arrays_for: Callable, parts_for: Callable) -> Iterator[pa.RecordBatch]:
     """Blocks of the distinct keys and counts of every GATHERED tokens.
 
-    arrays_for(hashes, lengths): packed keys of tokens, and one more array that is the same for equal keys; parts_for(keys, that array).
+    arrays_for(ids, counts, lengths): packed keys of tokens, and one more array that is the same for equal keys; parts_for(keys, that array).
     """
-    hashes, held, size = tokens(), [], 0
+    reader, held, size = Reader(words), [], 0
 
     def emit():
         *columns, extra = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns:
+            ranked = c[order]
+            new[1:] |= ranked[1:] != ranked[:-1]
         starts = np.flatnonzero(new)
         first, n = order[starts], np.diff(np.append(starts, len(order)))
         columns = [c[first] for c in columns]
         return dealt([*columns, n.astype(np.uint64)], parts_for(columns, extra[first]))
 
     for batch in common.slices(batches, "text"):
-        h, lengths = hashes(batch.column("text").to_pylist())
-        held.append(arrays_for(h, lengths))
-        size += len(h)
+        ids, counts, _, lengths = reader.read(batch.column("text").to_pylist())
+        held.append(arrays_for(ids, counts, lengths))
+        size += len(ids)
         if size >= GATHERED:
             yield emit()
             size = 0
@@ -522,7 +593,7 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
         ends = int(n[h == np.uint64(xxhash.xxh3_64_intdigest(END))].sum())
         return pa.Table.from_batches([_head(part, [len(h), int(n.sum()), ends])])
 
-    counted = texts.mapInArrow(lambda b: gathered(b, lambda h, _: [h, np.zeros(len(h), np.uint8)], lambda keys, _: part_of(keys[0], parts)), BLOCKS)
+    counted = texts.mapInArrow(lambda b: counted_words(b, parts), BLOCKS)
     with common.cleaned(spark):
         stored = _heads(counted.groupBy("part").applyInArrow(store_words, BLOCKS))
     words = Words(f"{folder}/words", [stored[p][0] if p in stored else 0 for p in range(parts)], n_texts=sum(x[2] for x in stored.values()))
@@ -532,8 +603,7 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     id_rows = -(-(packing.n_words + 1) // parts_of[2])
     model = KneserNey(order, words, packing, parts_of, max(1, PART_ROWS // 8), id_rows, n_tokens, folder)
 
-    def keys_of(h: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        ids, count = words.ids(h)
+    def keys_of(ids: np.ndarray, count: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         texts_ = words.n_texts
         often = np.minimum.reduce([before(count, lengths, m, texts_, texts_) for m in range(1, order)])
         return [*packing.pack([*(before(ids, lengths, m, packing.start, packing.pad) for m in range(order - 1, 0, -1)), ids]), (often // model.salted).astype(np.uint32)]
@@ -586,7 +656,7 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
 
         return store
 
-    rows, last = texts.mapInArrow(lambda b: gathered(b, keys_of, parts_for), BLOCKS), []
+    rows, last = texts.mapInArrow(lambda b: gathered(b, words, keys_of, parts_for), BLOCKS), []
     for k in range(order, 1, -1):
         reported = common.staged(rows.groupBy("part").applyInArrow(store_grams(k), BLOCKS), f"kneser-ney-{k - 1}", done=last)
         heads = _heads(reported)
@@ -620,28 +690,35 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
 # ---- scoring ----
 
 
-def log_probabilities(model: KneserNey, h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: log10 probability by the model, by the base formula, and the training count."""
-    ids, count = model.words.ids(h)
+def log_probabilities(model: KneserNey, ids: np.ndarray, count: np.ndarray, statistics: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token: log10 probability by the model and by the base formula. statistics: of each token as a unigram."""
     base = np.log10((count + 1.0) / (model.n_tokens + 1.0 * (model.n_words + 1)))
     known = ids >= 0
     # Unigrams: discounted numbers of words before and a share of the uniform distribution over all words and the unknown one.
     p = np.full(len(ids), model.left_over / (model.n_words + 1))
-    if model.n_pairs:
-        p[known] += taken_off(model.dense(ids[known])[-1], model.discounts[1]) / model.n_pairs
+    if not model.n_pairs:
+        return np.log10(p), base
+    p[known] += taken_off(statistics[-1][known], model.discounts[1]) / model.n_pairs
     start, pad, texts = model.packing.start, model.packing.pad, model.words.n_texts
-    for k in range(2, model.order + 1 if model.n_pairs else 2):
+    first = np.cumsum(lengths) - lengths
+    # The context of a token of a text's beginning is the start, of others the n-gram that ends one token before.
+    place = np.append(0, np.where(known, np.arange(len(ids)) + 1, -1)[:-1])
+    place[first] = 0
+    contexts = np.concatenate([model.dense(np.array([start]))[:4], statistics[:4]], axis=1)
+    for k in range(2, model.order + 1):
         w = [before(ids, lengths, m, start, pad) for m in range(k - 1, 0, -1)]
-        whole = np.flatnonzero((w[0] != pad) & np.all([x >= 0 for x in w], axis=0))
-        w = [x[whole] for x in w]
-        counts = [before(count, lengths, m, texts, texts)[whole] for m in range(k - 1, 0, -1)]
-        d = model.discounts[k]
-        statistics = model.dense(w[0]) if k == 2 else model.context(w, counts)
-        p[whole] *= share(statistics, d)
-        pick = np.flatnonzero(known[whole] & (statistics[0] > 0))
-        n = model.count([*(x[pick] for x in w), ids[whole[pick]]], np.minimum.reduce([c[pick] for c in counts]))[0]
-        p[whole[pick]] += taken_off(n, d) / statistics[0][pick]
-    return np.log10(p), base, count
+        own = np.flatnonzero((place >= 0) & (w[0] != pad))
+        seen = contexts[:, place[own]]
+        p[own] *= share(seen, model.discounts[k])
+        good = known[own] & (seen[0] > 0)
+        pick, total = own[good], seen[0][good]
+        counts = [*(before(count, lengths, m, texts, texts)[pick] for m in range(k - 1, 0, -1)), count[pick]]
+        at, n, contexts = model.found([*(x[pick] for x in w), ids[pick]], counts)
+        p[pick] += taken_off(n[at], model.discounts[k]) / total
+        ends = np.full(len(ids), -1)
+        ends[pick] = np.where(n[at] > 0, at, -1)
+        place = np.append(-1, ends[:-1])
+    return np.log10(p), base
 
 
 def score(df: DataFrame, model: KneserNey, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -650,11 +727,11 @@ def score(df: DataFrame, model: KneserNey, text: str = "text", keep: tuple[str,
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long, n_known long, base_score double, score double, perplexity double"
 
     def make():
-        hashes = tokens()
+        reader = Reader(model.words, model.dense if model.n_pairs else None)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            h, lengths = hashes(batch.column(text).to_pylist())
-            p, base, count = log_probabilities(model, h, lengths)
+            ids, count, statistics, lengths = reader.read(batch.column(text).to_pylist())
+            p, base = log_probabilities(model, ids, count, statistics, lengths)
             first = np.cumsum(lengths) - lengths
             total = np.add.reduceat(p, first)
             columns = [lengths, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), total, 10 ** np.minimum(300, -total / lengths)]
