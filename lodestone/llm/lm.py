@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: N-grams that one part may gather on average.
-PART_ROWS = 800_000
+PART_ROWS = 1_600_000
 #: Tokens that a task gathers before it counts and emits them.
 GATHERED = 2_500_000
 #: Bytes of text that are scored at once.
-SCORED_BYTES = 4 << 20
-MEMO_WORDS = 250_000
+SCORED_BYTES = 8 << 20
+MEMO_WORDS = 400_000
 M1, M2, S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 U32 = np.uint64(32)
 
@@ -323,13 +323,13 @@ class StoredPart:
             at = np.where(on, at + 1, at)
         return np.minimum(at, self.n - 1), there
 
-    def values(self, at: np.ndarray) -> np.ndarray:
+    def values(self, at: np.ndarray, columns: slice = slice(None)) -> np.ndarray:
         """Columns x places."""
         kind = self.code[at].astype(np.int64)
         many = np.flatnonzero(kind == 255)
         if len(many):
             kind[many] = self.rare_kind[np.searchsorted(self.rare, at[many].astype(np.uint64))]
-        return self.kinds[:, kind]
+        return self.kinds[columns, kind]
 
 
 @dataclass
@@ -357,12 +357,12 @@ class Table:
             if self.rows[p]:
                 yield p, order[a:b]
 
-    def find(self, h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, part: np.ndarray, columns: slice = slice(None)) -> np.ndarray:
         """Columns x hashes: the values, 0 where a hash is not there."""
-        out = np.zeros((self.columns, len(h)), np.int64)
+        out = np.zeros((len(range(self.columns)[columns]), len(h)), np.int64)
         for p, own in self.groups(part):
             at, there = self.part(p).search(h[own])
-            out[:, own[there]] = self.part(p).values(at[there])
+            out[:, own[there]] = self.part(p).values(at[there], columns)
         return out
 
 
@@ -429,18 +429,26 @@ class KneserNey:
         salt = np.where(salts > 0, mixed(w[-1].astype(np.uint64)) % (salts + np.uint64(1)), np.uint64(0))
         return part_of(mixed(hashed(self.packing.pack(w[:-1])) ^ mixed(salt)), self.parts[len(w)])
 
-    def found(self, w: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For n-grams w, whose words' counts are given: (distinct one of each, counts of the distinct ones, their statistics as contexts)."""
+    def found(self, w: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """For n-grams w, whose words' counts are given: (distinct one of each, counts of the distinct ones, their weights as contexts)."""
         k = len(w)
         own, first, at = distinct(hashed(self.packing.pack(w)))
         counts = [c[first] for c in counts]
-        values = self.grams[k].find(own, self.part([x[first] for x in w], np.minimum.reduce(counts[:-1])))
+        part = self.part([x[first] for x in w], np.minimum.reduce(counts[:-1]))
+        n = self.grams[k].find(own, part, slice(0, 1))[0]
         if k == self.order:
-            return at, values[0], values[1:]
+            return at, n, None
         # Salted contexts have their statistics beside the counts, others with the longer n-grams.
-        whole = np.flatnonzero((np.minimum.reduce(counts) < self.salted) & (values[0] > 0))
-        values[1:, whole] = self.contexts[k].find(own[whole], part_of(mixed(own[whole]), self.parts[k + 1]))
-        return at, values[0], values[1:]
+        statistics, often = np.zeros((len(STATISTICS), len(own)), np.int64), np.minimum.reduce(counts)
+        whole, salted = np.flatnonzero((n > 0) & (often < self.salted)), np.flatnonzero((n > 0) & (often >= self.salted))
+        statistics[:, whole] = self.contexts[k].find(own[whole], part_of(mixed(own[whole]), self.parts[k + 1]))
+        statistics[:, salted] = self.grams[k].find(own[salted], part[salted], slice(1, None))
+        return at, n, weights(statistics, self.discounts[k + 1])
+
+    def unigrams(self, ids: np.ndarray) -> np.ndarray:
+        """(total, share) of ids as contexts and how much of their own probability is seen: 3 x ids."""
+        statistics = self.dense(ids)
+        return np.concatenate([weights(statistics, self.discounts[2]), taken_off(statistics[4], self.discounts[1])[None] / self.n_pairs])
 
     def dense(self, ids: np.ndarray) -> np.ndarray:
         """(total, once, twice, more, before) of ids: 5 x ids."""
@@ -473,6 +481,11 @@ def share(statistics: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
+def weights(statistics: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """(total, share) of contexts."""
+    return np.stack([statistics[0].astype(np.float64), share(statistics, d)])
+
+
 def taken_off(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.maximum(n - d[np.minimum(n, 3)], 0)
 
@@ -504,7 +517,7 @@ def counted_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
 
 
 class Reader:
-    """Ids, counts and, if asked for, unigram statistics of texts' tokens; looks up words that are new to it only."""
+    """Ids, counts and, if asked for, unigram weights of texts' tokens; looks up words that are new to it only."""
 
     def __init__(self, words: Words, dense: Callable | None = None):
         self.words, self.of, self.lexicon = words, dense, Lexicon()
@@ -512,7 +525,7 @@ class Reader:
 
     def reset(self) -> None:
         self.lexicon.clear()
-        self.ids, self.counts, self.statistics = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((len(STATISTICS) + 1, 0), np.int64)
+        self.ids, self.counts, self.statistics = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((3, 0))
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
         """(ids, counts, statistics, lengths)."""
@@ -524,7 +537,7 @@ class Reader:
             ids, counts = self.words.ids(new)
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
             if self.of:
-                statistics = np.zeros((len(STATISTICS) + 1, len(new)), np.int64)
+                statistics = np.zeros((3, len(new)))
                 statistics[:, ids >= 0] = self.of(ids[ids >= 0])
                 self.statistics = np.concatenate([self.statistics, statistics], axis=1)
         return self.ids[own], self.counts[own], self.statistics[:, own] if self.of else None, lengths
@@ -691,27 +704,27 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
 
 
 def log_probabilities(model: KneserNey, ids: np.ndarray, count: np.ndarray, statistics: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: log10 probability by the model and by the base formula. statistics: of each token as a unigram."""
+    """For each token: log10 probability by the model and by the base formula. statistics: unigrams() of each token."""
     base = np.log10((count + 1.0) / (model.n_tokens + 1.0 * (model.n_words + 1)))
     known = ids >= 0
     # Unigrams: discounted numbers of words before and a share of the uniform distribution over all words and the unknown one.
     p = np.full(len(ids), model.left_over / (model.n_words + 1))
     if not model.n_pairs:
         return np.log10(p), base
-    p[known] += taken_off(statistics[-1][known], model.discounts[1]) / model.n_pairs
+    p += statistics[2]
     start, pad, texts = model.packing.start, model.packing.pad, model.words.n_texts
     first = np.cumsum(lengths) - lengths
     # The context of a token of a text's beginning is the start, of others the n-gram that ends one token before.
     place = np.append(0, np.where(known, np.arange(len(ids)) + 1, -1)[:-1])
     place[first] = 0
-    contexts = np.concatenate([model.dense(np.array([start]))[:4], statistics[:4]], axis=1)
+    contexts = np.concatenate([model.unigrams(np.array([start]))[:2], statistics[:2]], axis=1)
     for k in range(2, model.order + 1):
         w = [before(ids, lengths, m, start, pad) for m in range(k - 1, 0, -1)]
         own = np.flatnonzero((place >= 0) & (w[0] != pad))
-        seen = contexts[:, place[own]]
-        p[own] *= share(seen, model.discounts[k])
-        good = known[own] & (seen[0] > 0)
-        pick, total = own[good], seen[0][good]
+        total = contexts[0][place[own]]
+        p[own] *= contexts[1][place[own]]
+        good = known[own] & (total > 0)
+        pick, total = own[good], total[good]
         counts = [*(before(count, lengths, m, texts, texts)[pick] for m in range(k - 1, 0, -1)), count[pick]]
         at, n, contexts = model.found([*(x[pick] for x in w), ids[pick]], counts)
         p[pick] += taken_off(n[at], model.discounts[k]) / total
@@ -727,7 +740,7 @@ def score(df: DataFrame, model: KneserNey, text: str = "text", keep: tuple[str,
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long, n_known long, base_score double, score double, perplexity double"
 
     def make():
-        reader = Reader(model.words, model.dense if model.n_pairs else None)
+        reader = Reader(model.words, model.unigrams if model.n_pairs else None)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, count, statistics, lengths = reader.read(batch.column(text).to_pylist())
