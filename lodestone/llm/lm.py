@@ -47,9 +47,15 @@ PART_ROWS = 1_600_000
 GATHERED = 2_500_000
 #: Bytes of text that are scored at once.
 SCORED_BYTES = 8 << 20
-MEMO_WORDS = 400_000
+#: Distinct words that a task holds before it emits their counts.
+HELD_WORDS = 1_000_000
 M1, M2, S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 U32 = np.uint64(32)
+#: Words of up to so many bytes are hashed together.
+WHOLE_BYTES = 32
+SEED = np.uint64(0x9E3779B97F4A7C15)
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+WHITE = np.isin(np.arange(256), [*range(9, 14), 32])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +65,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S)
 
 
+#: The end of a text, as a word without bytes.
+END = mixed(np.array([SEED]))[0]
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Which of equal ranges of 64-bit numbers each one is in."""
     return (((h >> U32) * np.uint64(parts)) >> U32).astype(np.int32)
@@ -134,46 +143,37 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[starts], order[starts], at
 
 
-class Lexicon:
-    """Numbers for the words met lately, and the hash of each; `forget` starts anew where they have become many."""
-
-    def __init__(self):
-        import xxhash
-
-        self.digest = xxhash.xxh3_64_intdigest
-        self.clear()
-
-    def clear(self) -> None:
-        digest, fresh = self.digest, []
-
-        class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
-                n = self[word] = len(self)
-                fresh.append(digest(word))
-                return n
-
-        self.numbers, self.fresh, self.hashes = Numbers(), fresh, np.empty(0, np.uint64)
-
-    def full(self) -> bool:
-        return len(self.numbers) > MEMO_WORDS
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all tokens of the texts one after another, number of tokens of each)."""
-        get, found = self.numbers.__getitem__, []
-        end = get(END)
-        for t in texts:
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            own = np.empty(len(words) + 1, np.int64)
-            own[:-1] = np.fromiter(map(get, words), np.int64, len(words))
-            own[-1] = end
-            found.append(own)
-        if self.fresh:
-            self.hashes = np.concatenate([self.hashes, np.array(self.fresh, np.uint64)])
-            self.fresh.clear()
-        return np.concatenate(found) if found else np.empty(0, np.int64), np.array(list(map(len, found)), np.int64)
-
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens of the texts one after another, number of tokens of each).
 
-END = b"\n"  # white space is in no word
+    Words are hashed together, eight bytes of each at a time; those of more than WHOLE_BYTES one by one.
+    """
+    import xxhash
+
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if not encoded:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    raw = b"\n".join([*encoded, bytes(8)]).lower()
+    stops = np.cumsum([len(e) + 1 for e in encoded]) - 1
+    inside = np.zeros(stops[-1] + 2, np.int8)
+    inside[1:] = ~WHITE[np.frombuffer(raw, np.uint8, stops[-1] + 1)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = mixed(sizes.astype(np.uint64) + SEED)
+    at = np.flatnonzero(sizes <= WHOLE_BYTES)
+    for done in range(0, WHOLE_BYTES, 8):
+        at = at[sizes[at] > done] if done else at
+        h[at] = mixed(h[at] ^ (eights[starts[at] + done] & LOW_BYTES[np.minimum(sizes[at] - done, 8)]))
+    for i in np.flatnonzero(sizes > WHOLE_BYTES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    words = np.searchsorted(starts, stops)
+    ends = words + np.arange(len(stops))
+    out = np.empty(len(h) + len(stops), np.uint64)
+    is_word = np.ones(len(out), bool)
+    is_word[ends] = False
+    out[ends], out[is_word] = END, h
+    return out, np.diff(ends, prepend=-1)
 
 
 def _filesystem(path: str):
@@ -495,52 +495,36 @@ def taken_off(n: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def counted_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Blocks of hashes and counts, whenever the words at hand have become many."""
-    lexicon, n = Lexicon(), np.zeros(0, np.int64)
-
-    def emit():
-        some = np.flatnonzero(n)
-        order = some[np.argsort(lexicon.hashes[some])]
-        return dealt([lexicon.hashes[order], n[order].astype(np.uint64)], part_of(lexicon.hashes[order], parts))
-
+    none = np.empty(0, np.uint64)
+    h = n = none
     for batch in common.slices(batches, "text"):
-        own, _ = lexicon.read(batch.column("text").to_pylist())
-        more = np.bincount(own, minlength=len(lexicon.hashes))
-        more[: len(n)] += n
-        n = more
-        if lexicon.full():
-            yield emit()
-            lexicon.clear()
-            n = np.zeros(0, np.int64)
-    if n.any():
-        yield emit()
+        own, often = np.unique(tokens(batch.column("text").to_pylist())[0], return_counts=True)
+        (h,), (n,) = _sorted([np.concatenate([h, own])], [np.concatenate([n, often.astype(np.uint64)])])
+        if len(h) > HELD_WORDS:
+            yield dealt([h, n], part_of(h, parts))
+            h = n = none
+    if len(h):
+        yield dealt([h, n], part_of(h, parts))
     common.trim()
 
 
 class Reader:
-    """Ids, counts and, if asked for, unigram weights of texts' tokens; looks up words that are new to it only."""
+    """Ids, counts and, if asked for, unigram weights of texts' tokens; each slice's distinct words are looked up once."""
 
     def __init__(self, words: Words, dense: Callable | None = None):
-        self.words, self.of, self.lexicon = words, dense, Lexicon()
-        self.reset()
-
-    def reset(self) -> None:
-        self.lexicon.clear()
-        self.ids, self.counts, self.statistics = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((3, 0))
+        self.words, self.of = words, dense
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
         """(ids, counts, statistics, lengths)."""
-        if self.lexicon.full():
-            self.reset()
-        own, lengths = self.lexicon.read(texts)
-        new = self.lexicon.hashes[len(self.ids) :]
-        if len(new):
-            ids, counts = self.words.ids(new)
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-            if self.of:
-                statistics = np.zeros((3, len(new)))
-                statistics[:, ids >= 0] = self.of(ids[ids >= 0])
-                self.statistics = np.concatenate([self.statistics, statistics], axis=1)
-        return self.ids[own], self.counts[own], self.statistics[:, own] if self.of else None, lengths
+        h, lengths = tokens(texts)
+        own, _, at = distinct(h)
+        ids, counts = self.words.ids(own)
+        statistics = None
+        if self.of:
+            statistics = np.zeros((3, len(own)))
+            statistics[:, ids >= 0] = self.of(ids[ids >= 0])
+            statistics = statistics[:, at]
+        return ids[at], counts[at], statistics, lengths
 
 
 def gathered(batches: Iterator[pa.RecordBatch], words: Words, arrays_for: Callable, parts_for: Callable) -> Iterator[pa.RecordBatch]:
@@ -597,13 +581,11 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     parts = max(1, texts.rdd.getNumPartitions())
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
-        import xxhash
-
         part = key[0].as_py()
         found = arrays_of(table, 2)
         (h,), (n,) = _sorted(found[:1], found[1:])
         store_table(f"{folder}/words", part, h, [n])
-        ends = int(n[h == np.uint64(xxhash.xxh3_64_intdigest(END))].sum())
+        ends = int(n[h == END].sum())
         return pa.Table.from_batches([_head(part, [len(h), int(n.sum()), ends])])
 
     counted = texts.mapInArrow(lambda b: counted_words(b, parts), BLOCKS)

@@ -1,6 +1,8 @@
 """Operator 3 with orders of three and more against a model counted by hand."""
 
 import math
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -58,3 +60,16 @@ def test_no_training_texts(spark):
     assert [r.score for r in rows] == [0.0] and not lm.score(none, model).count()
     with pytest.raises(ValueError, match="two"):
         lm.train(none, order=1)
+
+
+def test_tokens_against_splitting():
+    rng = random.Random(1)
+    marks = ["a", "B", "Z", "é", "中", "\x00", "\x1c", "\x85", " ", " ", " ", "\n", "\t", "\r", "\x0b", "\x0c"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 90))) for _ in range(1000)] + [None, "", " ", "abcdefgh", "abcdefghi", "abcdefgh i"]
+    texts += ["x" * n + end for n in (31, 32, 33, 34, 500) for end in ("", " ", "é")]
+    hashes, lengths = lm.tokens(texts)
+    words = [w for t in texts for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]]
+    assert [len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) + 1 for t in texts] == lengths.tolist()
+    assert len(words) == len(hashes)
+    assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist(), strict=True)))
+    assert len(lm.tokens([])[0]) == 0
