@@ -48,6 +48,19 @@ def keyword_query(c: Column) -> Column:
     return let(F.array_join(F.transform(kept, lambda w: F.upper(w)), " OR "), lambda x: F.when(x != "", x))
 
 
+#: Words that hold one of these are dropped by the token-wise keyword builder.
+KEYWORD_TABOO = ["tr", "pt", "within", "pattern"]
+
+
+def keyword_query_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
+    """keyword_query over word tokens: only tokens of letters count, without stop words and words that hold an operator's name."""
+    stop = stopwords if stopwords is not None else QUESTION_STOPWORDS
+    bare = F.regexp_replace(F.lower(c), r"n't\b|'(s|re|ve|ll|d|m)\b", " ")
+    words = F.split(bare, r"[^\p{L}\p{N}_'-]+")
+    kept = F.filter(words, lambda w: w.rlike(r"^\p{L}+$") & ~w.isin(stop) & ~w.rlike("|".join(KEYWORD_TABOO)))
+    return let(F.array_join(F.transform(F.array_distinct(kept), lambda w: F.upper(w)), " OR "), lambda x: F.when(x != "", x))
+
+
 def chunks(words: Column, size: int = 100, overlap: int = 10) -> Column:
     """Windows of words; each starts `size - overlap` words after the one before it."""
     step = size - overlap

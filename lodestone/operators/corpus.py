@@ -22,8 +22,8 @@ def catalog_columns(spark: SparkSession, tables: dict[str, DataFrame], owner: st
 
 def catalog_tables(spark: SparkSession, hidden: tuple[str, ...] = ("all_%_search_text", "dm$%", "bin$%")) -> DataFrame:
     """Tables and views of the session's catalog, without the engine's own."""
-    rows = [(t.name, t.tableType) for t in spark.catalog.listTables()]
-    found = spark.createDataFrame(rows, "object_name string, object_type string")
+    rows = [(t.name, t.tableType, t.description) for t in spark.catalog.listTables()]
+    found = spark.createDataFrame(rows, "object_name string, object_type string, comment_text string")
     for pattern in hidden:
         found = found.where(~F.lower("object_name").like(pattern))
     return found
@@ -60,3 +60,27 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def annotated(df: DataFrame, pairs: str, raw: str, out: str = "annotation") -> DataFrame:
     return df.withColumn(out, T.annotation_text(F.col(pairs), F.col(raw)))
+
+
+def unified_corpus(columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """One row a column with nine fields: its own comment and annotation and those of its table, and the text that is searched.
+
+    tables: object_name, comment_text, annotation, one row each; a table without a row has nulls.
+    """
+    if tables is None:
+        found = columns.withColumns({"table_comment": F.lit(None).cast("string"), "table_annotation": F.lit(None).cast("string")})
+    else:
+        found = columns.join(tables.select("object_name", F.col("comment_text").alias("table_comment"), F.col("annotation").alias("table_annotation")), "object_name", "left")
+    fields = {"owner": "owner", "table_name": "object_name", "column_name": "column_name", "object_type": "object_type", "data_type": "data_type", "column_comment": "comment_text", "column_annotation": "annotation"}
+    rows = found.where("column_name IS NOT NULL").select(*[F.col(c).alias(n) for n, c in fields.items()], "table_comment", "table_annotation")
+    return rows.withColumn("search_text", F.concat_ws(" ", *rows.columns))
+
+
+def single_schema(df: DataFrame, db: str, name: str, out: str = "table_name", most: int = 100) -> DataFrame:
+    """Tables of many databases in one schema: adds the name with its database before it, cut as identifiers are."""
+    return df.withColumn(out, F.upper(T.short_identifier(F.concat_ws("_", db, name), most)))
+
+
+def own_name(table: Column, db: Column) -> Column:
+    """The name without its database; other names stay."""
+    return F.when(F.startswith(F.upper(table), F.concat(F.upper(db), F.lit("_"))), F.substring(table, F.length(db) + 2, F.length(table))).otherwise(table)

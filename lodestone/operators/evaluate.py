@@ -75,3 +75,38 @@ def overall(summaries: DataFrame, metrics: list[str]) -> DataFrame:
     w = F.col("successful")
     means = [F.round(F.sum(F.col(f"avg_{m}") * w) / F.nullif(F.sum(F.when(F.col(f"avg_{m}").isNotNull(), w)), F.lit(0)), 6).alias(f"overall_{m}") for m in metrics]
     return summaries.agg(F.count("*").alias("databases"), F.sum("questions").alias("questions"), F.sum(w).alias("successful"), *means)
+
+
+def question_stats(df: DataFrame, tables: str = "tables") -> DataFrame:
+    """One row: questions, tables and columns that they refer to, and both for each question. tables: array of struct<name, columns>."""
+    t = F.coalesce(F.col(tables), F.array())
+    n = df.select(F.size(t).alias("t"), F.aggregate(t, F.lit(0), lambda a, x: a + F.coalesce(F.size(F.coalesce(x["columns"], F.array())), F.lit(0))).alias("c"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    mean = lambda c: F.round(F.sum(c) / F.nullif(F.count("*"), F.lit(0)), 2)
+    return n.agg(F.count("*").alias("questions"), total("t").alias("tables"), total("c").alias("columns"), mean("t").alias("tables_each"), mean("c").alias("columns_each"))
+
+
+def result_json(expected: Column, found: Column) -> tuple[Column, Column]:
+    """JSON of the expected tables (array of struct<table, columns>) and of the found ones (struct<table, score, columns>), scores with four decimals."""
+    want = F.transform(expected, lambda x: F.struct(x["table"].alias("table"), x["columns"].alias("columns")))
+    have = F.transform(found, lambda x: F.struct(x["table"].alias("table"), F.round(x["score"].cast("double"), 4).alias("score"), x["columns"].alias("columns")))
+    return F.to_json(want), F.to_json(have)
+
+
+#: The cuts of a retrieval report.
+REPORT_KS = (3, 5, 10)
+
+
+def retrieval_metrics(df: DataFrame, expected: str = "expected", found: str = "found") -> DataFrame:
+    """Adds precision, recall and F1 at 3, 5 and 10 (p_at_3 and so on) of a row's list of names."""
+    e, f = M.folded(F.col(expected)), M.folded(F.col(found))
+    named = df.withColumn("_e", e).withColumn("_f", f)
+    cols = [F.round(c, 6).alias(f"{m}_at_{k}") for k in REPORT_KS for m, c in zip(("p", "r", "f1"), M.precision_recall_f1(F.col("_e"), M.at(F.col("_f"), k)), strict=True)]
+    return named.select(*df.columns, *cols)
+
+
+def retrieval_averages(results: DataFrame, error: str = "error") -> DataFrame:
+    """One row: questions, failures, and the means of retrieval_metrics over the questions without an error (0 where there is none)."""
+    good = F.col(error).isNull()
+    means = [F.round(F.coalesce(F.avg(F.when(good, F.col(c))), F.lit(0.0)), 6).alias(c) for k in REPORT_KS for c in (f"p_at_{k}", f"r_at_{k}", f"f1_at_{k}")]
+    return results.agg(F.count("*").alias("questions"), F.coalesce(F.sum((~good).cast("long")), F.lit(0)).alias("failures"), *means)

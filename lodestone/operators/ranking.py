@@ -26,6 +26,11 @@ def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def threshold_or_default(c: Column, default: float = 0.5) -> Column:
+    """A threshold given with a row: cut to [0, 1], the default where none is given."""
+    return clamp01(F.coalesce(c.cast("double"), F.lit(default)))
+
+
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group in a total order, with their rank from 1."""
     if n < 1:
@@ -42,3 +47,23 @@ def checked_threshold(theta: float) -> float:
 def promote(objects: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only the columns have reached."""
     return columns.select(*keys).distinct().join(objects.select(*keys), keys, "left_anti")
+
+
+#: What test mode keeps, databases and questions of each.
+TEST_DATABASES, TEST_QUESTIONS = 2, 5
+
+
+def capped(df: DataFrame, db: str, order: list[Column], databases: int | None = None, questions: int | None = None, test: bool = False) -> DataFrame:
+    """The first `questions` rows of each of the first `databases` databases by name; None keeps all. Test mode fills in small caps.
+
+    The chosen names are as many rows as the cap allows, so their join may be broadcast.
+    """
+    if test:
+        databases, questions = TEST_DATABASES if databases is None else databases, TEST_QUESTIONS if questions is None else questions
+    if min(x for x in (databases, questions, 0) if x is not None) < 0:
+        raise ValueError("caps must not be negative")
+    if databases is not None:
+        df = df.join(df.select(db).distinct().orderBy(db).limit(databases), db, "left_semi")
+    if questions == 0:
+        return df.limit(0)
+    return df if questions is None else top_n(df, [db], order, questions, "_nth").drop("_nth")

@@ -172,3 +172,23 @@ def chunk_scores(chunks: DataFrame, key: str, score: str, aggregator: str = "MAX
     """A document's score from those of its chunks."""
     agg = {"MAX": F.max, "AVG": F.avg}[aggregator]
     return chunks.groupBy(key).agg(F.round(agg(score), 6).alias("score"))
+
+
+def within_fields(queries: DataFrame, docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(query_id, id, score): how many of a query's terms a document has in the field that the query names.
+
+    queries: query_id, field, text. Fields stay columns; only terms that some query asks for are joined.
+    """
+    asked = queries.select("query_id", "field", F.explode(F.array_distinct(T.index_terms(F.col("text")))).alias("term"))
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(T.index_terms(F.col(f))).alias("terms")) for f in fields])
+    terms = docs.select(F.col(key).alias("id"), F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.terms").alias("term"))
+    return terms.join(asked, ["field", "term"]).groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+
+
+def text_asked(queries: DataFrame, contains: str = "text_contains", send_contains: bool = False) -> DataFrame:
+    """The queries (query_id, text) of a hybrid search's keyword side.
+
+    A query without `contains` searches by vector alone. Its presence switches the text search on, which looks for the
+    query's own text; with send_contains, for what it holds.
+    """
+    return queries.where(F.col(contains).isNotNull()).select("query_id", F.col(contains if send_contains else "text").alias("text"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import relational, retrieval, statements, texts
+from lodestone.plans import relational, reports, retrieval, statements, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval, relational, texts, statements):
+for _module in (retrieval, relational, texts, statements, reports):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

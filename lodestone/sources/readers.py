@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import sqlite3
 
@@ -23,17 +25,25 @@ def questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return named.withColumn("question_id", F.coalesce("question_id", place.cast("long")))
 
 
-def descriptions(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Description CSVs: table (from the file's name), column, description, value_description; rows without a name go."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("escape", '"').csv(path)
-    has = lambda c: F.trim(F.col(c)) if c in raw.columns else F.lit(None).cast("string")
-    bare = lambda c: F.regexp_replace(c, "^﻿", "")
-    first = raw.columns[0] if raw.columns else ""
-    renamed = raw.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else raw
-    raw = renamed
-    name = F.coalesce(F.nullif(has("original_column_name"), F.lit("")), F.nullif(has("column_name"), F.lit("")))
-    table = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    return raw.select(table.alias("table_name"), bare(name).alias("column_name"), has("column_description").alias("description"), has("value_description").alias("value_description")).where("column_name IS NOT NULL")
+def description_rows(text: str) -> list[tuple]:
+    """(column, description, value_description) of one file's text; rows without a name go."""
+    clean = lambda row, c: (row.get(c) or "").strip() or None
+    csv.field_size_limit(1 << 31)  # cells may be of any length
+    rows = csv.DictReader(io.StringIO(text, newline=""))
+    return [(name, clean(r, "column_description"), clean(r, "value_description")) for r in rows if (name := clean(r, "original_column_name") or clean(r, "column_name"))]
+
+
+def descriptions(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Description CSVs: table (from the file's name), column, description, value_description; rows without a name go.
+
+    Without an encoding each file is UTF-8 if it is valid as such, with or without a mark at its start, and Latin-1 otherwise.
+    """
+    raw = F.col("content").cast("string")
+    text = F.decode("content", encoding) if encoding else F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
+    table = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
+    parse = F.udf(description_rows, "array<struct<column_name:string,description:string,value_description:string>>")  # a whole file is one row: no hot path
+    files = spark.read.format("binaryFile").load(path).select(table.alias("table_name"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
+    return files.select("table_name", F.inline(parse("text")))
 
 
 def sqlite_schema(spark: SparkSession, path: str) -> DataFrame:

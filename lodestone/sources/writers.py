@@ -5,9 +5,11 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import evaluate, sweep
+
 #: Text of a question in a report, and expected columns listed there.
 QUESTION_CHARS, LISTED_COLUMNS = 200, 10
 
@@ -66,3 +68,41 @@ def dashboard(summary: DataFrame, overall: dict, title: str, key: str = "db_id",
         raise ValueError("a dashboard is for summaries: too many rows")
     safe = lambda x: json.dumps(x, default=str).replace("<", "\\u003c")
     return PAGE.format(title=html.escape(title), rows=safe(rows), overall=safe(overall), grade=safe(grade_by), key=safe(key))
+
+
+def escaped(c: Column) -> Column:
+    """Text that is safe in a page."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def retrieval_rows(results: DataFrame) -> Column:
+    """A table row for each question: names, lists, the values at 3, 5 and 10, the error."""
+    shown = []
+    for name, kind in results.dtypes:
+        c = F.format_string("%.4f", F.col(name)) if kind == "double" else F.array_join(name, ", ") if kind.startswith("array") else F.col(name).cast("string")
+        shown.append(F.concat(F.lit("<td>"), F.coalesce(escaped(c), F.lit("")), F.lit("</td>")))
+    return F.concat(F.lit("<tr>"), *shown, F.lit("</tr>"))
+
+
+def write_retrieval_pages(results: DataFrame, path: str, title: str, order: str = "question_id", size: int = 50) -> None:
+    """Pages of a retrieval run: path/batches/batch=N has one page for each block of questions, path/full one with the averages.
+
+    results: retrieval_metrics with question_id, error and whatever else is shown. Rows become HTML in Spark; no task holds
+    more than a block, and the page with the averages has a link to each block instead of its rows.
+    """
+    head = lambda t: f'<!doctype html><meta charset="utf-8"><title>{html.escape(t)}</title><h1>{html.escape(t)}</h1>'
+    names = "".join(f"<th>{html.escape(c)}</th>" for c in results.columns)
+    row = retrieval_rows(results)
+    blocks = sweep.batches(results.select(order, row.alias("_row")), order, size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(order, "_row"))).alias("_rows"))
+    table = F.array_join(F.transform("_rows", lambda r: r["_row"]), "\n")
+    page = F.concat(F.lit(head(title)), F.lit(f"<table><tr>{names}</tr>\n"), table, F.lit("</table>"))
+    blocks.select("batch", page.alias("value")).write.mode("overwrite").partitionBy("batch").text(f"{path}/batches")
+    mean = evaluate.retrieval_averages(results).first()
+    cells = "".join(f"<tr><td>{m}</td>" + "".join(f"<td>{mean[f'{c}_at_{k}']:.4f}</td>" for k in evaluate.REPORT_KS) + "</tr>" for m, c in (("precision", "p"), ("recall", "r"), ("F1", "f1")))
+    count = -(-mean["questions"] // size)
+    top = head(title) + f"<p>{mean['questions']} questions, {mean['failures']} failed</p><table><tr><th></th>" + "".join(f"<th>@{k}</th>" for k in evaluate.REPORT_KS) + f"</tr>{cells}</table>"
+    spark = results.sparkSession
+    links = spark.range(count).select(F.concat(F.lit('<p><a href="../batches/batch='), F.col("id"), F.lit('">questions of block '), F.col("id"), F.lit("</a></p>")).alias("value"))
+    spark.createDataFrame([(top,)], "value string").union(links).coalesce(1).write.mode("overwrite").text(f"{path}/full")
