@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, langid, licenses, lm, media, neardup, packing, quality, warc
+from . import bpe, hilbert, langid, licenses, lm, media, neardup, packing, quality, structure, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -14,9 +14,11 @@ QUERIES = {
     "op6_language_crf": langid.op6_language_crf,
     "op7_media": media.op7_media,
     "op9_line_quality": quality.op9_line_quality,
+    "op13_structure_repair": structure.op13_structure_repair,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": warc.oracle(),
     "op4_license_scan": licenses.oracle(),
+    "op13_structure_repair": structure.oracle(),
 }
