@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of input that one slice of an Arrow batch may hold (one longer row makes a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -164,3 +165,19 @@ def trim() -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Keys with more than this part of the rows are spread; so there are this many of them at most, which bounds their broadcast.
+HOT_PARTS, SALTS = 1024, 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, by: str, how: str = "inner") -> DataFrame:
+    """Join a table to one with a row for each key, whose column `rows` says how many rows of the first have it.
+
+    Keys with more than total / HOT_PARTS rows (HOT_PARTS keys at most) are dealt out over SALTS tasks by the column `by`.
+    """
+    hot = F.col(rows) > F.lit(total) / HOT_PARTS
+    marks = one.where(hot & F.col(key).isNotNull()).select(key, F.lit(SALTS).alias("_salts"))
+    salted = many.join(F.broadcast(marks), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))))
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(hot, SALTS - 1).otherwise(0).cast("long"))))
+    return salted.drop("_salts").join(copies.drop(rows), [key, "_salt"], how).drop("_salt")
