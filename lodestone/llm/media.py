@@ -27,6 +27,8 @@ from . import common
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNK = 1 << 20
+#: Rows that are filtered and deflated at once; a long payload takes no more room beside its own bytes.
+BLOCK_ROWS = 1 << 14
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
@@ -49,16 +51,21 @@ def write_png(payload: bytes, row: int = ROW, level: int = 6) -> bytes:
     if not payload or len(payload) % row:
         raise PngError("payload is no positive multiple of the row")
     x = np.frombuffer(payload, np.uint8).reshape(-1, row)
-    left, up = x.copy(), x.copy()
-    left[:, 1:] -= x[:, :-1]
-    up[1:] -= x[:-1]
-    tries = (x, left, up)
-    cost = [np.abs(t.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for t in tries]
-    kind = np.argmin(cost, axis=0)
-    rows = np.empty((len(x), row + 1), np.uint8)
-    rows[:, 0] = kind
-    rows[:, 1:] = np.choose(kind[:, None], tries)
-    body = zlib.compress(rows.tobytes(), level)
+    deflate, packed = zlib.compressobj(level), []
+    for a in range(0, len(x), BLOCK_ROWS):
+        own = x[a : a + BLOCK_ROWS]
+        left, up = own.copy(), own.copy()
+        left[:, 1:] -= own[:, :-1]
+        up[1:] -= own[:-1]
+        if a:
+            up[0] -= x[a - 1]
+        tries = (own, left, up)
+        kind = np.argmin([np.abs(t.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for t in tries], axis=0)
+        rows = np.empty((len(own), row + 1), np.uint8)
+        rows[:, 0] = kind
+        rows[:, 1:] = np.choose(kind[:, None], tries)
+        packed.append(deflate.compress(rows.tobytes()))
+    body = b"".join([*packed, deflate.flush()])
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", row, len(x), 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", body[i : i + CHUNK]) for i in range(0, len(body), CHUNK)]
     return b"".join([*parts, _chunk(b"IEND", b"")])
@@ -224,30 +231,38 @@ def load(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",
     return common.map_slices(df.select(*keep, media), make, schema, media)
 
 
-def digests(df: DataFrame, text: str = "text") -> DataFrame:
-    """store() and load() in one pass, reduced to the digests of both, so that no image crosses to the JVM."""
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(stored: DataFrame) -> DataFrame:
+    """load() of a stored table (doc_id, n_bytes, media), reduced to digests of both forms, so that no payload crosses to the JVM.
+
+    Rows whose bytes are no sound PNG have null in place of the payload's digests and the feature.
+    """
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
 
     def make():
         sha = hashlib.sha256
 
-        def one(t):
-            raw = (t or "").encode()
-            media = write_png(padded(raw))
-            image = read_png(media)
+        def one(media):
+            try:
+                image = read_png(media)
+            except PngError:
+                return None, None, None, len(media), sha(media).hexdigest(), None
             back = image.tobytes()
-            return len(raw), len(back), sha(back).hexdigest(), zlib.crc32(back[-16:]), len(media), sha(media).hexdigest(), cosine_hash(image)
+            return len(back), sha(back).hexdigest(), zlib.crc32(back[-16:]), len(media), sha(media).hexdigest(), cosine_hash(image)
 
         def work(batch):
-            columns = list(zip(*map(one, batch.column(text).to_pylist()), strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+            columns = list(zip(*map(one, batch.column("media").to_pylist()), strict=True))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
         return work
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return common.map_slices(df.select(F.col("doc_id").cast("long").alias("doc_id"), text), make, schema, text)
+    return common.map_slices(stored.select("doc_id", "n_bytes", "media"), make, DIGESTS, "media")
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    return digests(common.documents(spark, sf_dir))
+    """The media column is written to the shared folder as a table, then read back."""
+    docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return digests(common.staged(store(docs), "media"))

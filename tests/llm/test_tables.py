@@ -93,7 +93,9 @@ def test_media(odd, none):
     assert Counter(bytes(r.payload) for r in back) == Counter(media.padded((t or "").encode()) for _, t in TEXTS)
     broken = odd.select("doc_id", F.encode("text", "UTF-8").alias("media"))
     assert {r.payload for r in media.load(broken).collect()} == {None}
-    assert not media.digests(none).count()
+    assert not media.digests(media.store(none)).count()
+    torn = media.digests(broken.selectExpr("cast(doc_id AS long) AS doc_id", "0L AS n_bytes", "coalesce(media, X'00') AS media")).collect()
+    assert {(r.payload_sha256, r.feature) for r in torn} == {(None, None)}
 
 
 def test_sharding(odd, none):
