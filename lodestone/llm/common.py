@@ -163,6 +163,14 @@ def trim() -> None:
         pass  # another C library: nothing to give back by hand
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name with as many underscores before it as make it different from the taken ones (names differ by more than case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

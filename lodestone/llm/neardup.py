@@ -17,11 +17,13 @@
 No pair that shares a prefix value is skipped other than within one component, so links between components are all found;
 a similar pair escapes only if its sketches overlap far less than the sets do. Values of the union's sketch are shared with
 a chance of the pair's similarity at least, so at any threshold the prefix loses a pair with a chance of at most MISS; the
-margin of the estimate loses one at the threshold with a chance of 3.0e-5 at 0.85 and 1.4e-5 at 0.8.
+margin of the estimate loses one at the threshold with a chance of 3.0e-5 at 0.85 and 1.4e-5 at 0.8. Blocks with many open
+pairs test the overlaps of all wide sketches at once before that; this rests on WIDE values with the same margin and loses a
+pair at the threshold with a chance of 1e-5 at most. Wide sketches only ever stand in for narrow ones in lists where many pairs are left.
 
 Edge cases: null and word-less texts have no shingles, are linked with nothing and kept; fewer words than a shingle make
-one shingle of the whole sequence; rows with the same id are one document; rows with a null id are linked with nothing,
-have a null component and are not kept; an empty table gives an empty table; clashing column names are not looked at.
+one shingle of the whole sequence; rows with the same id are one document, so that what any of its texts is linked with is linked
+with all of them; rows with a null id are linked with nothing, have a null component and are not kept; an empty table gives an empty table; clashing column names are not looked at.
 """
 
 from __future__ import annotations
@@ -417,10 +419,14 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     wide = common.staged(sets.join(own.select("id", "n"), "id").join(order, "id"), "wide", done=(sets, ids))
     pairs = common.staged(pairs.union(in_blocks(long.join(wide, "id"), threshold)).distinct(), "estimated", done=(wide, open_lists))
     second = confirmed(pairs, texts, "text", words, percent)
-    final = components(first.union(second))
+    # An id with different texts links their classes: the id itself is a node beside their representatives.
+    mixed = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("set").alias("_a"), F.max("set").alias("_b")).where("_a <> _b").select("id")
+    own_classes = linked.join(mixed, "id", "left_semi").select("id", "set").distinct().join(classes, "set").where("id <> rep")
+    final = components(first.union(second).union(own_classes.select(F.least("id", "rep"), F.greatest("id", "rep"))))
     common.drop(pairs, own, prefix, first, second)
-    named = rows.join(classes, "set", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    smallest = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
+    node = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep"))
+    named = rows.join(classes, "set", "left").withColumn("node", node).join(final, "node", "left")
+    smallest = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node"))
     return named.select("id", F.col("n").alias("n_shingles"), smallest.cast("long").alias("component_id"))
 
 
@@ -440,16 +446,18 @@ def rarest(listed: DataFrame, threshold: float) -> DataFrame:
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of the frame whose id is the smallest of their group, one row of each such id, and rows with a null id.
 
-    Of rows with the same id, the one with the smallest hash of its text stays. Rows are only told apart by what they hold, never
-    by places or partitions, which may differ when a lost executor's part is read again.
+    Of rows with the same id, the one with the smallest hash of its text stays, among those the first by all columns. Rows are
+    only told apart by what they hold, never by places or partitions, which may differ when a lost executor's part is read again.
     """
-    id_ = "_lodestone_id"
+    id_ = common.free("_lodestone_id", df.columns)
     of_id = groups(df, text, key, words, percent).where("id IS NOT NULL").groupBy(F.col("id").alias(id_)).agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows"))
     kept = common.staged(of_id.where(F.col(id_) == F.col("_least")).select(id_, "_rows"), "kept")
     named = df.withColumn(id_, F.col(key).cast("long"))
     once = named.join(kept.where("_rows = 1"), id_, "left_semi")
     several = named.join(kept.where("_rows > 1"), id_, "left_semi")
-    picked = several.groupBy(id_).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(text)).alias("_row")).select("_row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    order = F.struct(F.xxhash64(text), F.to_json(whole, {"ignoreNullFields": "false"}))  # JSON orders columns of any type
+    picked = several.groupBy(id_).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
     return once.drop(id_).union(picked).union(df.where(F.col(key).cast("long").isNull()))
 
 
