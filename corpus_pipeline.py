@@ -20,15 +20,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit_table(docs)
     if not model.crf.labels:
         return docs  # nothing is labelled: nothing can be said against a document
-    found = langid.predict(docs, model, pred="_language", score="_language_score", sure="_language_sure")
-    good = (F.col("_language") != langid.UNKNOWN) & (F.col("_language_sure") >= LEAST_LANGUAGE_SCORE)
+    pred, score, sure = (common.free(c, docs.columns) for c in ("_language", "_language_score", "_language_sure"))
+    found = langid.predict(docs, model, pred=pred, score=score, sure=sure)
+    good = (F.col(pred) != langid.UNKNOWN) & (F.col(sure) >= LEAST_LANGUAGE_SCORE)
     return found.where(good).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base counts or are mostly boilerplate lines."""
     model = quality.fit_table(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    clash = {c: f"_own_{c}" for c in docs.columns if c in quality.RESULT_NAMES}
+    clash = {c: common.free(f"_own_{c}", docs.columns) for c in docs.columns if c in quality.RESULT_NAMES}
     judged = quality.judge(docs.withColumnsRenamed(clash), model).where("kept")
     return judged.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
