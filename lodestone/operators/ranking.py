@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Varying:
+    """A setting that differs from run to run: the column that holds it, and its largest value."""
+
+    column: str
+    most: float
+
+
+Setting = int | float | Varying
+
+
+def setting(x: Setting) -> Column:
+    return F.col(x.column) if isinstance(x, Varying) else F.lit(x)
+
+
 def normalised(value: Column, by: list[str]) -> Column:
     """Min-max to [0, 1] within a partition; 1 where all values are equal."""
     w = W.partitionBy(*by)
@@ -31,15 +48,17 @@ def threshold_or_default(c: Column, default: float = 0.5) -> Column:
     return clamp01(F.coalesce(c.cast("double"), F.lit(default)))
 
 
-def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first n rows of each group in a total order, with their rank from 1."""
-    if n < 1:
+def top_n(df: DataFrame, by: list[str], order: list[Column], n: int | Varying, rank: str = "rank") -> DataFrame:
+    """The first n rows of each group in a total order, with their rank from 1. A varying n is cut at its largest value before the shuffle."""
+    most = n.most if isinstance(n, Varying) else n
+    if most < 1:
         raise ValueError("n must be 1 or more")
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return ranked.where((F.col(rank) <= F.lit(int(most))) & (F.col(rank) <= setting(n)) if isinstance(n, Varying) else F.col(rank) <= n)
 
 
-def checked_threshold(theta: float) -> float:
-    if not 0 <= theta <= 1:
+def checked_threshold(theta: Setting) -> Setting:
+    if not isinstance(theta, Varying) and not 0 <= theta <= 1:
         raise ValueError("thresholds are in [0, 1]")
     return theta
 

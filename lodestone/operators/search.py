@@ -143,6 +143,37 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "
     return part.select("id", "term", weight.alias("_w")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("_w"), 6).alias("score"))
 
 
+#: What a run's list holds: rows that the vector list has, that either list has, that both have, that the keyword list has.
+LISTS = ("VECTOR", "UNION", "INTERSECT", "RERANK")
+
+
+def both_lists(vector: DataFrame, keyword: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, v, vr, k, kr) of what either ranked list (query_id, id, score) has: score and place in the vector list, both
+    scores scaled to [0, 1] within their query, and the place in the keyword list. Each list is ranked once, whatever is made of it."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    v = vector.select("query_id", "id", "score", normalised(F.col("score"), ["query_id"]).alias("v"), rank.alias("vr"))
+    if keyword is None:
+        return v.select("*", F.lit(None).cast("double").alias("k"), F.lit(None).cast("int").alias("kr"))
+    k = keyword.select("query_id", "id", normalised(F.col("score"), ["query_id"]).alias("k"), rank.alias("kr"))
+    return v.join(k, ["query_id", "id"], "full")
+
+
+def in_lists() -> Column:
+    """The LISTS that a row of both_lists() stands in."""
+    v, k = F.col("vr").isNotNull(), F.col("kr").isNotNull()
+    return F.filter(F.array(F.when(v, "VECTOR"), F.lit("UNION"), F.when(v & k, "INTERSECT"), F.when(k, "RERANK")), lambda x: x.isNotNull())
+
+
+def fused_score(scorer: Column, fusion: Column, vector_weight: Column, text_weight: Column, vector_penalty: Column, text_penalty: Column) -> Column:
+    """The score of a row of both_lists() by settings that may come with the row."""
+    zero = F.lit(0.0)
+    v, k = F.coalesce("v", zero), F.coalesce("k", zero)
+    rsf = (vector_weight * v + text_weight * k) / (vector_weight + text_weight)
+    a, b = (F.when(scorer == "WRRF", w).otherwise(1.0) for w in (vector_weight, text_weight))
+    rrf = F.coalesce(a / (vector_penalty + F.col("vr")), zero) + F.coalesce(b / (text_penalty + F.col("kr")), zero)
+    return F.round(F.when(fusion == "VECTOR", F.col("score")).when(fusion == "RERANK", v).when(scorer == "RSF", rsf).otherwise(rrf), 6)
+
+
 def fuse(
     vector: DataFrame, keyword: DataFrame, scorer: str = "RSF", fusion: str = "UNION", vector_weight: float = 1.0, text_weight: float = 10.0, vector_penalty: float = 5.0, text_penalty: float = 1.0
 ) -> DataFrame:
@@ -151,21 +182,10 @@ def fuse(
     RSF: weighted mean of min-max scores, a missing side is 0. RRF: sum of 1 / (penalty + rank); WRRF weighs the terms.
     UNION keeps what either list has, INTERSECT what both have, RERANK the keyword list ordered by the vector score.
     """
-    if scorer not in ("RSF", "RRF", "WRRF") or fusion not in ("UNION", "INTERSECT", "RERANK"):
+    if scorer not in ("RSF", "RRF", "WRRF") or fusion not in LISTS[1:]:
         raise ValueError("unknown scorer or fusion")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    v = vector.select("query_id", "id", normalised(F.col("score"), ["query_id"]).alias("_v"), rank.alias("_vr"))
-    k = keyword.select("query_id", "id", normalised(F.col("score"), ["query_id"]).alias("_k"), rank.alias("_kr"))
-    joined = k.join(v, ["query_id", "id"], {"UNION": "full", "INTERSECT": "inner", "RERANK": "left"}[fusion])
-    zero = F.lit(0.0)
-    if fusion == "RERANK":
-        score = F.coalesce("_v", zero)
-    elif scorer == "RSF":
-        score = (vector_weight * F.coalesce("_v", zero) + text_weight * F.coalesce("_k", zero)) / (vector_weight + text_weight)
-    else:
-        a, b = (vector_weight, text_weight) if scorer == "WRRF" else (1.0, 1.0)
-        score = F.coalesce(a / (vector_penalty + F.col("_vr")), zero) + F.coalesce(b / (text_penalty + F.col("_kr")), zero)
-    return joined.select("query_id", "id", F.round(score, 6).alias("score"))
+    rows = both_lists(vector, keyword).where(F.array_contains(in_lists(), fusion))
+    return rows.select("query_id", "id", fused_score(*map(F.lit, (scorer, fusion, vector_weight, text_weight, vector_penalty, text_penalty))).alias("score"))
 
 
 def chunk_scores(chunks: DataFrame, key: str, score: str, aggregator: str = "MAX") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import ann, discover, evaluate, search, sweep
-from lodestone.operators.frozen import scratch
+from lodestone.operators.frozen import frozen, scratch
 from lodestone.operators.ranking import top_n
 
 #: Searches ask with every row whose id is divisible by this, against all rows.
@@ -156,7 +156,8 @@ RUN_METRICS = ["precision", "recall", "f1", "mrr", "hit_at_1", "hit_at_3", "reca
 def _runs(spark, d):
     asked = _table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
     questions = asked.select("query_id", F.concat(F.lit("DB"), "label").alias("db_id"), F.array(F.col("label").cast("string")).alias("expected"))
-    return sweep.evaluated(RUNS, questions, _labelled(spark, d, _hits(spark, d, 100)), "label", _objects(spark, d))
+    objects = search.both_lists(_objects(spark, d).withColumnRenamed("label", "id"))
+    return sweep.evaluated(RUNS, questions, _labelled(spark, d, search.both_lists(_hits(spark, d, 100))), "label", objects)
 
 
 def evaluation_run(spark, d):
@@ -170,6 +171,33 @@ def evaluation_summary(spark, d):
     return _runs(spark, d).groupBy("run_id", "mode").agg(F.count("*").alias("questions"), *means)
 
 
+#: The sweep of two modes over vector search, weights of RSF and penalties of RRF.
+SWEEP = {
+    "modes": ["unified", "parallel"], "search_types": ["vector", "hybrid"], "hybrid_scorers": ["RSF", "RRF"], "common": {"discover_k": 4, "m": 40, "discover_score_threshold": 0.6},
+    "scorer_overrides": {
+        "RSF": [{"vector_score_weight": v, "text_score_weight": t} for v, t in [(2, 10), (4, 10), (6, 10), (8, 10), *((10, t) for t in (2, 4, 6, 8, 10))]],
+        "RRF": [{"vector_rank_penalty": v, "text_rank_penalty": t} for v, t in [*((5, t) for t in (1, 2, 3, 4, 5)), *((v, 5) for v in (1, 2, 3, 4))]],
+    },
+}
+
+
+def sweep_runs(spark, d, matrix=None):
+    """Every run of a sweep over every question: both searches once, fused, rolled up and scored for all runs in one plan."""
+    runs = dict(enumerate(sweep.expand(matrix or SWEEP), 1))
+    corpus, _ = _vectors(spark, d)
+    asked = _asked(spark, d).select("query_id").join(corpus.select(F.col("id").alias("query_id"), "vector", "label"), "query_id")
+    keyword = frozen(search.keyword_overlap(_asked(spark, d), _table(spark, d, "documents")))
+    best = lambda hits: top_n(hits, ["query_id"], [F.desc("score"), F.asc("id")], 50).drop("rank")
+    vector = search.vector_search(asked.select("query_id", "vector"), corpus, 50)
+    hits = frozen(_labelled(spark, d, search.both_lists(vector, best(keyword))))
+    means = search.centroids(corpus, "label", "vector").select(F.col("label").alias("id"), "vector")
+    by_vector = search.vector_search(asked.select("query_id", "vector"), means, 1 << 30, skip_self=False)
+    by_words = _labelled(spark, d, keyword).groupBy("query_id", F.col("label").cast("long").alias("id")).agg(F.max("score").alias("score"))
+    objects = frozen(search.both_lists(by_vector, by_words).withColumn("id", F.col("id").cast("int")))
+    questions = asked.select("query_id", F.array(F.col("label").cast("string")).alias("expected"))
+    return sweep.evaluated(runs, questions, hits, "label", objects).select("run_id", "mode", "search_type", "scorer", F.col("query_id").alias("question_id"), *RUN_METRICS)
+
+
 def ann_search(spark, d):
     """Ten nearest vectors by the cell index, built afresh in the shared folder."""
     corpus, queries = _vectors(spark, d)
@@ -229,6 +257,7 @@ QUERIES = {
     "overall_weighted": overall_weighted,
     "evaluation_run": evaluation_run,
     "evaluation_summary": evaluation_summary,
+    "sweep_runs": sweep_runs,
     "ann_search": ann_search,
 }
 
@@ -412,3 +441,48 @@ qs AS (SELECT m.run_id, m.mode, vec_id AS question_id, [label::VARCHAR] AS e, co
 SELECT run_id, mode, question_id, {_run_rows} FROM qs"""
 ORACLES["evaluation_run"] = _run_sql
 ORACLES["evaluation_summary"] = f"SELECT run_id, mode, count(*) AS questions, {', '.join(f'round(avg({m}::INT::DOUBLE), 6) AS avg_{m}' if m.startswith('hit') else f'round(avg({m}), 6) AS avg_{m}' for m in RUN_METRICS)} FROM ({_run_sql}) GROUP BY run_id, mode"
+
+
+def _sweep_sql(matrix: dict) -> str:
+    """All runs of the sweep beside each other: run is part of every key."""
+    names = ("vector_score_weight", "text_score_weight", "vector_rank_penalty", "text_rank_penalty")
+    runs = [(i, sweep.resolved(r)) for i, r in enumerate(sweep.expand(matrix), 1)]
+    values = ", ".join(f"({i}, '{s['mode']}', '{s['search_type']}', {repr(s['scorer']) if s['search_type'] == 'hybrid' else 'NULL'}, {', '.join(f'{s[n]}::DOUBLE' for n in names)})" for i, s in runs)
+    score = "CASE WHEN search_type = 'vector' THEN s WHEN scorer = 'RSF' THEN (vw * coalesce(v, 0) + tw * coalesce(k, 0)) / (vw + tw) ELSE coalesce(1 / (vp + vr), 0) + coalesce(1 / (tp + kr), 0) END"
+    norm = lambda c: _norm(c).replace("PARTITION BY query_id", "PARTITION BY run_id, query_id")
+    by = "PARTITION BY run_id, query_id"
+    return f"""WITH {KEYWORD}, runs AS (SELECT * FROM (VALUES {values}) r(run_id, mode, search_type, scorer, vw, tw, vp, tp)),
+q AS (SELECT vec_id AS query_id, label AS own, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)),
+sim AS (SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(qv, e.embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings e ON e.vec_id <> q.query_id),
+vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS vr FROM sim QUALIFY vr <= 50),
+vn AS (SELECT query_id, id, score AS s, vr, {_norm('score')} AS v FROM vt),
+kn AS (SELECT query_id, id, rank AS kr, {_norm('score')} AS k FROM kt),
+hits AS (SELECT query_id, id, label, s, v, vr, k, kr FROM vn FULL JOIN kn USING (query_id, id) JOIN embeddings ON vec_id = id),
+{CENTROID},
+ov AS (SELECT query_id, label AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS vr, {_norm('score')} AS v FROM obj),
+kl AS (SELECT query_id, label AS id, max(score) AS score FROM ks JOIN embeddings ON vec_id = ks.id GROUP BY query_id, label),
+ok AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS kr, {_norm('score')} AS k FROM kl),
+objs AS (SELECT query_id, id AS label, ov.score AS s, v, vr, k, kr FROM ov FULL JOIN ok USING (query_id, id)),
+h AS (SELECT run_id, mode, query_id, id, label, round({score}, 6) AS score FROM hits JOIN runs ON search_type = 'hybrid' OR vr IS NOT NULL),
+hit AS (SELECT *, row_number() OVER ({by} ORDER BY score DESC, id) AS rn FROM h QUALIFY rn <= 40),
+nm AS (SELECT *, {norm('score')} AS norm FROM hit),
+ukept AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id, label ORDER BY norm DESC, rn) AS nth FROM nm WHERE mode = 'unified' AND norm >= 0.6::DOUBLE QUALIFY nth <= 3),
+us AS (SELECT run_id, query_id, label, round(avg(norm), 6) AS score FROM ukept GROUP BY ALL),
+u AS (SELECT run_id, query_id, label, row_number() OVER ({by} ORDER BY score DESC, label) AS rank FROM us QUALIFY rank <= 4),
+o0 AS (SELECT run_id, query_id, label, round({score}, 6) AS score FROM objs JOIN runs ON mode = 'parallel' AND (search_type = 'hybrid' OR vr IS NOT NULL)),
+o AS (SELECT *, row_number() OVER ({by} ORDER BY score DESC, label) AS orank FROM o0 QUALIFY orank <= 4),
+n AS (SELECT run_id, query_id, label, {norm('score')} AS norm, orank FROM o),
+lv AS (SELECT run_id, query_id, CASE WHEN max(score) = min(score) THEN 1.0 ELSE 0.0 END AS lvl FROM o GROUP BY ALL),
+p AS (SELECT c.run_id, c.query_id, c.label, coalesce(any_value(lvl), 1.0)::DOUBLE AS norm, min(rn) + 1000000 AS orank FROM nm c LEFT JOIN lv USING (run_id, query_id)
+  ANTI JOIN o ON o.run_id = c.run_id AND o.query_id = c.query_id AND o.label = c.label WHERE c.mode = 'parallel' GROUP BY ALL),
+al AS (SELECT * FROM n UNION ALL SELECT * FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id, label ORDER BY norm DESC, rn) AS nth FROM nm WHERE mode = 'parallel' QUALIFY nth <= 3),
+sp AS (SELECT run_id, query_id, label, avg(norm) AS support FROM b GROUP BY ALL),
+j AS (SELECT run_id, query_id, label, round(greatest(0, least(1, 0.6::DOUBLE * norm + 0.4::DOUBLE * coalesce(support, 0))), 6) AS score, orank FROM al LEFT JOIN sp USING (run_id, query_id, label)),
+pr AS (SELECT run_id, query_id, label, row_number() OVER ({by} ORDER BY score DESC, orank) AS rank FROM j QUALIFY rank <= 4),
+r AS (SELECT * FROM u UNION ALL SELECT * FROM pr), fs AS (SELECT run_id, query_id, list(label::VARCHAR ORDER BY rank) AS f FROM r GROUP BY ALL),
+qs AS (SELECT run_id, mode, search_type, scorer, query_id AS question_id, [own::VARCHAR] AS e, coalesce(f, []) AS f FROM q CROSS JOIN runs LEFT JOIN fs USING (run_id, query_id))
+SELECT run_id, mode, search_type, scorer, question_id, {_run_rows} FROM qs"""
+
+
+ORACLES["sweep_runs"] = _sweep_sql(SWEEP)
