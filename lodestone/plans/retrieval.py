@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import ann, discover, evaluate, search, sweep
+from lodestone.operators import ann, discover, evaluate, inverted, search, sweep, versions
 from lodestone.operators.frozen import frozen, scratch
 from lodestone.operators.ranking import top_n
 
@@ -198,6 +198,42 @@ def sweep_runs(spark, d, matrix=None):
     return sweep.evaluated(runs, questions, hits, "label", objects).select("run_id", "mode", "search_type", "scorer", F.col("query_id").alias("question_id"), *RUN_METRICS)
 
 
+def _keyword_index(spark, d):
+    """A keyword index over all documents in the shared folder."""
+    path = f"{scratch(spark)}/keywords-{uuid.uuid4().hex}"
+    inverted.build(_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    return path
+
+
+def _found(spark, path, hits):
+    """The hits, apart from the index, which is dropped."""
+    out = frozen(hits)
+    versions.drop(spark, path)
+    return out
+
+
+def indexed_bm25(spark, d):
+    """The best 50 documents of each question by BM25, from a stored index."""
+    path = _keyword_index(spark, d)
+    return _found(spark, path, inverted.search(_asked(spark, d), path, 50).drop("rank"))
+
+
+def indexed_overlap(spark, d):
+    """The best 50 documents of each question by the number of its terms, from a stored index."""
+    path = _keyword_index(spark, d)
+    return _found(spark, path, inverted.search(_asked(spark, d), path, 50, "overlap"))
+
+
+def index_refresh(spark, d):
+    """BM25 after a tenth of the documents has been replaced, a tenth deleted, and the index compacted."""
+    path = _keyword_index(spark, d)
+    docs = _table(spark, d, "documents")
+    inverted.refresh(docs.where("doc_id % 10 = 3").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", F.lit("replaced"), "text").alias("text")), path)
+    inverted.delete(docs.where("doc_id % 10 = 7").select(F.col("doc_id").alias("id")), path)
+    inverted.compact(spark, path)
+    return _found(spark, path, inverted.search(_asked(spark, d), path, 50).drop("rank"))
+
+
 def ann_search(spark, d):
     """Ten nearest vectors by the cell index, built afresh in the shared folder."""
     corpus, queries = _vectors(spark, d)
@@ -258,6 +294,9 @@ QUERIES = {
     "evaluation_run": evaluation_run,
     "evaluation_summary": evaluation_summary,
     "sweep_runs": sweep_runs,
+    "indexed_bm25": indexed_bm25,
+    "indexed_overlap": indexed_overlap,
+    "index_refresh": index_refresh,
     "ann_search": ann_search,
 }
 
@@ -486,3 +525,7 @@ SELECT run_id, mode, search_type, scorer, question_id, {_run_rows} FROM qs"""
 
 
 ORACLES["sweep_runs"] = _sweep_sql(SWEEP)
+ORACLES["indexed_bm25"] = ORACLES["keyword_bm25"]
+ORACLES["indexed_overlap"] = ORACLES["keyword_score"]
+_changed = "(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat_ws(' ', text, 'replaced', text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
+ORACLES["index_refresh"] = ORACLES["keyword_bm25"].replace("FROM documents", f"FROM {_changed}")
