@@ -75,7 +75,7 @@ def clean(spark: SparkSession, path: str) -> int:
     """Delete the segments and markers that only earlier versions name, when no reader uses those any more; returns how many."""
     files, at = _files(spark, path)
     now = latest(spark, path)
-    kept = {"versions", *now.segments, *(n for n, _ in now.markers)}
+    kept = {"versions", "model", *now.segments, *(n for n, _ in now.markers)}
     gone = [s.getPath() for s in files.listStatus(at(path)) if s.getPath().getName() not in kept]
     for p in gone:
         files.delete(p, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,12 +235,51 @@ def index_refresh(spark, d):
     return _found(spark, path, inverted.search(_asked(spark, d), path, 50).drop("rank"))
 
 
+def _vector_index(spark, corpus, metric="cosine"):
+    path = f"{scratch(spark)}/vectors-{uuid.uuid4().hex}"
+    ann.build(corpus.select("id", "vector"), path, metric)
+    return path
+
+
 def ann_search(spark, d):
-    """Ten nearest vectors by the cell index, built afresh in the shared folder."""
+    """Ten nearest vectors by the index of cells and codes, built afresh in the shared folder."""
+    corpus, queries = _vectors(spark, d)
+    path = _vector_index(spark, corpus)
+    return _found(spark, path, ann.search(queries, path, 10, scan=0.8, rescore=50))
+
+
+#: What an approximate search must find of the exact results.
+LEAST_RECALL = 0.9
+
+
+def _judged(found, exact, **names):
+    """One row: the names, the number of exact results, and whether enough of them were found."""
+    row = ann.recall(found, exact).select(F.col("wanted").alias("wanted"), (F.col("recall") >= LEAST_RECALL).alias("enough"))
+    return row.select(*[F.lit(v).alias(k) for k, v in names.items()], "wanted", "enough")
+
+
+def ann_recall(spark, d):
+    """Approximate against exact search for each metric, after a tenth of the rows was refreshed as it is; rows that were looked at stay below a share."""
     corpus, queries = _vectors(spark, d)
-    path = f"{scratch(spark)}/ann-{uuid.uuid4().hex}"
-    ann.build(corpus.select("id", "vector"), path, cells=32)
-    return ann.search(queries, path, 10, probes=12)
+    out = []
+    for metric in ann.METRICS:
+        path = _vector_index(spark, corpus, metric)
+        ann.refresh(corpus.where("id % 10 = 3"), path)
+        found = _found(spark, path, ann.search(queries, path, 10, scan=0.8, rescore=50, metric=metric))
+        out.append(_judged(found, search.vector_search(queries, corpus, 10, metric), metric=metric))
+    return reduce(lambda a, b: a.union(b), out)
+
+
+def filtered_ann(spark, d):
+    """Approximate search among the rows that a filter leaves: about a hundredth, a tenth and half of all."""
+    corpus, queries = _vectors(spark, d)
+    path, out = _vector_index(spark, corpus), []
+    for part in (100, 10, 2):
+        good = corpus.where(F.col("id") % part == 0).select("id")
+        found = frozen(ann.search(queries, path, 10, scan=0.8, rescore=50, only=good))
+        out.append(_judged(found, search.vector_search(queries, corpus.join(good, "id", "left_semi"), 10), one_in=part))
+    versions.drop(spark, path)
+    return reduce(lambda a, b: a.union(b), out)
 
 
 def _order_sets(spark, d):
@@ -298,6 +338,8 @@ QUERIES = {
     "indexed_overlap": indexed_overlap,
     "index_refresh": index_refresh,
     "ann_search": ann_search,
+    "ann_recall": ann_recall,
+    "filtered_ann": filtered_ann,
 }
 
 # ---- the same in DuckDB SQL ----
@@ -529,3 +571,6 @@ ORACLES["indexed_bm25"] = ORACLES["keyword_bm25"]
 ORACLES["indexed_overlap"] = ORACLES["keyword_score"]
 _changed = "(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat_ws(' ', text, 'replaced', text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
 ORACLES["index_refresh"] = ORACLES["keyword_bm25"].replace("FROM documents", f"FROM {_changed}")
+_wanted = lambda where: f"(SELECT sum(least(10, (SELECT count(*) FROM embeddings e WHERE e.vec_id <> q.vec_id AND {where})))::BIGINT FROM embeddings q WHERE q.vec_id % 20 = 0)"
+ORACLES["ann_recall"] = f"SELECT metric, {_wanted('true')} AS wanted, true AS enough FROM (VALUES ('cosine'), ('dot'), ('l2')) v(metric)"
+ORACLES["filtered_ann"] = " UNION ALL ".join(f"SELECT {part}::INT AS one_in, {_wanted(f'e.vec_id % {part} = 0')} AS wanted, true AS enough" for part in (100, 10, 2))

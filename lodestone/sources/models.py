@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import lineage
+from lodestone.shipping import ship
 
 #: prompts -> (answer, tokens used) of each
 Client = Callable[[list[str]], list[tuple[str, int]]]
@@ -38,6 +39,7 @@ def salvage(answer: str) -> list[dict] | None:
 
 def extract_lineage(df: DataFrame, client: Client, sql: str = "SQL", batch: int = 16) -> DataFrame:
     """Adds tables (JSON), method (llm, retry or rule) and tokens. A batch whose answer fails is asked again one by one, then rules decide."""
+    ship(df.sparkSession)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", tables string, method string, tokens long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.dialect import tokenise
+from lodestone.shipping import ship
 
 TABLES = "array<struct<name:string,columns:array<struct<name:string>>>>"
 QUESTION = f"question_id long, db_id string, question string, evidence string, SQL string, query string, database_name string, tables {TABLES}"
@@ -38,6 +39,7 @@ def descriptions(spark: SparkSession, path: str, encoding: str | None = None) ->
 
     Without an encoding each file is UTF-8 if it is valid as such, with or without a mark at its start, and Latin-1 otherwise.
     """
+    ship(spark)
     raw = F.col("content").cast("string")
     text = F.decode("content", encoding) if encoding else F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
     table = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
@@ -53,27 +55,43 @@ def sqlite_schema(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, statement string")
 
 
+BODIES = re.compile(r"(CREATE (OR REPLACE )?(PACKAGE|PROCEDURE|FUNCTION|TRIGGER|TYPE)|DECLARE|BEGIN)\b")
+SLASH = re.compile(r"\n\s*/\s*$")
+
+
 def split_script(text: str) -> list[str]:
-    """Statements of a script: `;` outside quotes and comments ends one; a line with `/` alone ends a block with a body."""
-    out, now, block = [], [], False
+    """Statements of a script: `;` outside quotes and comments ends one; a line with `/` alone ends a block with a body.
+
+    A statement's first five words tell whether it has a body; what is kept of it besides its tokens is these words and its last tokens.
+    """
+    out, now, head, block, open_head = [], [], "", False, True
+
+    def close(body: str) -> None:
+        nonlocal now, head, block, open_head
+        if body.strip():
+            out.append(body.strip())
+        now, head, block, open_head = [], "", False, True
+
     for t in tokenise(text):
-        if not "".join(now).strip() and (t.isspace() or t.startswith(("--", "/*"))):
+        if not now and (t.isspace() or t.startswith(("--", "/*"))):
             continue
         now.append(t)
-        head = " ".join("".join(now).split()[:5]).upper()
-        block = bool(re.match(r"(CREATE (OR REPLACE )?(PACKAGE|PROCEDURE|FUNCTION|TRIGGER|TYPE)|DECLARE|BEGIN)\b", head))
-        done = "".join(now)
-        if (t == ";" and not block) or (block and re.search(r"\n\s*/\s*$", done) and t.isspace() and "\n" in t):
-            body = re.sub(r"\n\s*/\s*$", "", done) if block else done[:-1]
-            if body.strip():
-                out.append(body.strip())
-            now = []
-    last = re.sub(r"\n\s*/\s*$", "", "".join(now)).strip()
-    return [*out, last] if last else out
+        if open_head:
+            head += t
+            words = head.split()
+            block = bool(BODIES.match(" ".join(words[:5]).upper()))
+            open_head = len(words) <= 5
+        if t == ";" and not block:
+            close("".join(now[:-1]))
+        elif block and t.isspace() and "\n" in t and SLASH.search("".join(now[-6:])):
+            close(SLASH.sub("", "".join(now)))
+    close(SLASH.sub("", "".join(now)))
+    return out
 
 
 def scripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, position, statement) of all scripts under a path."""
+    ship(spark)
     split = F.udf(split_script, "array<string>")  # a whole script is one row: no hot path
     files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return files.select("path", F.posexplode(split("value")).alias("position", "statement"))
