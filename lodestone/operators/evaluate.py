@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import metrics as M
@@ -25,44 +26,119 @@ def table_metrics(df: DataFrame, expected: str = "expected", found: str = "found
     return named.select(*df.columns, *[c.alias(n) for n, c in rounded.items()])
 
 
+def counted_metrics(questions: DataFrame, found: DataFrame, key: str = "question_id", k: int = 10) -> DataFrame:
+    """The metrics of table_metrics() from counts: no list of expected or found names is made, so what is expected may be of any number.
+
+    questions: key and n_expected (distinct names) beside other columns; found: key, rank from 1, name, hit (the name is expected), as
+    an equality join of the found names gives it. Everything comes from sums over ranks, in one aggregation by question.
+    """
+    first = F.row_number().over(W.partitionBy(key, F.lower("name")).orderBy("rank")) == 1
+    rows = found.select(key, "rank", "hit", first.alias("_new")).join(questions.select(key, F.col("n_expected").alias("_n")), key)
+    ks = {**{str(n): F.lit(n) for n in (1, 3, 5, 10, 15)}, "k": F.lit(k), "n": F.col("_n"), "all": F.lit(None)}
+    within = lambda n: F.col("_new") if n == "all" else F.col("_new") & (F.col("rank") <= ks[n])
+    count = lambda c, name: F.sum(c.cast("long")).alias(name)
+    sums = [count(within(n) & F.col("hit"), f"_h_{n}") for n in ks] + [count(within(n), f"_f_{n}") for n in ("1", "3", "5", "k", "all")]
+    counted = rows.groupBy(key).agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("_place"), *sums)
+    both = questions.join(counted, key, "left")
+    e = F.coalesce("n_expected", F.lit(0))
+    h, f = (lambda n: F.coalesce(f"_h_{n}", F.lit(0))), (lambda n: F.coalesce(f"_f_{n}", F.lit(0)))
+    union = e + f("all") - h("all")
+    cols = {
+        "precision": M.ratio(h("all"), f("all")), "recall": M.ratio(h("all"), e), "mrr": F.coalesce(1.0 / F.col("_place"), F.lit(0.0)),
+        "jaccard": F.when(union == 0, F.lit(1.0)).otherwise(M.ratio(h("all"), union)), "exact_match": (h("all") == e) & (f("all") == e), "top_n_accuracy": M.ratio(h("n"), e),
+    }
+    cols["f1"] = M.f1_of(cols["precision"], cols["recall"])
+    cols |= {f"hit_at_{n}": h(str(n)) > 0 for n in KS}
+    cols |= {f"recall_at_{n}": F.when(e == 0, F.lit(1.0)).otherwise(M.ratio(h(n), e)) for n in ("3", "5", "10", "15", "k")}
+    for n in [*map(str, KS), "k"]:
+        p, r = M.ratio(h(n), f(n)), M.ratio(h(n), e)
+        cols |= {f"precision_at_{n}": p, f"prefix_recall_at_{n}": r, f"f1_at_{n}": M.f1_of(p, r)}
+    rounded = {n: F.round(c, 6) if n != "exact_match" and not n.startswith("hit") else c for n, c in cols.items()}
+    return both.select(*[c for c in questions.columns if c != "n_expected"], *[c.alias(n) for n, c in rounded.items()])
+
+
 def column_metrics(df: DataFrame, key: str = "question_id", expected: str = "expected", found: str = "found", k: int = 10) -> DataFrame:
-    """Joint (micro), macro and top-N column metrics. expected, found: arrays of struct<table: string, columns: array<string>>.
+    """Joint (micro), macro and top-N column metrics. expected, found: arrays of struct<table: string, columns: array<string>>; one row a question.
 
     A column counts only where its table was found. Joint metrics count a repeated expected table twice; macro metrics once,
-    with its last column list; of a repeated found table the first list counts. Both lists are in the row, so nothing is shuffled.
+    with its last column list; of a repeated found table the first list counts. A row becomes one row for each expected
+    table, so that its measures are plain columns of which only the asked ones are computed.
     """
     named = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda x: F.struct(F.lower(x["table"]).alias("t"), M.folded(x["columns"]).alias("c")))
     none = F.array().cast("array<string>")
-    rows = df.select(key, named(expected).alias("_want"), named(found).alias("_have"))
-    first = lambda x: F.coalesce(F.get(F.filter(F.col("_have"), lambda y: y["t"] == x["t"]), F.lit(0))["c"], none)
-    rows = rows.select(key, F.transform("_want", lambda x: F.struct(x["t"].alias("t"), x["c"].alias("e"), first(x).alias("f"))).alias("_met"))
-    later = lambda x, i: F.exists(F.slice(F.col("_met"), i + 2, F.size("_met")), lambda y: y["t"].eqNullSafe(x["t"]))
-    rows = rows.withColumn("_last", F.filter("_met", lambda x, i: ~later(x, i)))
-    count = lambda f: F.aggregate("_met", F.lit(0), lambda a, x: a + f(x))
-    size = lambda side: count(lambda x: F.size(F.array_distinct(x[side])))
-    rows = rows.select(key, "_last", count(lambda x: M.hits(x["e"], x["f"])).alias("_h"), size("e").alias("_e"), size("f").alias("_f"))
-    p, r = M.ratio(F.col("_h"), F.col("_f")), M.ratio(F.col("_h"), F.col("_e"))
-    out = {"joint_precision": p, "joint_recall": r, "joint_f1": M.f1_of(p, r)}
-    # All values of a table in one array, summed place by place: one pass over the lists.
-    names = ["", *(f"_at_{n}" for n in KS), "_at_k"]
-
-    def measured(x: Column) -> Column:
-        cuts = [x["f"], *(M.at(x["f"], n) for n in (*KS, k))]
-        pairs = [M.precision_recall_f1(x["e"], f)[:2] for f in cuts]
-        some = F.size(x["e"]) > 0
-        return F.array(*[v for pair in pairs for v in pair], F.when(some, M.top_n_accuracy(x["e"], x["f"])).otherwise(0.0), some.cast("double"))
-
-    zero = F.array(*[F.lit(0.0)] * (2 * len(names) + 2))
-    sums = F.aggregate("_last", zero, lambda a, x: F.zip_with(a, measured(x), lambda u, v: u + v))
-    rows = rows.select(key, *[c.alias(n) for n, c in out.items()], sums.alias("_sums"), F.size("_last").alias("_n"))
-    at = lambda i: F.get("_sums", F.lit(i))
-    out = {n: F.col(n) for n in out} | {"column_top_n_accuracy": M.ratio(at(2 * len(names)), at(2 * len(names) + 1))}
-    for i, name in enumerate(names):
-        p, r = M.ratio(at(2 * i), F.col("_n")), M.ratio(at(2 * i + 1), F.col("_n"))
+    lists = df.select(key, named(expected).alias("_want"), named(found).alias("_have"))
+    # Names that are null are one table; no found table has it.
+    names = F.transform("_want", lambda x: F.coalesce(x["t"], F.lit("\0")))
+    lists = lists.select(key, "_want", "_have", F.transform("_have", lambda x: x["t"]).alias("_found"), F.reverse(names).alias("_back"))
+    met = lists.select(key, "_have", "_found", "_back", F.posexplode_outer("_want").alias("_i", "_x"))
+    own = F.get("_have", F.array_position("_found", F.col("_x.t")).cast("int") - 1)["c"]
+    last = F.size("_back") - F.array_position("_back", F.coalesce("_x.t", F.lit("\0"))) == F.col("_i")
+    rows = met.select(key, (F.col("_i").isNotNull() & last).alias("_last"), F.coalesce("_x.c", none).alias("_e"), F.coalesce(own, none).alias("_f"))
+    e, f = F.col("_e"), F.col("_f")
+    size = lambda c: F.size(F.array_distinct(c))
+    cuts = {"": f} | {f"_at_{n}": M.at(f, n) for n in KS} | {"_at_k": M.at(f, k)}
+    means = []
+    for name, cut in cuts.items():
+        p, r, _ = M.precision_recall_f1(e, cut)
+        means += [F.avg(F.when(F.col("_last"), c)).alias(f"{side}{name}") for side, c in (("_p", p), ("_r", r))]
+    totals = [F.sum(M.hits(e, f)).alias("_hits"), F.sum(size(e)).alias("_es"), F.sum(size(f)).alias("_fs"), F.avg(F.when(F.col("_last") & (F.size(e) > 0), M.top_n_accuracy(e, f))).alias("_top")]
+    rows = rows.groupBy(key).agg(*totals, *means)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    p, r = M.ratio(F.col("_hits"), F.col("_fs")), M.ratio(F.col("_hits"), F.col("_es"))
+    out = {"joint_precision": p, "joint_recall": r, "joint_f1": M.f1_of(p, r), "column_top_n_accuracy": zero("_top")}
+    for name in cuts:
+        p, r = zero(f"_p{name}"), zero(f"_r{name}")
         out |= {f"column_precision{name}": p, f"column_recall{name}": r, f"column_f1{name}": M.f1_of(p, r)}
     return rows.select(key, *[F.round(c, 6).alias(n) for n, c in out.items()])
 
 
+#: The metric fields of a result file, in their order.
+RESULT_METRICS = """
+table_precision table_recall table_f1 column_precision column_recall column_f1 table_hit_at_1 table_hit_at_3 table_hit_at_5
+table_recall_at_3 table_recall_at_5 table_recall_at_10 table_recall_at_15 table_recall_at_k column_recall_at_3 column_recall_at_5 column_recall_at_k
+table_precision_at_1 table_precision_at_3 table_precision_at_5 table_precision_at_k table_f1_at_1 table_f1_at_3 table_f1_at_5 table_f1_at_k
+column_precision_at_1 column_precision_at_3 column_precision_at_5 column_precision_at_k column_f1_at_1 column_f1_at_3 column_f1_at_5 column_f1_at_k
+table_mrr table_jaccard table_exact_match joint_column_precision joint_column_recall joint_column_f1 topn_table_accuracy topn_column_accuracy
+""".split()
+#: The fields before them.
+RESULT_HEAD = "question_id db_id question execution_time_ms num_expected_tables num_expected_columns expected_tables expected_columns discovered_tables discovered_columns".split()
+
+
+def _own_name(field: str) -> str:
+    """The name that table_metrics() and column_metrics() have for a metric field."""
+    named = {"topn_table_accuracy": "top_n_accuracy", "topn_column_accuracy": "column_top_n_accuracy"}
+    return named.get(field) or field.removeprefix("table_").replace("joint_column_", "joint_")
+
+
+def result_rows(df: DataFrame, k: int = 10) -> DataFrame:
+    """The 52 fields of a result file for each question.
+
+    df: question_id, db_id, question, execution_time_ms, error and expected and found, arrays of struct<table, columns>, the found ones in their order.
+    """
+    flat = lambda c: F.coalesce(F.flatten(F.transform(c, lambda x: F.transform(F.coalesce(x["columns"], F.array()), lambda y: F.concat(x["table"], F.lit("."), y)))), F.array().cast("array<string>"))
+    tables = lambda c: F.coalesce(F.transform(c, lambda x: x["table"]), F.array().cast("array<string>"))
+    named = df.withColumn("_wanted", tables("expected")).withColumn("_given", tables("found"))
+    measured = table_metrics(named, "_wanted", "_given", k).join(column_metrics(df, "question_id", k=k), "question_id")
+    head = {
+        "num_expected_tables": F.size(F.array_distinct("_wanted")), "num_expected_columns": F.size(F.array_distinct(flat("expected"))),
+        "expected_tables": F.array_sort(F.array_distinct("_wanted")), "expected_columns": F.array_sort(F.array_distinct(flat("expected"))),
+        "discovered_tables": F.col("_given"), "discovered_columns": flat("found"),
+    }
+    return measured.select(*[head.get(c, F.col(c)).alias(c) for c in RESULT_HEAD], *[F.col(_own_name(c)).alias(c) for c in RESULT_METRICS], "error")
+
+
+def average_name(field: str) -> str:
+    return f"{field}_rate" if "_hit_at_" in field or field == "table_exact_match" else f"avg_{field}"
+
+
+def summary_rows(results: DataFrame) -> DataFrame:
+    """The 46 fields of a summary file for each database: counts, and means over the questions without an error."""
+    good = F.col("error").isNull()
+    means = [F.round(F.coalesce(F.avg(F.when(good, F.col(c).cast("double"))), F.lit(0.0)), 6).alias(average_name(c)) for c in ("execution_time_ms", *RESULT_METRICS)]
+    count = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return results.groupBy(F.lower("db_id").alias("db_id")).agg(F.count("*").alias("total_questions"), count(good, "successful_queries"), count(~good, "failed_queries"), *means)
+
+
 def summary(results: DataFrame, by: str, metrics: list[str], error: str = "error") -> DataFrame:
     """Averages over the successful questions of each database, and counts."""
     good = F.col(error).isNull()

@@ -118,21 +118,23 @@ def chunk_aggregate_avg(spark, d):
     return search.chunk_scores(_chunk_rows(spark, d), "doc_id", "share", "AVG")
 
 
-def _questions(spark, d):
-    """question_id, db_id, expected (ids with the query's label), found (20 ids in order)."""
-    hits = _hits(spark, d, 20)
-    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"].cast("string")).alias("found"))
+def _measured(spark, d):
+    """question_id, db_id and the metrics of the 20 nearest vectors, where those with the question's label are expected.
+
+    Whether a found vector is expected is whether its label is the question's: nothing lists what a label has.
+    """
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    asked = e.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "label")
-    same = asked.join(e, "label").where("id <> query_id").groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("expected"))
-    rows = asked.join(found, "query_id", "left").join(same, "query_id", "left")
-    empty = F.array().cast("array<string>")
-    return rows.select(F.col("query_id").alias("question_id"), F.concat(F.lit("DB"), "label").alias("db_id"), F.coalesce("expected", empty).alias("expected"), F.coalesce("found", empty).alias("found"))
+    sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n_expected"))
+    asked = e.where(F.col("id") % EVERY == 0).join(sizes, "label").select(F.col("id").alias("question_id"), F.concat(F.lit("DB"), "label").alias("db_id"), "n_expected", "label")
+    hits = top_n(_hits(spark, d, 20), ["query_id"], [F.desc("score"), F.asc("id")], 20).select(F.col("query_id").alias("question_id"), "rank", "id")
+    named = hits.join(e, "id").join(asked.select("question_id", F.col("label").alias("_asked")), "question_id")
+    found = named.select("question_id", "rank", F.col("id").cast("string").alias("name"), (F.col("label") == F.col("_asked")).alias("hit"))
+    return evaluate.counted_metrics(asked.drop("label"), found)
 
 
 def _metrics(*names):
     def query(spark, d):
-        return evaluate.table_metrics(_questions(spark, d)).select("question_id", *names)
+        return _measured(spark, d).select("question_id", *names)
 
     return query
 
@@ -141,7 +143,7 @@ SUMMARY_METRICS = ["precision", "recall", "f1", "mrr", "jaccard", "hit_at_1", "r
 
 
 def summary_by_db(spark, d):
-    rows = evaluate.table_metrics(_questions(spark, d))
+    rows = _measured(spark, d)
     failed = F.when(F.col("mrr") == 0, F.lit("nothing found"))
     return evaluate.summary(rows.withColumn("error", failed), "db_id", SUMMARY_METRICS)
 
@@ -294,6 +296,26 @@ def _order_sets(spark, d):
     return one.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.array_sort(F.collect_list(pair("e"))).alias("expected"), F.array_sort(F.collect_list(found)).alias("found"))
 
 
+def _results(spark, d):
+    """Orders as questions: brands and parts are tables and columns, prices stand for times, orders in progress for failures."""
+    orders = _table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("db_id"), F.concat(F.lit("order "), "o_orderkey").alias("question"),
+        F.col("o_totalprice").alias("execution_time_ms"), F.when(F.col("o_orderstatus") == "P", "in progress").alias("error"),
+    )
+    return evaluate.result_rows(_order_sets(spark, d).join(orders, "question_id"))
+
+
+def result_fields(spark, d):
+    """The fields of a result file; lists as it writes them."""
+    rows = _results(spark, d)
+    return rows.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in rows.dtypes])
+
+
+def summary_fields(spark, d):
+    """The fields of a summary file."""
+    return evaluate.summary_rows(_results(spark, d))
+
+
 def _column_metrics(*names):
     def query(spark, d):
         return evaluate.column_metrics(_order_sets(spark, d)).select("question_id", *names)
@@ -329,6 +351,8 @@ QUERIES = {
     "metrics_joint": _column_metrics(*JOINT),
     "metrics_topn": _column_metrics("column_top_n_accuracy"),
     "metrics_column_macro": _column_metrics(*MACRO),
+    "result_fields": result_fields,
+    "summary_fields": summary_fields,
     "summary_by_db": summary_by_db,
     "overall_weighted": overall_weighted,
     "evaluation_run": evaluation_run,
@@ -574,3 +598,38 @@ ORACLES["index_refresh"] = ORACLES["keyword_bm25"].replace("FROM documents", f"F
 _wanted = lambda where: f"(SELECT sum(least(10, (SELECT count(*) FROM embeddings e WHERE e.vec_id <> q.vec_id AND {where})))::BIGINT FROM embeddings q WHERE q.vec_id % 20 = 0)"
 ORACLES["ann_recall"] = f"SELECT metric, {_wanted('true')} AS wanted, true AS enough FROM (VALUES ('cosine'), ('dot'), ('l2')) v(metric)"
 ORACLES["filtered_ann"] = " UNION ALL ".join(f"SELECT {part}::INT AS one_in, {_wanted(f'e.vec_id % {part} = 0')} AS wanted, true AS enough" for part in (100, 10, 2))
+
+
+def _results_sql() -> str:
+    """All metrics of the orders' lists of brands (tables) and of their parts (columns)."""
+    columns = {}
+    for name, k in (("", None), ("_at_1", "1"), ("_at_3", "3"), ("_at_5", "5"), ("_at_k", "10")):
+        columns[name] = _prf(k)[:2]
+    means = ", ".join(f"avg({p}) AS p{n}, avg({r}) AS r{n}" for n, (p, r) in columns.items())
+    own = {f"column_{m}{n}": f"round({c}{n}, 6)::DOUBLE" for n in columns for m, c in (("precision", "p"), ("recall", "r"))} | {f"column_f1{n}": _f1(f"p{n}", f"r{n}") for n in columns}
+    own |= {"joint_column_precision": "round(jp, 6)::DOUBLE", "joint_column_recall": "round(jr, 6)::DOUBLE", "joint_column_f1": _f1("jp", "jr"), "topn_column_accuracy": "round(topn, 6)::DOUBLE"}
+    table = METRIC_SQL | {"recall_at_k": _recall(10)}
+    cols = []
+    for field in evaluate.RESULT_METRICS:
+        c = table.get(field.removeprefix("table_")) or table.get({"topn_table_accuracy": "top_n_accuracy"}.get(field, ""))
+        c = own.get(field) or (c if "_hit_at_" in field or field == "table_exact_match" else f"round({c}, 6)::DOUBLE")
+        cols.append(f"{c} AS {field}")
+    dots = lambda c: f"flatten(list(list_transform({c}, lambda x: brand || '.' || x) ORDER BY brand) FILTER (len({c}) > 0))"
+    one = ORDER_SETS.replace("lower(t) AS t", "t AS brand, lower(t) AS t")
+    return f"""{one}, m AS (SELECT question_id, {means}, avg({METRIC_SQL['top_n_accuracy']}) AS topn,
+  CASE WHEN sum(len(f)) = 0 THEN 0 ELSE sum(len(list_intersect(e, f))) / sum(len(f))::DOUBLE END AS jp, sum(len(list_intersect(e, f))) / sum(len(e))::DOUBLE AS jr,
+  list(t ORDER BY t) AS te, coalesce(list(t ORDER BY t) FILTER (len(f) > 0), []) AS tf, list(brand ORDER BY brand) AS eb, coalesce(list(brand ORDER BY brand) FILTER (len(f) > 0), []) AS fb,
+  {dots('e')} AS ec, coalesce({dots('f')}, []) AS fc FROM one GROUP BY question_id),
+res AS (SELECT question_id, o_orderpriority AS db_id, 'order ' || question_id AS question, o_totalprice AS execution_time_ms, len(eb)::INT AS num_expected_tables, len(ec)::INT AS num_expected_columns,
+  array_to_string(eb, '|') AS expected_tables, array_to_string(list_sort(ec), '|') AS expected_columns, array_to_string(fb, '|') AS discovered_tables, array_to_string(fc, '|') AS discovered_columns,
+  {', '.join(cols)}, CASE WHEN o_orderstatus = 'P' THEN 'in progress' END AS error FROM (SELECT * EXCLUDE (te, tf), te AS e, tf AS f FROM m) JOIN orders ON o_orderkey = question_id)"""
+
+
+def _summary_field(c: str) -> str:
+    value = f"{c}::INT" if "_hit_at_" in c or c == "table_exact_match" else c
+    return f"round(coalesce(avg({value}::DOUBLE) FILTER (error IS NULL), 0), 6)::DOUBLE AS {evaluate.average_name(c)}"
+
+
+ORACLES["result_fields"] = f"WITH {_results_sql()} SELECT * FROM res"
+ORACLES["summary_fields"] = f"""WITH {_results_sql()} SELECT lower(db_id) AS db_id, count(*) AS total_questions, count(*) FILTER (error IS NULL) AS successful_queries,
+count(*) FILTER (error IS NOT NULL) AS failed_queries, {', '.join(map(_summary_field, ('execution_time_ms', *evaluate.RESULT_METRICS)))} FROM res GROUP BY 1"""
