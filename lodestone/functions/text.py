@@ -13,6 +13,16 @@ such no nor not only own same so too very can will just should now of is are was
 did as it its their them they this that these those what which who whom why how please list tr pt within pattern
 """.split()
 
+#: The common list of English stop words; those with an apostrophe never are single tokens.
+ENGLISH_STOPWORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about against between into through
+during before after above below to from up down in out on off over under again further then once here there when where why how
+all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
+""".split()
+
 #: Stop classes of the index lexer beyond the default English list.
 INDEX_STOPWORDS = ["show", "want", "please", "column", "table", "view"]
 
@@ -54,7 +64,7 @@ KEYWORD_TABOO = ["tr", "pt", "within", "pattern"]
 
 def keyword_query_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """keyword_query over word tokens: only tokens of letters count, without stop words and words that hold an operator's name."""
-    stop = stopwords if stopwords is not None else QUESTION_STOPWORDS
+    stop = stopwords if stopwords is not None else ENGLISH_STOPWORDS
     bare = F.regexp_replace(F.lower(c), r"n't\b|'(s|re|ve|ll|d|m)\b", " ")
     words = F.split(bare, r"[^\p{L}\p{N}_'-]+")
     kept = F.filter(words, lambda w: w.rlike(r"^\p{L}+$") & ~w.isin(stop) & ~w.rlike("|".join(KEYWORD_TABOO)))
@@ -72,6 +82,22 @@ def chunks(words: Column, size: int = 100, overlap: int = 10) -> Column:
     return let(words, cut)
 
 
+#: A sentence: what leads up to marks that end one, or marks alone.
+SENTENCE = r"[^.!?]+[.!?]*|[.!?]+"
+
+
+def recursive_chunks(text: Column, size: int = 100, overlap: int = 10) -> Column:
+    """Chunks of at most `size` words, as arrays of words: paragraphs (lines) that are short enough; of others the sentences that are;
+    of other sentences windows of words that overlap. What has no words is no chunk."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    none = F.array().cast("array<array<string>>")
+    windows = lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(chunks(w, size, overlap))
+    sentences = lambda c: F.flatten(F.transform(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), lambda s: let(words(s), windows)))
+    paragraph = lambda c: let(words(c), lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(sentences(c)))
+    parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), paragraph))
+    return F.coalesce(F.filter(parts, lambda c: F.size(c) > 0), none)
+
+
 def annotation_text(pairs: Column, raw: Column) -> Column:
     """`name: value` (or the value alone) of each pair, joined; the collapsed raw text if nothing is left; null for null."""
     parts = F.filter(

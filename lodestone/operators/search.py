@@ -188,6 +188,28 @@ def fuse(
     return rows.select("query_id", "id", fused_score(*map(F.lit, (scorer, fusion, vector_weight, text_weight, vector_penalty, text_penalty))).alias("score"))
 
 
+def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 100, overlap: int = 10) -> DataFrame:
+    """(id: struct<doc, chunk>, text) of each chunk of recursive_chunks(), numbered from 0."""
+    parts = docs.select(F.col(key).alias("doc"), F.posexplode(T.recursive_chunks(F.col(text), size, overlap)).alias("chunk", "words"))
+    return parts.select(F.struct("doc", "chunk").alias("id"), F.array_join("words", " ").alias("text"))
+
+
+def chunk_search(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", aggregator: str = "MAX", best: int = 3, size: int = 100, overlap: int = 10) -> DataFrame:
+    """Search in chunks: (query_id, id, score, n_chunks, chunks) for each document with a chunk that BM25 over all chunks finds.
+
+    score: the largest or the mean score of the document's found chunks; chunks: its `best` chunks (chunk, score) in order.
+    """
+    if aggregator not in ("MAX", "AVG"):
+        raise ValueError("aggregator is MAX or AVG")
+    found = bm25(queries, chunked(docs, key, text, size, overlap), "id", "text").select("query_id", F.col("id.doc").alias("id"), F.col("id.chunk").alias("chunk"), "score")
+    order = W.partitionBy("query_id", "id").orderBy(F.desc("score"), "chunk")
+    ranked = found.withColumn("_nth", F.row_number().over(order))
+    first = F.array_sort(F.collect_list(F.when(F.col("_nth") <= best, F.struct("_nth", "chunk", "score"))))
+    score = F.max("score") if aggregator == "MAX" else F.round(F.avg("score"), 6)
+    rolled = ranked.groupBy("query_id", "id").agg(score.alias("score"), F.count("*").alias("n_chunks"), first.alias("_best"))
+    return rolled.select("query_id", "id", "score", "n_chunks", F.transform("_best", lambda x: F.struct(x["chunk"].alias("chunk"), x["score"].alias("score"))).alias("chunks"))
+
+
 def chunk_scores(chunks: DataFrame, key: str, score: str, aggregator: str = "MAX") -> DataFrame:
     """A document's score from those of its chunks."""
     agg = {"MAX": F.max, "AVG": F.avg}[aggregator]

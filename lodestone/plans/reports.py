@@ -107,7 +107,8 @@ _said = "CASE WHEN {x} <> '' AND lower({x}) NOT IN ('<comment>', 'comment', 'nul
 _field = " UNION ALL ".join(f"SELECT p_partkey AS id, '{f}' AS field, unnest({terms_sql(f)}) AS term FROM part" for f in ("p_name", "p_brand", "p_type"))
 _asked = ", ".join(f"({i}::BIGINT, '{f}', '{t}')" for i, f, t in FIELD_QUERIES)
 _bare = r"regexp_replace(lower(text), 'n''t\b|''(s|re|ve|ll|d|m)\b', ' ', 'g')"
-_tokens = rf"list_filter(regexp_split_to_array({_bare}, '[^\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_full_match(w, '\p{{L}}+') AND NOT list_contains([{_stop}], w) AND NOT regexp_matches(w, '{'|'.join(T.KEYWORD_TABOO)}'))"
+_english = ", ".join(f"'{w}'" for w in T.ENGLISH_STOPWORDS)
+_tokens = rf"list_filter(regexp_split_to_array({_bare}, '[^\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_full_match(w, '\p{{L}}+') AND NOT list_contains([{_english}], w) AND NOT regexp_matches(w, '{'|'.join(T.KEYWORD_TABOO)}'))"
 
 ORACLES = {
     "question_stats": f"""WITH {_suppliers}, q AS (SELECT count(*) AS t, sum(len(c)) AS c FROM s GROUP BY l_orderkey)

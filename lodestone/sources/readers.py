@@ -6,6 +6,7 @@ import csv
 import io
 import re
 import sqlite3
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -102,6 +103,59 @@ def json_rows(document: Column, path_type: str, field: str) -> Column:
     return F.from_json(document, path_type)[field]
 
 
+@dataclass(frozen=True)
+class Nested:
+    """An array in a JSON document, or in an element of another one: where it is, the columns of its elements, its ordinality, arrays within.
+
+    path: names joined by dots. columns: output name to (path, type); an element that is no object is its own value under the path ``.
+    """
+
+    path: str
+    columns: dict[str, tuple[str, str]]
+    ordinality: str | None = None
+    nested: Nested | None = None
+
+    def type(self) -> str:
+        """The type of the array, holding what the columns and the arrays within ask for."""
+        return f"array<{_json_type(self.columns, self.nested)}>"
+
+
+def _json_type(columns: dict[str, tuple[str, str]], nested: Nested | None) -> str:
+    own = [(p, t) for p, t in columns.values()]
+    if any(p == "" for p, _ in own):
+        return own[0][1]
+    tree: dict = {}
+    for path, kind in [*own, *([(nested.path, nested.type())] if nested else [])]:
+        at = tree
+        *way, last = path.split(".")
+        for name in way:
+            at = at.setdefault(name, {})
+        at[last] = kind
+    text = lambda t: t if isinstance(t, str) else "struct<" + ",".join(f"`{k}`:{text(v)}" for k, v in t.items()) + ">"
+    return text(tree)
+
+
+def json_table(df: DataFrame, document: str, columns: dict[str, tuple[str, str]], nested: Nested | None = None) -> DataFrame:
+    """Rows of a JSON document beside the frame's other columns: its own values, and a row for each element of nested arrays.
+
+    Elements are numbered from 1 where an ordinality is named. As with an outer join, a document without elements, or that is no JSON,
+    gives one row with nulls. The document is parsed once, to the fields that are asked for.
+    """
+    at = lambda c, path: c.getField(path) if "." not in path else at(c.getField(path.split(".")[0]), path.split(".", 1)[1])
+    carried = [c for c in df.columns if c != document]
+    rows = df.select(*carried, F.from_json(document, _json_type(columns, nested)).alias("_json"))
+    rows = rows.select(*carried, *[at(F.col("_json"), p).alias(n) for n, (p, _) in columns.items()], "_json")
+    carried += list(columns)
+    while nested is not None:
+        rows = rows.select(*carried, F.posexplode_outer(at(F.col("_json"), nested.path)).alias("_at", "_each"))
+        own = [(at(F.col("_each"), p) if p else F.col("_each")).alias(n) for n, (p, _) in nested.columns.items()]
+        place = [(F.col("_at") + 1).alias(nested.ordinality)] if nested.ordinality else []
+        rows = rows.select(*carried, *place, *own, F.col("_each").alias("_json"))
+        carried += [*([nested.ordinality] if nested.ordinality else []), *nested.columns]
+        nested = nested.nested
+    return rows.select(*carried)
+
+
 MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
 CREATED_NAME = r'(?i)create\s+table\s+(?:(?:"[^"]+"|[\w$]+)\.)?(?:"([^"]+)"|([\w$]+))'
 
