@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,7 +55,8 @@ def column_summary(spark, d):
 
 def catalog_columns(spark, d):
     found = corpus.catalog_columns(spark, {n: _table(spark, d, n) for n in NAMES})
-    return corpus.column_corpus(found).select("object_name", "pos", "column_name", "data_type")
+    counts = reduce(lambda a, b: a.union(b), [_table(spark, d, n).agg(F.lit(n).alias("object_name"), F.count("*").alias("n_rows")) for n in NAMES])
+    return corpus.column_corpus(found).select("object_name", "pos", "column_name", "data_type").join(counts, "object_name")
 
 
 def object_corpus(spark, d):
@@ -128,6 +131,7 @@ QUERIES = {
     )
 }
 
+_counts = " UNION ALL ".join(f"SELECT '{n}' AS object_name, count(*) AS n_rows FROM {n}" for n in NAMES)
 CATALOG = {
     "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
@@ -151,7 +155,7 @@ l_extendedprice, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY rank <
     "outer_apply_annotations": """SELECT o_orderkey, o_orderstatus, annotation FROM orders LEFT JOIN (SELECT l_orderkey,
 string_agg(l_returnflag || ': ' || l_partkey, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag || ': ' || l_partkey) AS annotation FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
     "column_summary": "SELECT source, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS column_summary FROM documents GROUP BY source",
-    "catalog_columns": f"SELECT object_name, pos, column_name, data_type FROM (VALUES {_catalog}) v(object_name, pos, column_name, data_type)",
+    "catalog_columns": f"SELECT object_name, pos, column_name, data_type, n_rows FROM (VALUES {_catalog}) v(object_name, pos, column_name, data_type) JOIN ({_counts}) USING (object_name)",
     "object_corpus": f"SELECT object_name, column_summary, object_name || ' main TABLE ' || column_summary AS search_text FROM (VALUES {_objects}) v(object_name, column_summary)",
     "upsert_merge": """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE NOT c_acctbal > 5000 OR c_acctbal IS NULL
 UNION ALL SELECT c_custkey, upper(c_name), round(c_acctbal + 1, 2) FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey + 10000000000, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000""",

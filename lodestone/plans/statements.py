@@ -1,7 +1,10 @@
-"""SQL tooling: lineage, dialect rewriting, DDL, sweeps; inputs are fixed statements."""
+"""SQL tooling: lineage, dialect rewriting, DDL, sweeps. Statements are forms that the rows of a table fill in, one of each form for each row."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from lodestone.operators import ddl, dialect, lineage, sweep
 
 STATEMENTS = [
@@ -51,17 +54,46 @@ MATRIX = {"modes": ["unified", "parallel"], "search_types": ["vector", "hybrid"]
           "scorer_overrides": {"RSF": {"vector_score_weight": [10], "text_score_weight": [2, 4, 6, 8, 10]}, "RRF": {"vector_rank_penalty": [1, 2, 3, 4], "text_rank_penalty": [5]}}}
 
 
+def _named(c: Column, names: list[str]) -> Column:
+    """Names in a text get the row's key."""
+    for name in names:
+        c = F.replace(c, F.lit(name), F.concat(F.lit(f"{name}_"), "key"))
+    return c
+
+
+def _filled(df: DataFrame, forms: list[tuple[int, str]], names: list[str], label: str | None = None) -> DataFrame:
+    """(key, statement, SQL): every form for every row of (key, label); a label stands as a literal at the start."""
+    rows = df.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("statement"), F.lit(sql).alias("SQL")) for k, sql in forms])))
+    sql = _named(F.col("SQL"), names)
+    if label:
+        sql = F.concat(F.lit("SELECT '"), label, F.lit("' AS own, "), F.substring(sql, F.lit(len("SELECT ") + 1), F.length(sql)))
+    return rows.select("key", "statement", sql.alias("SQL"))
+
+
+TABLES = ["orders", "customer", "lineitem", "nation", "region", "part", "supplier"]
+
+
+def _parts(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"), "p_size")
+
+
 def lineage_tables(spark, d):
-    return spark.createDataFrame(lineage.lineage_rows(STATEMENTS), "statement long, table_name string, column_name string")
+    """Tables and columns of statements over tables of each supplier's own."""
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
+    return lineage.lineage_frame(_filled(suppliers, STATEMENTS, TABLES))
 
 
 def lineage_catalyst(spark, d):
-    rows = [(k, t) for k, sql in STATEMENTS for t in lineage.catalyst_relations(spark, sql)[0]]
-    return spark.createDataFrame(rows, "statement long, table_name string")
+    """The same tables by Spark's own parser, which runs on the driver: statements of each nation (a table of fixed size)."""
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("key"))
+    asked = _filled(nations, STATEMENTS, TABLES).collect()
+    rows = [(r["key"], r["statement"], t) for r in asked for t in lineage.catalyst_relations(spark, r["SQL"])[0]]
+    return spark.createDataFrame(rows, "key int, statement int, table_name string")
 
 
 def dialect_rewrite(spark, d):
-    return spark.createDataFrame([(k, dialect.to_spark(sql)) for k, sql, _ in SQLITE], "statement long, rewritten string")
+    """Statements over tables of each part's own, which hold the part's name."""
+    return dialect.rewritten(_filled(_parts(spark, d), [(k, sql) for k, sql, _ in SQLITE], [" FROM t"], "label"))
 
 
 def dialect_executed(spark, d):
@@ -69,20 +101,37 @@ def dialect_executed(spark, d):
     return spark.sql(dialect.to_spark(EXECUTED))
 
 
+NAMES = ["molecule", "atom", "bond"]
+
+
+def _definitions(spark, d):
+    return _filled(_parts(spark, d).where("p_size <= 25"), list(enumerate(DDL, 1)), NAMES)
+
+
 def ddl_parse(spark, d):
-    return spark.createDataFrame(ddl.rows_of(DDL)[0], "table_name string, pos int, column_name string, source_type string, target_type string, spark_type string, is_primary boolean, is_required boolean, default_value string")
+    """Columns of tables that are defined for each of the smaller parts."""
+    return ddl.parsed(_definitions(spark, d)).drop("statement")
 
 
 def fk_numbering(spark, d):
-    return spark.createDataFrame(ddl.rows_of(DDL)[1], "table_name string, constraint_name string, columns string, target string, target_columns string, on_delete string")
+    """Foreign keys of these tables, numbered over all statements."""
+    return ddl.foreign_keys(_definitions(spark, d), "statement").drop("statement")
 
 
 def type_map(spark, d):
-    return spark.createDataFrame([(t, ddl.target_type(t)) for t in TYPE_NAMES], "source_type string, target_type string")
+    """Target types of fixed type names and of types with sizes from each part."""
+    sized = [F.concat(F.lit("VARCHAR("), "key", F.lit(")")), F.concat(F.lit("DECIMAL("), "p_size", F.lit(",2)"))]
+    types = _parts(spark, d).select("key", F.explode(F.array(*[F.lit(t) for t in TYPE_NAMES], *sized)).alias("source_type"))
+    return ddl.mapped_types(types).drop("spark_type")
 
 
 def sweep_matrix(spark, d):
-    return sweep.sweep_frame(spark, MATRIX)
+    """Every run of a sweep over every database (order priorities), with the place of its results."""
+    runs = sweep.sweep_frame(spark, MATRIX)
+    paths = spark.createDataFrame([(i, sweep.result_path("results", "csv", r)) for i, r in enumerate(sweep.expand(MATRIX), 1)], "run_id long, path string")
+    databases = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("db_id")).agg(F.count("*").alias("questions"))
+    each = databases.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(len(sweep.expand(MATRIX))).cast("long"))).alias("run_id"))
+    return each.join(runs, "run_id").join(paths, "run_id").withColumn("path", F.concat_ws("/", "path", "db_id"))
 
 
 QUERIES = {f.__name__: f for f in (lineage_tables, lineage_catalyst, dialect_rewrite, dialect_executed, ddl_parse, fk_numbering, type_map, sweep_matrix)}
@@ -98,16 +147,30 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) v({names})"
 
 
+def _renamed(c: str, names: list[str], key: str) -> str:
+    for name in names:
+        c = f"replace({c}, '{name}', '{name}_' || {key})"
+    return c
+
+
 ORACLES = {
-    "lineage_tables": _values([(k, t, c) for k, t, cs in LINEAGE for c in cs], "statement, table_name, column_name"),
-    "lineage_catalyst": _values([(k, t) for k, t, _ in LINEAGE], "statement, table_name"),
-    "dialect_rewrite": _values([(k, r) for k, _, r in SQLITE], "statement, rewritten"),
+    "lineage_tables": f"SELECT s_suppkey AS key, statement, {_renamed('table_name', TABLES, 's_suppkey')} AS table_name, {_renamed('column_name', TABLES, 's_suppkey')} AS column_name FROM supplier, ({_values([(k, t, c) for k, t, cs in LINEAGE for c in cs], 'statement, table_name, column_name')})",
+    "lineage_catalyst": f"SELECT n_nationkey AS key, statement, {_renamed('table_name', TABLES, 'n_nationkey')} AS table_name FROM nation, ({_values([(k, t) for k, t, _ in LINEAGE], 'statement, table_name')})",
+    "dialect_rewrite": f"SELECT p_partkey AS key, statement, 'SELECT ' || chr(39) || p_name || chr(39) || ' AS own, ' || {_renamed('rewritten', [' FROM t'], 'p_partkey')}[8:] AS rewritten FROM part, ({_values([(k, r) for k, _, r in SQLITE], 'statement, rewritten')})",
     "dialect_executed": "SELECT o_orderpriority AS priority, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::DOUBLE AS large, count(*) AS n, max(strftime(o_orderdate, '%Y')) AS last_year, max(strftime(o_orderdate, '%j week %W of %Y')) AS last_day, max(trunc(o_totalprice / 1000)::BIGINT::VARCHAR) AS thousands, max(last_day(o_orderdate::DATE)) AS last_month FROM orders WHERE o_orderstatus GLOB '[FO]' GROUP BY 1",
-    "ddl_parse": _values(COLUMNS, "table_name, pos, column_name, source_type, target_type, spark_type, is_primary, is_required, default_value"),
-    "fk_numbering": _values(KEYS, "table_name, constraint_name, columns, target, target_columns, on_delete"),
-    "type_map": _values(list(zip(TYPE_NAMES, TYPE_MAP, strict=True)), "source_type, target_type"),
+    "ddl_parse": f"""SELECT p_partkey AS key, v.* REPLACE ({_renamed('table_name', NAMES, 'p_partkey')} AS table_name, {_renamed('column_name', NAMES, 'p_partkey')} AS column_name)
+FROM part, ({_values(COLUMNS, 'table_name, pos, column_name, source_type, target_type, spark_type, is_primary, is_required, default_value')}) v WHERE p_size <= 25""",
+    "fk_numbering": f"""SELECT p_partkey AS key, {_renamed('table_name', NAMES, 'p_partkey')} AS table_name, replace(replace(constraint_name, 'ATOM', 'ATOM_' || p_partkey), 'BOND', 'BOND_' || p_partkey) AS constraint_name,
+{', '.join(f"{_renamed(c, NAMES, 'p_partkey')} AS {c}" for c in ('columns', 'target', 'target_columns'))}, on_delete FROM part, ({_values(KEYS, 'table_name, constraint_name, columns, target, target_columns, on_delete')}) WHERE p_size <= 25""",
+    "type_map": f"""SELECT p_partkey AS key, source_type, target_type FROM part, ({_values(list(zip(TYPE_NAMES, TYPE_MAP, strict=True)), "source_type, target_type")})
+UNION ALL SELECT p_partkey, 'VARCHAR(' || p_partkey || ')', CASE WHEN p_partkey > 4000 THEN 'CLOB' ELSE 'VARCHAR2(' || p_partkey || ')' END FROM part
+UNION ALL SELECT p_partkey, 'DECIMAL(' || p_size || ',2)', 'NUMBER(' || p_size || ',2)' FROM part""",
     "sweep_matrix": """WITH m AS (SELECT * FROM (VALUES (1, 'unified'), (2, 'parallel')) v(i, mode)),
 r AS (SELECT 0 AS j, 'vector' AS search_type, NULL AS scorer, NULL::DOUBLE AS vw, NULL::DOUBLE AS tw, NULL::DOUBLE AS vp, NULL::DOUBLE AS tp
 UNION ALL SELECT n, 'hybrid', 'RSF', 10, n * 2, NULL, NULL FROM range(1, 6) x(n) UNION ALL SELECT 5 + n, 'hybrid', 'RRF', NULL, NULL, n, 5 FROM range(1, 5) x(n))
-SELECT row_number() OVER (ORDER BY i, j) AS run_id, mode, search_type, 'single-user' AS dataset_form, scorer, vw AS vector_score_weight, tw AS text_score_weight, vp AS vector_rank_penalty, tp AS text_rank_penalty FROM m, r""",
+, runs AS (SELECT row_number() OVER (ORDER BY i, j) AS run_id, mode, search_type, 'single-user' AS dataset_form, scorer, vw AS vector_score_weight, tw AS text_score_weight, vp AS vector_rank_penalty,
+  tp AS text_rank_penalty, 'results/csv/' || mode || CASE WHEN scorer IS NULL THEN '/vector' ELSE '/hybrid/' || scorer END || '/single-user/' || CASE WHEN scorer = 'RSF' THEN 'text_score_weight=' || tw::INT
+  || '_vector_score_weight=' || vw::INT WHEN scorer = 'RRF' THEN 'text_rank_penalty=' || tp::INT || '_vector_rank_penalty=' || vp::INT ELSE 'default' END AS path FROM m, r),
+db AS (SELECT o_orderpriority AS db_id, count(*) AS questions FROM orders GROUP BY 1)
+SELECT runs.* REPLACE (path || '/' || db_id AS path), db_id, questions FROM runs, db""",
 }

@@ -184,3 +184,25 @@ def test_sweeps():
         sweep.resolved({"score_threshold": 60})
     assert sweep.parse_config('# c\n{"modes": ["unified"]}') == {"modes": ["unified"]}
     assert sweep.result_path("r", "csv", {"mode": "unified", "search_type": "hybrid", "scorer": "RSF", "dataset_form": "one", "text_score_weight": 2.0}) == "r/csv/unified/hybrid/RSF/one/text_score_weight=2"
+
+
+def test_qualified_tables_and_moments(spark):
+    assert lineage.tables_of("SELECT a FROM db.t1 x JOIN s.db.t2 ON x.a = t2.b")[0] == ["t1", "t2"]
+    assert lineage.columns_of("SELECT x.a FROM db.t1 AS x")["t1"] == ["a"]
+    moved = lambda sql: spark.sql(dialect.to_spark(f"SELECT date({sql}) AS d")).first().d.isoformat()
+    assert moved("'2024-01-31', '+1 month'") == "2024-03-02" and moved("'2024-02-29', '-1 year'") == "2023-03-01" and moved("'2023-01-31', '+1 month', 'start of month'") == "2023-03-01"
+    assert moved("'2024-05-05', 'localtime'") == moved("'2024-05-05', 'utc'") == "2024-05-05"  # the session is in UTC
+    assert spark.sql(dialect.to_spark("SELECT date('now', 'localtime') AS d")).first().d
+
+
+def test_rows_of_a_function(spark):
+    from lodestone.operators.perrow import flat_rows
+
+    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "k int, t string")
+    got = flat_rows(df, "t", lambda t: [(w, len(w)) for w in t.split()], "word string, n int")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 1)]
+
+
+def test_foreign_keys_are_numbered_over_all_statements(spark):
+    df = spark.createDataFrame([(2, "CREATE TABLE t (a INT REFERENCES x (i))"), (1, "CREATE TABLE T (b INT, c INT, FOREIGN KEY (b) REFERENCES y (j), FOREIGN KEY (c) REFERENCES z (k))")], "n int, SQL string")
+    assert sorted((r.constraint_name, r.columns) for r in ddl.foreign_keys(df, "n").collect()) == [("FK_T_1", "b"), ("FK_T_2", "c"), ("FK_T_3", "a")]
