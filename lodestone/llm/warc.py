@@ -24,8 +24,8 @@ from . import common
 
 #: Headers of a 304 that never replace stored ones (RFC 9111, section 3.2; RFC 9110, section 7.6.1).
 NOT_MERGED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
-#: Query parameters that name a session or a campaign and not a page.
-NO_PAGE = "utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid|jsessionid|sid"
+#: Query parameters that name a session or a campaign and not a page. Short names (ref, sid) often name a page, so they stay.
+NO_PAGE = "utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid"
 
 HEADERS = "array<struct<name:string,value:string>>"
 
