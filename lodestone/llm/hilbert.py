@@ -5,7 +5,8 @@ step holds a like share of rows. The steps' bits walk a state table of the Hilbe
 curve index; rows sort by it, and runs of the sorted order are cut into shards whose counts differ by one at most.
 Neighbours on the curve are neighbours in every dimension, so the files of a shard have narrow ranges in all of them.
 The global position comes from positions within range partitions plus the partitions' offsets: no row passes a
-single task. Within a cell of the curve equal texts stand together.
+single task. Rows of a group (equal texts) take the group's smallest place on the curve, so they stand together wherever their own
+metadata would put them; only a cut between shards can part them, as counts differ by one at most.
 
 Edge cases: null sizes count as 0 bytes, null categories sort first; rows repeated in full are told apart by their
 place in the input; with fewer rows than shards the last shards stay empty; an empty table gives an empty table;
@@ -131,14 +132,30 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.join(ranks, F.col(name).eqNullSafe(F.col("_value"))).withColumn(name, F.col("_rank")).drop("_value", "_rank")
 
 
-def shard_table(df: DataFrame, dims: dict[str, Column], ties: list[str], keep: list[str], shards: int = 8, bits: int = 5) -> DataFrame:
-    """Columns keep, curve, shard, slot: rows in the order of the Hilbert index over dims (numbers or strings), then ties."""
+def together(rows: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """Dimensions of a group's rows become those of its smallest row. Only groups that differ in them are joined; large ones are spread."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in group])
+    place = F.struct(*names)
+    mixed = rows.groupBy(key.alias("_group")).agg(F.min(place).alias("_least"), F.max(place).alias("_most"), F.count("*").alias("rows")).where("_least <> _most").drop("_most")
+    mixed = common.staged(mixed, "shard-groups")
+    joined = common.spread_join(rows.withColumn("_group", key), mixed, "_group", "rows", rows.count(), "_row", how="left")
+    own = [F.when(F.col("_least").isNotNull(), F.col(f"_least.{n}")).otherwise(F.col(n)).alias(n) for n in names]
+    return joined.select(*[c for c in rows.columns if c not in names], *own)
+
+
+def shard_table(df: DataFrame, dims: dict[str, Column], ties: list[str], keep: list[str], shards: int = 8, bits: int = 5, group: list[str] | None = None) -> DataFrame:
+    """Columns keep, curve, shard, slot: rows in the order of the Hilbert index over dims (numbers or strings), then ties.
+
+    Rows that agree in the columns `group`, which are the first ties, stand together.
+    """
     names = [f"_d{k}" for k in range(len(dims))]
     small = common.staged(
         df.select(*dict.fromkeys([*keep, *ties]), *[c.alias(n) for n, c in zip(names, dims.values(), strict=True)], F.monotonically_increasing_id().alias("_row")), "shard-keys"
     )
     for name in [n for n, kind in small.dtypes if n in names and kind == "string"]:
         small = numbered(small, name)
+    if group:
+        small = together(small, group, names)
     ordered = small.withColumn("curve", hilbert_index(quantised(small, names, bits), bits))
     placed = positions(ordered, ["curve", *names, *ties, "_row"], "shard-order")
     shard, slot = cut(F.col("position"), F.col("total"), shards)
@@ -158,5 +175,5 @@ def op8_hilbert_shards(spark, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32")
     )
     dims = {"lang": string_number(F.col("lang")), "source": string_number(F.col("source")), "size": size_number(F.col("size"))}
-    out = shard_table(rows, dims, ["text_crc32", "doc_id"], ["doc_id", "size", "text_crc32"])
+    out = shard_table(rows, dims, ["text_crc32", "size", "doc_id"], ["doc_id", "size", "text_crc32"], group=["text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
