@@ -121,17 +121,26 @@ def lines_of(text: str) -> tuple[list[tuple[str, list[str], bool]], int]:
     return found, repeats
 
 
-def fit(documents: list[tuple[int, str]], lines: int = 200, seed: int = 7) -> crf.Model | None:
+def sampled_bins(text: str, lines: int = 200) -> np.ndarray:
+    """Binned statistics of a text's lines, or of `lines` of them that lie evenly in it."""
+    found, _ = lines_of(text)
+    if len(found) > lines:
+        found = [found[i] for i in np.linspace(0, len(found) - 1, lines).astype(int)]
+    return bins(np.array([line_statistics(*x) for x in found])) if found else np.empty((0, 0), np.int64)
+
+
+def fit(documents: list[tuple[int, str]], seed: int = 7) -> crf.Model | None:
     """documents: (1 for good or 0 for bad, text). None unless both kinds occur."""
+    return fit_bins([(quality, sampled_bins(text)) for quality, text in sorted(documents)], seed)
+
+
+def fit_bins(documents: list[tuple[int, np.ndarray]], seed: int = 7) -> crf.Model | None:
+    """fit() on the sampled_bins() of the texts, in the order of ratings and texts."""
     rows: dict[tuple[int, ...], int] = {}
     sequences, good = [], []
-    for quality, text in sorted(documents):
-        found, _ = lines_of(text)
-        if not found:
+    for quality, ids in documents:
+        if not len(ids):
             continue
-        if len(found) > lines:
-            found = [found[i] for i in np.linspace(0, len(found) - 1, lines).astype(int)]
-        ids = bins(np.array([line_statistics(*x) for x in found]))
         kinds = np.array([rows.setdefault(tuple(r), len(rows)) for r in ids.tolist()])
         sequences.append((kinds, np.full(len(kinds), 0 if quality else 1)))
         good.append(bool(quality))
@@ -145,7 +154,8 @@ def fit(documents: list[tuple[int, str]], lines: int = 200, seed: int = 7) -> cr
 
 
 def fit_table(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "doc_id", rating: str = "quality", per_label: int = 1500) -> crf.Model | None:
-    """Fit on at most `per_label` documents of either rating (2 * per_label texts go to the driver)."""
+    """Fit on at most `per_label` documents of either rating. Their lines are sampled and measured where they are; the driver gets numbers only."""
+    common.ship(docs.sparkSession)
     rated = ratings.where(F.col(rating).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(rating).cast("int").alias("_rating"))
     counts = {r["_rating"]: r["count"] for r in rated.groupBy("_rating").count().collect()}
     if len(counts) < 2:
@@ -157,7 +167,14 @@ def fit_table(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str
     chosen = hashed.withColumn("_nth", nth).where(F.col("_nth") <= per_label).groupBy("_key").agg(F.min("_rating").alias("_rating"))
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     found = texts.join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("_rating").alias("_rating"), F.min("_text").alias("_text"))  # chosen: 2 * per_label rows at most
-    return fit([(r["_rating"], r["_text"]) for r in found.orderBy("_key").collect()])
+
+    def run(batches):
+        for piece in common.slices(batches, "_text"):
+            made = [sampled_bins(t) for t in piece.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("_rating"), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([m.astype("<i4").tobytes() for m in made], pa.binary())], ["rating", "width", "bins"])
+
+    rows = found.orderBy("_rating", "_text", "_key").select("_rating", "_text").mapInArrow(run, "rating int, width int, bins binary").collect()  # per_label * 2 at most, 200 lines each
+    return fit_bins([(r["rating"], np.frombuffer(r["bins"], "<i4").reshape(-1, max(1, r["width"]))) for r in rows])
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
