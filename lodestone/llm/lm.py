@@ -332,29 +332,42 @@ class StoredPart:
         return self.kinds[columns, kind]
 
 
+#: Mapped files that a table of a worker holds open; the one that was opened first is let go for the next.
+MOST_OPEN = 4096
+
+
+def opened(known: dict, p: int, open_: Callable):
+    """known[p], opened if it is not there; None where there is no such file."""
+    if p not in known:
+        while len(known) >= MOST_OPEN:
+            del known[next(iter(known))]
+        try:
+            known[p] = open_(p)
+        except FileNotFoundError:
+            known[p] = None
+    return known[p]
+
+
 @dataclass
 class Table:
-    """Stored parts; they are opened where they are needed."""
+    """Stored parts; they are opened where they are needed. Parts without rows may have no file: no list of parts goes to the workers."""
 
     folder: str
-    rows: list[int]
     columns: int = 1
-    _open: dict[int, StoredPart] = field(default_factory=dict)
+    _open: dict[int, StoredPart | None] = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def part(self, p: int) -> StoredPart:
-        if p not in self._open:
-            self._open[p] = StoredPart(self.folder, p)
-        return self._open[p]
+    def part(self, p: int) -> StoredPart | None:
+        return opened(self._open, p, lambda q: StoredPart(self.folder, q))
 
     def groups(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(part, kind="stable")
         edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             p = int(part[order[a]])
-            if self.rows[p]:
+            if self.part(p) is not None:
                 yield p, order[a:b]
 
     def find(self, h: np.ndarray, part: np.ndarray, columns: slice = slice(None)) -> np.ndarray:
@@ -368,18 +381,16 @@ class Table:
 
 @dataclass
 class Words(Table):
-    """Words by hash; their ids are their places in all parts."""
+    """Words by hash; their ids are their places in all parts, of which there are as many as partitions of the texts."""
 
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # the first id of each part, and the number of words
     n_texts: int = 0
 
-    def __post_init__(self):
-        self.first = np.cumsum([0, *self.rows])
-
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each hash."""
         own, _, at = distinct(h)
         place, count = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
-        for p, some in self.groups(part_of(own, len(self.rows))):
+        for p, some in self.groups(part_of(own, len(self.first) - 1)):
             found, there = self.part(p).search(own[some])
             place[some[there]] = found[there] + self.first[p]
             count[some[there]] = self.part(p).values(found[there])[0]
@@ -456,10 +467,10 @@ class KneserNey:
         out = np.zeros((len(STATISTICS) + 1, len(own)), np.int64)
         edges = np.searchsorted(own, np.arange(0, self.n_words + 1 + self.id_rows, self.id_rows))
         for p in np.flatnonzero(np.diff(edges)):
-            if p not in self._dense:
-                self._dense[p] = map_array(f"{self.folder}/ids", str(p), "u8").reshape(len(STATISTICS) + 1, -1)
+            part = opened(self._dense, int(p), lambda q: map_array(f"{self.folder}/ids", str(q), "u8").reshape(len(STATISTICS) + 1, -1))
             a, b = edges[p], edges[p + 1]
-            out[:, a:b] = self._dense[p][:, own[a:b] - p * self.id_rows]
+            if part is not None:
+                out[:, a:b] = part[:, own[a:b] - p * self.id_rows]
         return out[:, at]
 
 
@@ -570,6 +581,20 @@ def _heads(df: DataFrame) -> dict[int, list[int]]:
     return {-1 - r["part"]: np.frombuffer(r["block"], np.int64).tolist() for r in df.where("part < 0").collect()}
 
 
+def _totals(df: DataFrame, width: int) -> list[int]:
+    """The sums of all parts' rows of sums, added up in the tasks first: a row for each task comes to the driver."""
+
+    def run(batches):
+        total = np.zeros(width, np.int64)
+        for b in batches:
+            for x in b.column("block").to_pylist():
+                total += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["block"])
+
+    rows = df.where("part < 0").select("block").mapInArrow(run, "block binary").collect()
+    return np.sum([np.frombuffer(r["block"], np.int64) for r in rows], axis=0, dtype=np.int64).tolist() if rows else [0] * width
+
+
 def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     """Count and store a model of all texts of the frame."""
     if order < 2:
@@ -591,8 +616,9 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     counted = texts.mapInArrow(lambda b: counted_words(b, parts), BLOCKS)
     with common.cleaned(spark):
         stored = _heads(counted.groupBy("part").applyInArrow(store_words, BLOCKS))
-    words = Words(f"{folder}/words", [stored[p][0] if p in stored else 0 for p in range(parts)], n_texts=sum(x[2] for x in stored.values()))
-    packing, n_tokens = Packing(sum(words.rows)), sum(x[1] for x in stored.values())
+    first = np.cumsum([0, *(stored[p][0] if p in stored else 0 for p in range(parts))])
+    words = Words(f"{folder}/words", first=first, n_texts=sum(x[2] for x in stored.values()))
+    packing, n_tokens = Packing(int(first[-1])), sum(x[1] for x in stored.values())
     # Every token ends one n-gram of the order; each of them reports to two shorter ones at most.
     parts_of = {k: max(1, -(-n_tokens // PART_ROWS)) for k in range(2, order + 1)}
     id_rows = -(-(packing.n_words + 1) // parts_of[2])
@@ -654,13 +680,12 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
     rows, last = texts.mapInArrow(lambda b: gathered(b, words, keys_of, parts_for), BLOCKS), []
     for k in range(order, 1, -1):
         reported = common.staged(rows.groupBy("part").applyInArrow(store_grams(k), BLOCKS), f"kneser-ney-{k - 1}", done=last)
-        heads = _heads(reported)
-        of = lambda j: [heads[p][j] if p in heads else 0 for p in range(parts_of[k])]  # noqa: E731, B023
-        model.grams[k] = Table(f"{folder}/{k}", of(0), 1 if k == order else len(STATISTICS) + 1)
-        model.discounts[k] = discounts([sum(of(j)) for j in (2, 3, 4, 5)])
+        sums = _totals(reported, 7 if k > 2 else 6)
+        model.grams[k] = Table(f"{folder}/{k}", 1 if k == order else len(STATISTICS) + 1)
+        model.discounts[k] = discounts(sums[2:6])
         if k > 2:
-            model.contexts[k - 1] = Table(f"{folder}/{k - 1}-contexts", of(6), len(STATISTICS))
-        model.n_pairs = sum(of(1))
+            model.contexts[k - 1] = Table(f"{folder}/{k - 1}-contexts", len(STATISTICS))
+        model.n_pairs = sums[1]
         rows, last = reported.where("part >= 0"), [reported]
 
     def store_ids(key: tuple, table: pa.Table) -> pa.Table:
@@ -674,9 +699,8 @@ def train(df: DataFrame, text: str = "text", order: int = 2) -> KneserNey:
         return pa.Table.from_batches([_head(part, [*(int((n == c).sum()) for c in (1, 2, 3, 4)), int((n > 2).sum())])])
 
     with common.cleaned(spark):
-        of_ids = list(_heads(rows.groupBy("part").applyInArrow(store_ids, BLOCKS)).values())
+        of_words = _totals(rows.groupBy("part").applyInArrow(store_ids, BLOCKS), 5)
     common.drop(*last)
-    of_words = [sum(x[j] for x in of_ids) for j in range(5)]
     d = model.discounts[1] = discounts(of_words[:4])
     model.left_over = float(d[1] * of_words[0] + d[2] * of_words[1] + d[3] * of_words[4]) / model.n_pairs if model.n_pairs else 1.0
     return model

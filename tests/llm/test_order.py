@@ -73,3 +73,18 @@ def test_tokens_against_splitting():
     assert len(words) == len(hashes)
     assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist(), strict=True)))
     assert len(lm.tokens([])[0]) == 0
+
+
+def test_state_of_many_parts_stays_small(tmp_path, monkeypatch):
+    import pickle
+
+    monkeypatch.setattr(lm, "MOST_OPEN", 50)
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    part = lm.part_of(h, 100_000)
+    for p in np.unique(part)[:300]:
+        lm.store_table(str(tmp_path), int(p), h[part == p], [np.arange(1, 1 + int((part == p).sum()), dtype=np.uint64)])
+    table = lm.Table(str(tmp_path))
+    stored = np.isin(part, np.unique(part)[:300])
+    assert (table.find(h, part)[0] > 0).tolist() == stored.tolist()  # parts without a file hold nothing
+    assert len(table._open) <= 50 and len(pickle.dumps(table)) < 1000
