@@ -29,11 +29,17 @@ def catalog_tables(spark: SparkSession, hidden: tuple[str, ...] = ("all_%_search
     return found
 
 
-def object_corpus(columns: DataFrame) -> DataFrame:
-    """One row an object, with its column names in order and the text that is searched."""
+def object_corpus(columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """One row an object, with its column names in order and the text that is searched.
+
+    tables: object_name, comment_text, annotation, one row each, whose texts are searched too.
+    """
     names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "column_name"))), lambda x: x["column_name"])
     rows = columns.groupBy("owner", "object_name", "object_type").agg(F.array_join(names, " ").alias("column_summary"))
-    return rows.withColumn("search_text", F.concat_ws(" ", "object_name", "owner", "object_type", "column_summary"))
+    fields = ["object_name", "owner", "object_type"]
+    if tables is not None:
+        rows, fields = rows.join(tables.select("object_name", "comment_text", "annotation"), "object_name", "left"), [*fields, "comment_text", "annotation"]
+    return rows.withColumn("search_text", F.concat_ws(" ", *fields, "column_summary"))
 
 
 def column_corpus(columns: DataFrame) -> DataFrame:

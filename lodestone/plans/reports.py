@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import corpus, ddl, evaluate, ranking, search
+from lodestone.operators import corpus, ddl, evaluate, observed, ranking, search
+from lodestone.operators.frozen import scratch
 from lodestone.plans.retrieval import terms_sql
 from lodestone.plans.texts import _first, _flat, _stop
 
@@ -62,6 +63,27 @@ def unified_corpus(spark, d):
     return corpus.unified_corpus(columns, tables)
 
 
+def object_texts(spark, d):
+    """Objects of each customer's nation and segment, with comments and annotations from the nations, and customers of high numbers as columns."""
+    c = _table(spark, d, "customer").where("c_custkey % 10 = 0")
+    columns = c.select(
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("object_name"), F.lit("main").alias("owner"), F.lit("VIEW").alias("object_type"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("column_name")
+    )
+    n = _table(spark, d, "nation").where("n_nationkey % 5 <> 4")
+    tables = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("object_name"), F.col("n_name").alias("comment_text"), F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("annotation"))
+    return corpus.object_corpus(columns, tables).select("object_name", "column_summary", "search_text")
+
+
+def per_database_run(spark, d):
+    """Documents by language as databases, each with an index of its own; what was set up, asked and found, and that times were taken."""
+    docs = _table(spark, d, "documents").select(F.col("lang").alias("db_id"), F.col("doc_id").alias("id"), "text")
+    asked = _table(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", "text")
+    questions = docs.select("db_id").distinct().select("db_id", F.lit(1).alias("_one")).join(asked.withColumn("_one", F.lit(1)), "_one").select("db_id", F.col("item_id").alias("query_id"), "text")
+    _, times = observed.run_by_database(docs, questions, f"{scratch(spark)}/databases", 10)
+    timed = (F.col("setup_ms") > 0) & (F.col("search_ms") > 0) & (F.abs(F.col("avg_execution_time_ms") * F.col("questions") - F.col("search_ms")) < 1e-3)
+    return times.select("db_id", "documents", "questions", "hits", timed.alias("timed"))
+
+
 def single_schema(spark, d):
     p = _table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("db"), F.repeat(F.concat("p_name", F.lit("_")), F.when(F.col("p_size") > 25, 12).otherwise(1)).alias("name"))
     rows = corpus.single_schema(p, "db", "name")
@@ -94,7 +116,7 @@ def keywords_tokens(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (question_stats, result_json, retrieval_report, question_caps, threshold_clamp, unified_corpus, single_schema, metadata_statements, field_search, text_switch, keywords_tokens)
+    for f in (question_stats, result_json, retrieval_report, question_caps, threshold_clamp, unified_corpus, single_schema, metadata_statements, field_search, text_switch, keywords_tokens, object_texts, per_database_run)
 }
 
 _suppliers = """s AS (SELECT l_orderkey, l_suppkey::VARCHAR AS t, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS c, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1, 2)"""
@@ -139,3 +161,12 @@ h AS (SELECT DISTINCT * FROM ({_field})) SELECT query_id, id, count(*)::DOUBLE A
     "text_switch": "SELECT conv_id * 100000 + turn AS query_id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL",
     "keywords_tokens": f"WITH w AS (SELECT conv_id, turn, {_tokens} AS w FROM conversations), u AS (SELECT conv_id, turn, {_first.format(x='w')} AS w FROM w) SELECT conv_id, turn, nullif(upper(replace(array_to_string(w, ' OR '), 'ß', 'ss')), '') AS keywords FROM u",
 }
+ORACLES["object_texts"] = """WITH c AS (SELECT 'N' || c_nationkey AS object_name, string_agg(c_name, ' ' ORDER BY c_custkey) AS column_summary FROM customer WHERE c_custkey % 10 = 0 GROUP BY 1),
+t AS (SELECT 'N' || n_nationkey AS object_name, n_name AS c, CASE WHEN n_regionkey > 1 THEN n_name END AS a FROM nation WHERE n_nationkey % 5 <> 4)
+SELECT object_name, column_summary, concat_ws(' ', object_name, 'main', 'VIEW', c, a, column_summary) AS search_text FROM c LEFT JOIN t USING (object_name)"""
+ORACLES["per_database_run"] = f"""WITH asked AS (SELECT DISTINCT item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
+has AS (SELECT DISTINCT lang, doc_id, unnest({terms_sql('text')}) AS term FROM documents),
+h AS (SELECT lang, query_id, least(10, count(DISTINCT doc_id)) AS n FROM has JOIN asked USING (term) GROUP BY lang, query_id),
+s AS (SELECT lang, sum(n)::BIGINT AS hits FROM h GROUP BY lang)
+SELECT lang AS db_id, count(*) AS documents, (SELECT count(*) FROM benchmark WHERE item_id % 20 = 0) AS questions, coalesce(any_value(hits), 0) AS hits, true AS timed
+FROM documents LEFT JOIN s USING (lang) WHERE lang IS NOT NULL GROUP BY lang"""
