@@ -222,7 +222,7 @@ def test_revisits(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = registry.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
