@@ -135,7 +135,7 @@ def searched(queries: DataFrame, path: str, top: int, scorer: str = "bm25", k1:
     asked = query_terms(queries, F.col("text")).withColumn("bucket", _bucket())
     postings = versions.segment_rows(spark, path, now, "postings", POSTINGS)
     terms = asked.select("bucket", "term").distinct()
-    heads = frozen(postings.select("bucket", "term", "seg", "window", "n", "max_tf", "min_len").join(terms, ["bucket", "term"]))
+    heads = postings.select("bucket", "term", "seg", "window", "n", "max_tf", "min_len").join(terms, ["bucket", "term"])
     freq = heads.groupBy("term").agg(F.sum("n").alias("df"))
     for name, _ in now.markers:
         less = spark.read.schema("term string, n long").parquet(f"{path}/{name}/less").withColumnRenamed("n", "_less")
@@ -159,11 +159,10 @@ def searched(queries: DataFrame, path: str, top: int, scorer: str = "bm25", k1:
         return rows.groupBy("query_id", F.col("ids").alias("id")).agg((F.round(total, 6) if scorer == "bm25" else total).alias("score"))
 
     order = [F.desc("score"), F.asc("id")]
-    first = frozen(top_n(bounds, ["query_id"], [F.desc("bound"), F.asc("seg"), F.asc("window")], FIRST_WINDOWS, "_nth").drop("_nth"))
+    first = top_n(bounds, ["query_id"], [F.desc("bound"), F.asc("seg"), F.asc("window")], FIRST_WINDOWS, "_nth").drop("_nth")
     found = frozen(top_n(scores(first), ["query_id"], order, top))
     floor = found.where(F.col("rank") == top).select("query_id", F.col("score").alias("floor"))
     rest = bounds.join(first, ["query_id", "seg", "window"], "left_anti").join(floor, "query_id", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - SLACK)
-    rest = frozen(rest)
     hits = top_n(found.drop("rank").union(scores(rest)), ["query_id"], order, top)
     return Search(bounds, first, rest, hits)
 
