@@ -4,7 +4,7 @@
   on a bounded sample; the cells of a group on rows of that group, in a task for each group. Every row is indexed.
 * **Codes**: what is left of a row beside its cell's centre, cut into pieces of PIECE numbers, each named by the nearest of 256 fitted pieces.
 * **Search**: cells are ranked by the exact distance of their centres, and taken until they hold the share `scan` of all rows. Their
-  codes are compared by table look-ups, and the best `rescore` rows of each query are scored exactly from their vectors.
+  codes are compared by what they stand for, and the best `rescore` rows of each query are scored exactly from their vectors.
   No other vector is read.
 * **Metrics**: an index serves the metric that it was built for. Cosine is distance between unit vectors; dot products become distances by one more
   dimension, which fills every row up to the largest length at the time of building (longer rows that come later are found less surely).
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from lodestone.operators import versions
 from lodestone.operators.frozen import frozen
 from lodestone.operators.ranking import top_n
-from lodestone.operators.search import CORPUS_BLOCK, QUERY_BLOCK, vector_search
+from lodestone.operators.search import CORPUS_BLOCK, QUERY_BLOCK, QUERY_SLICE, vector_search
 from lodestone.shipping import ship
 
 #: Bounds of the sample that groups and codes are fitted on, in rows and in numbers, and of the rows that a group's cells are fitted on.
 SAMPLE_ROWS, SAMPLE_VALUES, GROUP_ROWS = 50_000, 1 << 24, 20_000
 MOST_GROUPS, MOST_CELLS, CELLS_OF_GROUP = 256, 1 << 16, 1 << 12
-PIECE, CODES = 4, 256
+PIECE, CODES = 2, 256
 #: Rows of a group that one task places; larger groups are split.
 PLACE_ROWS = 500_000
 METRICS = ("cosine", "dot", "l2")
@@ -328,14 +328,17 @@ def _by_code(taken: DataFrame, rows: DataFrame, m: Model, best: int, skip_self:
             target = target.take(pa.array(np.argsort(ids[~asks], kind="stable")))
             names, segs, grp = (target.column(x).to_numpy() for x in ("id", "seg", "grp"))
             codes = np.frombuffer(b"".join(target.column("code").to_pylist()), np.uint8).reshape(len(names), -1)
-            rest = (_matrix(query.column("point")) - _matrix(query.column("centre"))).reshape(query.num_rows, len(m.pieces), 1, PIECE)
-            for qid, r in zip(query.column("id").to_pylist(), rest, strict=True):
-                tables = ((r - m.pieces) ** 2).sum(axis=2)
-                distance = tables[np.arange(codes.shape[1]), codes].sum(axis=1)
-                at = np.flatnonzero(names != qid) if skip_self else np.arange(len(names))
-                at = at[np.argsort(distance[at], kind="stable")[:best]]
-                for k, x in enumerate((np.full(len(at), qid), segs[at], grp[at], names[at], distance[at])):
-                    out[k].append(x)
+            named = m.pieces[np.arange(codes.shape[1]), codes].reshape(len(names), -1).astype(float)  # what the codes stand for, beside the centre
+            size = (named**2).sum(axis=1)
+            rest, asking = (_matrix(query.column("point")) - _matrix(query.column("centre"))).astype(float), query.column("id").to_pylist()
+            for begin in range(0, len(asking), QUERY_SLICE):
+                r = rest[begin : begin + QUERY_SLICE]
+                distances = ((r**2).sum(axis=1)[:, None] + size - 2 * (r @ named.T)).astype(np.float32)  # equal codes are equally far, in any block
+                for qid, distance in zip(asking[begin : begin + QUERY_SLICE], distances, strict=True):
+                    at = np.flatnonzero(names != qid) if skip_self else np.arange(len(names))
+                    at = at[np.argsort(distance[at], kind="stable")[:best]]
+                    for k, x in enumerate((np.full(len(at), qid), segs[at], grp[at], names[at], distance[at])):
+                        out[k].append(x)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(np.concatenate(x).astype(t.to_pandas_dtype()) if x else [], t) for n, x, t in zip(("query_id", "seg", "grp", "id", "distance"), out, kinds, strict=True)})
 

@@ -86,3 +86,14 @@ def test_odd_input(spark, tmp_path, rows):
     got = ann.search(same.where("id = 3").select(F.col("id").alias("query_id"), "vector"), str(tmp_path / "c"), 5, scan=1, rescore=30).collect()
     assert [r.id for r in sorted(got, key=lambda r: r.id)] == [0, 1, 2, 4, 5] and {r.score for r in got} == {1.0}
     assert ann.search(none.select(F.col("id").alias("query_id"), "vector"), str(tmp_path / "c"), 5).collect() == []
+
+
+def test_recall_where_rows_have_no_clusters(spark, tmp_path):
+    """Many rows without clusters: their codes must tell near ones apart well enough for few candidates."""
+    x = np.random.default_rng(11).normal(0, 1, (6000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").cache()
+    few = rows.where("id % 60 = 0").select(F.col("id").alias("query_id"), "vector")
+    path = str(tmp_path / "i")
+    ann.build(rows, path)
+    found = ann.search(few, path, 10, scan=1, rescore=20)
+    assert ann.recall(found, search.vector_search(few, rows, 10)).first().recall >= 0.9
