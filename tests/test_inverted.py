@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import inverted, search, sweep, versions
 from lodestone.plans import retrieval
@@ -140,3 +141,29 @@ def test_expanded_runs_resolve(spark):
     assert len(runs) == 6 and all(r["k"] == 15 for r in runs) and [r["text_rank_penalty"] for r in runs if r["scorer"] == "RRF"] == [2, 2]
     with pytest.raises(ValueError, match="sets"):
         sweep.variants([1])
+
+
+def shuffled(spark) -> int:
+    """Rows that all stages so far have shuffled."""
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_that_are_shuffled(spark, tmp_path):
+    """A build shuffles each document and each of its different terms once; a search shuffles blocks of asked terms only."""
+    path, n = str(tmp_path / "i"), 600
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k} word{i}x{k}" for k in range(20)) + " rare" * (i % 100 == 0)) for i in range(n)], "id long, text string").cache()
+    docs.count()
+    before = shuffled(spark)
+    inverted.build(docs, path)
+    built = shuffled(spark)
+    assert built - before < 1.1 * n * 21 + 1000  # 20 or 21 terms a document, and the document
+    assert len(inverted.search(spark.createDataFrame([(1, "rare")], "query_id long, text string"), path, 10).collect()) == 6
+    assert shuffled(spark) - built < 500
+
+
+def test_counts_within_a_row(spark):
+    rows = spark.createDataFrame([(["a", "a", "b", "c", "c", "c"],), ([],), (["z"],)], "t array<string>")
+    got = [[tuple(x) for x in r[0] or []] for r in rows.select(inverted._counted(F.col("t"))).collect()]
+    assert got == [[("a", 2), ("b", 1), ("c", 3)], [], [("z", 1)]]
