@@ -12,6 +12,15 @@ from pyspark.sql.types import StructType
 from lodestone.shipping import ship
 
 
+#: Tasks for each core that rows are dealt to before a costly function.
+TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame dealt evenly to all cores: a table of many rows may be a file of a few MB, which Spark reads as one or two tasks."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def flat_rows(df: DataFrame, column: str, function: Callable[[str], list[tuple]], schema: str) -> DataFrame:
     """The frame's other columns beside each row that the function gives for the column's value; null values give none."""
     spark = df.sparkSession

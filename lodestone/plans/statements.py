@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import ddl, dialect, lineage, sweep
+from lodestone.operators.perrow import spread
 
 STATEMENTS = [
     (1, "SELECT T1.o_orderkey, T2.c_name FROM orders AS T1 INNER JOIN customer AS T2 ON T1.o_custkey = T2.c_custkey WHERE T2.c_mktsegment = 'BUILDING'"),
@@ -74,12 +75,13 @@ TABLES = ["orders", "customer", "lineitem", "nation", "region", "part", "supplie
 
 
 def _parts(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"), "p_size")
+    """Keys, names and sizes of parts, dealt out while they are small: the statements and types that are made of them are not shuffled."""
+    return spread(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"), "p_size"))
 
 
 def lineage_tables(spark, d):
     """Tables and columns of statements over tables of each supplier's own."""
-    suppliers = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
+    suppliers = spread(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key")))
     return lineage.lineage_frame(_filled(suppliers, STATEMENTS, TABLES))
 
 
