@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import dialect, perrow
+from lodestone.operators import ddl, dialect, perrow
 from lodestone.plans import registry
 
 
@@ -27,3 +27,9 @@ def test_repeated_calls_are_rewritten_once():
     long = "x" * dialect.SHORT_CALL
     assert dialect.to_spark(f"SELECT IFNULL({long}, \"a\"), iif (a, \"b c\", '\"'), f ( \"x\" ) FROM \"t\"") == f"SELECT nvl({long}, `a`), CASE WHEN a THEN `b c` ELSE '\"' END, f( `x` ) FROM `t`".replace("f( `x`", "f ( `x`")
     assert dialect._kept_call.cache_info().misses == 4  # the long call is not kept
+
+
+def test_repeated_types_are_mapped_once():
+    ddl.target_type.cache_clear()
+    assert [ddl.target_type("VARCHAR(20)") for _ in range(50)] == ["VARCHAR2(20)"] * 50
+    assert ddl.target_type.cache_info().misses == 1 and ddl.target_type(None) == ddl.target_type("") == "VARCHAR2(4000)"
