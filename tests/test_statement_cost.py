@@ -33,3 +33,10 @@ def test_repeated_types_are_mapped_once():
     ddl.target_type.cache_clear()
     assert [ddl.target_type("VARCHAR(20)") for _ in range(50)] == ["VARCHAR2(20)"] * 50
     assert ddl.target_type.cache_info().misses == 1 and ddl.target_type(None) == ddl.target_type("") == "VARCHAR2(4000)"
+
+
+def test_parts_of_definitions(spark):
+    rows = ddl.column_rows("CREATE TABLE t (\n a INT, -- one, of two\n /* b, c */ b TEXT DEFAULT '(,)' ,\n -- no more\n CHECK (a > 1))")
+    assert [(r[2], r[3], r[8]) for r in rows] == [("a", "INT", None), ("b", "TEXT", "'(,)'")]
+    made = registry.QUERIES["ddl_parse"](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
