@@ -1,6 +1,7 @@
 """Column metrics and result rows come from one pass over a row's lists, without shuffles and joins of their own."""
 
 from lodestone.operators import evaluate
+from lodestone.plans import registry
 
 KIND = "array<struct<table:string,columns:array<string>>>"
 
@@ -16,3 +17,8 @@ def test_metrics_add_no_shuffle(spark):
         assert "Exchange" not in _plan(made) and "Join" not in _plan(made) and made.count() == 1
     r = evaluate.column_metrics(df).first()
     assert (r.joint_precision, r.joint_recall, r.column_precision, r.column_recall_at_1, r.column_top_n_accuracy) == (1.0, 0.333333, 0.5, 0.25, 0.25)
+
+
+def test_orders_are_read_and_dealt_once(spark):
+    plan = _plan(registry.QUERIES["result_fields"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan") == 3 and plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(l_orderkey, p_brand" not in plan
